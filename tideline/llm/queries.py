@@ -7,28 +7,76 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import ngram_join, quality
+from tideline.llm import graph_search, hash_ring, langid, mixing, ngram_join, packing, quality, rans, toxicity, url_rules
+from tideline.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Shards of ``op2``.
+SHARDS = 16
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hash_ring.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn_filters(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.copies(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op5_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph_search.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity_scores(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_metrics(_table(spark, sf_dir, "documents"))
+    return quality.quality_metrics(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {
-    "op7_quality_rules": op7_quality_rules,
-    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
-}
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rans.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_sharding, op3_language_id, op4_mixing, op5_graph_search,
+        op6_toxicity, op7_quality_rules, op8_packing, op9_ngram_jaccard_join, op10_token_ids,
+    )
+}
