@@ -6,18 +6,18 @@ A document is the set of its distinct five-word shingles; two link when
 1. One pass over the texts gives each document's set size and digest, and the frequency sketch: how
    often shingles fall into each of a fixed number of cells. Equal sets are one class, which is
    represented by its smallest ``doc_id``.
-2. A second pass orders each set rare-first (by cell count, then hash) and emits its prefix of
+2. A second pass orders each set rare-first (by cell count, then hash) and takes its prefix of
    ``n - ceil(0.75 n) + 1`` shingles with their positions. Sets that link share a prefix shingle.
-   Within a run of a task, the members of a shingle's list travel with the most central one of them,
-   and only that one is a row of the global list: no key gathers more rows than there are runs.
+   Postings travel in compressed blocks, one for each bucket of shingles and run of a task; a bucket
+   gives the lists of the shingles that two documents or more hold.
 3. Each member of a list is paired with the list's most central document (the one with the fewest
    rarer shingles before the shared one): a number of pairs linear in the lists. Pairs that fail the
    length or the positional filter are left out, the rest are made distinct, thinned by the suffix
-   filter and checked once on the whole sets.
+   filter (histograms of the sets) and checked once on the whole texts.
 4. Components of these links; then, exhaustively, the pairs of a list whose members are in
-   different components (the same filters, the same one check). Pairs within a component cannot
-   change it, which is why copies never expand into all pairs and yet no link between components
-   is lost.
+   different components (the same filters, the same one check), each at its first shared shingles.
+   Pairs within a component cannot change it, which is why copies never expand into all pairs and
+   yet no link between components is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,19 +36,24 @@ from tideline.llm.textops import mix, shingle_sets
 
 #: Words of a shingle, and the least similarity in hundredths.
 WIDTH, LEAST = 5, 75
-#: Cells of the frequency sketch: its size does not depend on the data.
-CELLS = 1 << 18
-#: Postings that a task sorts at once.
-RUN = 1 << 21
+#: Cells of the frequency sketch, whose size does not depend on the data, and of a chunk of it. What
+#: executors share is 2 bytes a cell: counts on a logarithmic scale of ``STEPS`` ranks a doubling.
+CELLS, CHUNK, STEPS = 1 << 22, 1 << 16, 64
+#: Postings that a task sorts at once, and prefix postings of a bucket on average.
+RUN, BUCKET_ROWS = 1 << 20, 1 << 18
+#: Pairs whose sets are held at once.
+PAIRS = 256
 #: Bins of the histograms that the suffix filter compares.
 BINS = 128
-#: Most ids that are broadcast to pick the texts to check; more are joined by a shuffle.
+#: Shingles before the shared one by which the exhaustive step tells that a pair met before.
+HEAD = 8
+#: Most ids (or pairs of ids) that are broadcast to pick the texts to check; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-_SCAN = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n", "c1", "c2")] + [T.StructField("cell", T.IntegerType())])
-_MEMBER = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n", "pos")])
-_POST = T.StructType([T.StructField(n, T.LongType()) for n in ("sh", "doc_id", "n", "pos")] + [T.StructField("members", T.ArrayType(_MEMBER))])
-_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("bins", T.ArrayType(T.ShortType())), T.StructField("shingles", T.ArrayType(T.LongType()))])
+_SCAN = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n", "c1", "c2")] + [T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+_BLOCK = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.BinaryType())])
+_LISTED = "sh bigint, doc_id bigint, n bigint, pos bigint, hub bigint, cn bigint, cpos bigint"
+_BINS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bins", T.ArrayType(T.ShortType()))])
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -57,65 +62,106 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(one.sum(dtype=np.uint64).view(np.int64)), int(two.sum(dtype=np.uint64).view(np.int64))
 
 
-def _cells(sets: list[np.ndarray]) -> np.ndarray:
-    return np.bincount((np.concatenate(sets) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) if sets else np.zeros(CELLS, np.int64)
-
-
 def _scan(docs: DataFrame, width: int) -> DataFrame:
-    """Sizes and digests of all documents (cell null), and the task's cell counts (cell not null)."""
+    """Sizes and digests of all documents (chunk null), and the task's cell counts (chunk not null)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.int64)
+        counts, run, held = np.zeros(CELLS, np.uint32), [], 0
+
+        def add() -> None:
+            np.add(counts, np.bincount((np.concatenate(run) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), out=counts, casting="unsafe")
+
         for batch in batches:
-            n, c1, c2, run, held = [], [], [], [], 0
+            n, c1, c2 = [], [], []
             for s in shingle_sets(batch.column(1), width):
                 a, b = digest(s)
                 n.append(len(s)), c1.append(a), c2.append(b), run.append(s)
                 held += len(s)
-                if held > RUN:
-                    counts += _cells(run)
+                if held > 2 * RUN:
+                    add()
                     run, held = [], 0
-            counts += _cells(run)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.nulls(len(n), pa.int32())], names=_SCAN.names)
-        cells = np.flatnonzero(counts)
-        for k in range(0, len(cells), 1 << 16):
-            some = cells[k : k + (1 << 16)]
-            none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(counts[some]), none, none, pa.array(some.astype(np.int32))], names=_SCAN.names)
+            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), *none], names=_SCAN.names)
+        if run:
+            add()
+        chunks = [(k, _squeezed([c])) for k, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
+        none = pa.nulls(len(chunks), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k for k, _ in chunks], pa.int32()), pa.array([c for _, c in chunks], pa.binary())], names=_SCAN.names)
 
     return docs.select("doc_id", "text").mapInArrow(scan, _SCAN)
 
 
+def _ranks(scanned: DataFrame) -> np.ndarray:
+    """The logarithmic rank of each cell's count over all documents: one row per chunk comes to the driver."""
+
+    def total(rows: pa.Table) -> pa.Table:
+        counts = np.zeros(CHUNK, np.int64)
+        for squeezed in rows["counts"].to_pylist():
+            planes = np.frombuffer(pa.decompress(squeezed, 4 * CHUNK, codec="zstd", asbytes=True), np.uint8)
+            counts += np.ascontiguousarray(planes.reshape(4, CHUNK).T).view(np.uint32).ravel()
+        ranks = (np.log2(counts + 1) * STEPS).astype(np.uint16)
+        return pa.table({"chunk": rows["chunk"].slice(0, 1), "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
+    out = np.zeros(CELLS, np.uint16)
+    for row in scanned.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(total, "chunk int, ranks binary").collect():
+        out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.ranks, np.uint16)
+    return out
+
+
 def prefix_length(n: int, least: int = LEAST) -> int:
     return n - -(-least * n // 100) + 1
 
 
-def _runs(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """One row per shingle for its most central document, with the other documents as its members."""
+def _squeezed(columns: list[np.ndarray]) -> bytes:
+    """Little-endian integer columns by byte planes, which suits sorted and small values."""
+    planes = [c.view(np.uint8).reshape(len(c), -1).T for c in columns]
+    return pa.compress(np.concatenate([p.ravel() for p in planes]), codec="zstd", asbytes=True)
+
+
+def _blocks(parts: list[tuple[int, int, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """One block per bucket from documents' prefixes (doc, n, shingles in their order)."""
     if not parts:
         return
-    sh, doc, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((doc, n, pos, sh))
-    sh, doc, n, pos = sh[order].view(np.int64), doc[order], n[order], pos[order]
-    first = np.empty(len(sh), bool)
-    first[0], first[1:] = True, sh[1:] != sh[:-1]
-    start, rest = np.flatnonzero(first), np.flatnonzero(~first)
-    sizes = np.diff(np.append(start, len(sh))) - 1
-    cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    for k in range(0, len(start), 1 << 16):
-        z = slice(k, min(k + (1 << 16), len(start)))
-        at, others = start[z], rest[cut[z.start] : cut[z.stop]]
-        inner = pa.StructArray.from_arrays([pa.array(x[others]) for x in (doc, n, pos)], names=_MEMBER.names)
-        members = pa.ListArray.from_arrays(pa.array(cut[z.start : z.stop + 1] - cut[z.start]), inner, mask=pa.array(sizes[z] == 0))
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (sh, doc, n, pos)), members], names=_POST.names)
-
-
-def _postings(docs: DataFrame, cells: object, width: int, least: int) -> DataFrame:
-    """Prefix postings, one row per shingle and run of a task."""
+    size = np.array([len(s) for _, _, s in parts])
+    sh = np.concatenate([s for _, _, s in parts])
+    owner = np.repeat(np.arange(len(parts), dtype=np.uint32), size)
+    pos = (np.arange(len(sh)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint32)
+    order = np.lexsort((sh, bucket := sh % np.uint64(buckets)))
+    sh, owner, pos, bucket = sh[order], owner[order], pos[order], bucket[order]
+    doc, n = np.array([d for d, _, _ in parts], np.int64), np.array([m for _, m, _ in parts], np.int64)
+    cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    out = []
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        z = slice(cut[k], cut[k + 1])
+        used, local = np.unique(owner[z], return_inverse=True)
+        steps = np.diff(sh[z], prepend=np.uint64(0))
+        head = np.array([len(used), z.stop - z.start], np.int64).tobytes()
+        raw = _squeezed([doc[used], n[used], steps, local.astype(np.uint32), pos[z]])
+        out.append({"bucket": k, "block": head + raw})
+    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.binary())]))
+
+
+def _opened(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, doc, n, pos) of a block of ``_blocks``."""
+    docs, rows = np.frombuffer(block[:16], np.int64).tolist()
+    kinds = ((docs, np.int64), (docs, np.int64), (rows, np.uint64), (rows, np.uint32), (rows, np.uint32))
+    total = sum(n * np.dtype(k).itemsize for n, k in kinds)
+    raw = np.frombuffer(pa.decompress(block[16:], total, codec="zstd", asbytes=True), np.uint8)
+    columns, at = [], 0
+    for n, kind in kinds:
+        wide = np.dtype(kind).itemsize
+        columns.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, n).T).view(kind).ravel())
+        at += n * wide
+    doc, size, steps, local, pos = columns
+    return np.cumsum(steps, dtype=np.uint64), doc[local], size[local], pos.astype(np.int64)
+
+
+def _lists(docs: DataFrame, cells: object, buckets: int, width: int, least: int) -> DataFrame:
+    """Every posting of a shingle that two documents or more hold in their prefixes, with its list's central one."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, held = cells.value, set(), 0
-        parts: list[tuple[np.ndarray, ...]] = []
+        parts: list[tuple[int, int, np.ndarray]] = []
         for batch in batches:
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
                 if doc is None or not len(s) or (key := digest(s)) in seen:
@@ -124,15 +170,26 @@ def _postings(docs: DataFrame, cells: object, width: int, least: int) -> DataFra
                 count = counts[(s % np.uint64(CELLS)).astype(np.int64)]
                 p = prefix_length(len(s), least)
                 some = np.flatnonzero(count <= np.partition(count, p - 1)[p - 1])
-                front = some[np.lexsort((s[some], count[some]))[:p]]
-                parts.append((s[front], np.full(p, doc, np.int64), np.full(p, len(s), np.int64), np.arange(p, dtype=np.int64)))
+                parts.append((doc, len(s), s[some[np.lexsort((s[some], count[some]))[:p]]]))
                 held += p
                 if held > RUN:
-                    yield from _runs(parts)
+                    yield from _blocks(parts, buckets)
                     parts, held = [], 0
-        yield from _runs(parts)
+        yield from _blocks(parts, buckets)
 
-    return docs.select("doc_id", "text").mapInArrow(post, _POST)
+    def gather(blocks: pa.Table) -> pa.Table:
+        sh, doc, n, pos = (np.concatenate(x) for x in zip(*[_opened(b) for b in blocks["block"].to_pylist()], strict=True))
+        order = np.argsort(sh, kind="stable")
+        near = sh[order][1:] == sh[order][:-1]
+        keep = order[np.append(near, False) | np.insert(near, 0, False)]
+        keep = keep[np.lexsort((doc[keep], n[keep], pos[keep], sh[keep]))]
+        sh, doc, n, pos = sh[keep], doc[keep], n[keep], pos[keep]
+        first = np.flatnonzero(np.append(True, sh[1:] != sh[:-1])[: len(sh)])
+        hub = np.repeat(first, np.diff(np.append(first, len(sh))))
+        return pa.table([*map(pa.array, (sh.view(np.int64), doc, n, pos, doc[hub], n[hub], pos[hub]))], names=["sh", "doc_id", "n", "pos", "hub", "cn", "cpos"])
+
+    posted = docs.select("doc_id", "text").mapInArrow(post, _BLOCK)
+    return posted.groupBy("bucket").applyInArrow(gather, _LISTED)
 
 
 def _may_link(a: str, b: str, least: int) -> str:
@@ -141,42 +198,76 @@ def _may_link(a: str, b: str, least: int) -> str:
     return f"100 * least({n}, {m}) >= {least} * greatest({n}, {m}) AND {100 + least} * least({n} - {p}, {m} - {q}) >= {least} * ({n} + {m})"
 
 
-def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """Sets and histograms of the documents whose ids are in ``needed``."""
-    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _histograms(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """Set sizes and histograms of the documents whose ids are in ``needed``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sets = list(shingle_sets(batch.column(1), width))
-            bins = [np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS).clip(max=32767).astype(np.int16) for s in sets]
-            lengths = np.array([len(s) for s in sets], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(lengths), pa.array([digest(s)[0] for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(np.arange(0, len(sets) * BINS + 1, BINS, dtype=np.int32), np.concatenate(bins)), pa.ListArray.from_arrays(offsets, flat),
-                ],
-                names=_SETS.names,
-            )
-
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(build, _SETS)
+            bins, size = np.empty((batch.num_rows, BINS), np.int16), np.empty(batch.num_rows, np.int64)
+            for i, s in enumerate(shingle_sets(batch.column(1), width)):
+                bins[i], size[i] = np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS).clip(max=32767), len(s)
+            flat = pa.ListArray.from_arrays(np.arange(0, bins.size + 1, BINS, dtype=np.int32), bins.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), flat], names=_BINS.names)
+
+    return docs.select("doc_id", "text").join(_few(needed), "doc_id", "left_semi").mapInArrow(build, _BINS)
 
 
 def _check(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
-    """The pairs (a, b) that link: suffix filter on histograms, then one check on whole sets."""
+    """The pairs (u, v) of ``pairs(a, b)`` that link: suffix filter on histograms, then one check on whole texts."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialise(_sets(docs, needed, width), "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("bins").alias("abins"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("bins").alias("bbins"))
+    bins = materialise(_histograms(docs, needed, width), "bins")
+    left = bins.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("bins").alias("abins"))
+    right = bins.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("bins").alias("bbins"))
     apart = F.expr("aggregate(zip_with(abins, bbins, (x, y) -> abs(int(x) - int(y))), 0, (s, x) -> s + x)")
     # |A xor B| >= the sum over bins of the differences of their counts (clipped counts only lessen it)
-    thin = pairs.join(left, "a").join(right, "b").where((100 + least) * apart <= (100 - least) * (F.col("an") + F.col("bn"))).select("a", "b").distinct()
-    whole = thin.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return whole.where((100 + least) * both >= least * (F.size("x") + F.size("y"))).select("a", "b").distinct()
+    near = pairs.join(left, "a").join(right, "b").where((100 + least) * apart <= (100 - least) * (F.col("an") + F.col("bn")))
+    thin = materialise(near.select("a", "b").distinct(), "thin")
+    one = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")).join(_few(thin), "a")
+    two = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y")).join(_few(thin.select("b").distinct()), "b", "left_semi")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(at, PAIRS)
+                # texts that meet several others are cut into shingles once
+                known = []
+                for text in (batch.column(2), batch.column(3)):
+                    code = text.dictionary_encode()
+                    sets = list(shingle_sets(code.dictionary, width))
+                    known.append([sets[i] if i is not None else np.empty(0, np.uint64) for i in code.indices.to_pylist()])
+                linked = []
+                for x, y in zip(*known, strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(len(x) > 0 and (100 + least) * both >= least * (len(x) + len(y)))
+                yield batch.select([0, 1]).filter(pa.array(linked))
+
+    return one.join(two, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+
+
+def _between(rest: DataFrame, several: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of a list's members in different components.
+
+    A pair that has met at an earlier shingle (one of the first ``HEAD`` of both, in the one order of
+    all shingles) is not made again: at the first shared one it passes every filter if it links.
+    Documents in ``several`` hold more than one text, so their shingles have no one order; they do
+    without this.
+    """
+    of_doc = Window.partitionBy("doc_id").orderBy("pos", "sh")
+    rest = rest.withColumn("turn", F.row_number().over(of_doc))
+    whole = of_doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rest = rest.withColumn("head", F.collect_list(F.when(F.col("turn") <= HEAD, F.col("sh"))).over(whole))
+    rest = rest.join(several.withColumn("many", F.lit(True)), "doc_id", "left")
+    before = F.when(F.col("many").isNull(), F.slice("head", F.lit(1), F.least(F.col("turn") - 1, F.lit(HEAD)))).otherwise(F.array().cast("array<bigint>"))
+    sides = rest.select("sh", "doc_id", "n", "pos", "component", before.alias("before"))
+    left, right = (sides.select(*[F.col(c).alias(f"{side}{c}") for c in sides.columns]) for side in ("l", "r"))
+    apart = (F.col("lcomponent") != F.col("rcomponent")) & (F.col("ldoc_id") < F.col("rdoc_id")) & F.expr(_may_link("l", "r", least)) & ~F.arrays_overlap("lbefore", "rbefore")
+    return left.join(right, (F.col("lsh") == F.col("rsh")) & apart).select(F.col("ldoc_id").alias("a"), F.col("rdoc_id").alias("b")).distinct()
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
@@ -190,35 +281,24 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, least: int = LEAST) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = materialise(_scan(docs, width), "scan")
-    cells = np.zeros(CELLS, np.int64)
-    for row in scanned.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        cells[row.cell] = row.n
-    shared = docs.sparkSession.sparkContext.broadcast(cells)
-    slim = scanned.where("cell is null").select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2")
+    shared = docs.sparkSession.sparkContext.broadcast(_ranks(scanned))
+    slim = scanned.where("chunk is null").select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2")
     classes = slim.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = slim.where("n_shingles > 0 and doc_id is not null").join(classes.where("copies > 1"), ["c1", "c2", "n_shingles"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
-    lists = _postings(docs, shared, width, least).withColumns({
-        "central": F.expr("min(struct(pos, n, doc_id)) over (partition by sh)"),
-        "tasks": F.expr("count(*) over (partition by sh)"),
-    }).where("tasks > 1 or members is not null")
-    own = "array(struct(doc_id, n, pos, central))"
-    tied = "transform(coalesce(members, array()), m -> struct(m.doc_id, m.n, m.pos, struct(pos, n, doc_id) as central))"
-    listed = materialise(lists.select("sh", F.expr(f"inline(concat({own}, {tied}))")), "lists")
-
-    starred = listed.select("doc_id", "n", "pos", F.col("central.doc_id").alias("hub"), F.col("central.n").alias("cn"), F.col("central.pos").alias("cpos"))
-    stars = starred.where("doc_id != hub").where(F.expr(_may_link("", "c", least))).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-    links = materialise(_check(docs, materialise(stars, "stars"), width, least).select(F.col("a").alias("u"), F.col("b").alias("v")).union(copies), "links")
+    total = slim.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(1, -(-total * (100 - least) // 100 // BUCKET_ROWS))
+    listed = materialise(_lists(docs, shared, buckets, width, least), "lists")
+
+    stars = listed.where("doc_id != hub").where(F.expr(_may_link("", "c", least))).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    links = materialise(_check(docs, materialise(stars, "stars"), width, least).union(copies), "links")
     groups = materialise(connected_components(links), "groups")
 
-    known = listed.select("sh", "doc_id", "n", "pos").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sh", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("component"))
+    known = listed.select("sh", "doc_id", "n", "pos").join(_few(groups.withColumnRenamed("node", "doc_id")), "doc_id", "left").select("sh", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("component"))
     known = materialise(known, "known")
     mixed = known.groupBy("sh").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sh")
-    rest = materialise(known.join(mixed, "sh", "left_semi"), "rest")
-    left, right = (rest.select("sh", *[F.col(c).alias(f"{side}{c}") for c in ("doc_id", "n", "pos", "component")]) for side in ("l", "r"))
-    apart = (F.col("lcomponent") != F.col("rcomponent")) & (F.col("ldoc_id") < F.col("rdoc_id")) & F.expr(_may_link("l", "r", least))
-    more = left.alias("l").join(right.alias("r"), (F.col("l.sh") == F.col("r.sh")) & apart).select(F.col("ldoc_id").alias("a"), F.col("rdoc_id").alias("b")).distinct()
-    found = _check(docs, materialise(more, "pairs"), width, least).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    several = slim.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    found = materialise(_check(docs, materialise(_between(known.join(mixed, "sh", "left_semi"), several, least), "pairs"), width, least), "found")
     final = connected_components(links.union(found))
     return slim.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are turned into arrays at once; a longer single document is a slice alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _IS_WORD = np.ones(256, np.uint8)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
