@@ -131,7 +131,7 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHARE
     while largest > 1:
         done = _round_blocks(leaves if level == 0 else residual, level, f"level{level}")
         settled.append(done.select(F.explode("r.out").alias("d")).select("d.*"))
-        residual = done.where("r.c is not null").select("sid", (F.floor((F.col("block") - 1) / block) + 1).alias("block"), "r.c.*").drop("o")
+        residual = done.where("r.c is not null").select((F.floor((F.col("block") - 1) / block) + 1).alias("block"), "r.c.*").drop("o")
         largest, level = -(-largest // block), level + 1
     at_root = units.where("block = 0")
     if residual is not None:

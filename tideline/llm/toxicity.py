@@ -23,12 +23,13 @@ from tideline.llm.langid import held_out
 from tideline.llm.textops import Words, mix, slices
 
 #: Hashed vectors, their length, n-gram sizes in bytes of ``<word>``, and words of a window.
-BUCKETS, DIM, SIZES, WINDOW = 1 << 17, 8, (3, 4, 5), 24
+BUCKETS, DIM, SIZES, WINDOW = 1 << 17, 8, (3, 4, 5), 2
 #: Labelled texts of each class that training sees at most.
 SAMPLE_ROWS = 2000
 #: A text is called toxic from this score on.
 THRESHOLD = 0.3
-EPOCHS, BATCH, RATE = 6, 2048, 0.5
+#: Passes, windows of a step, step size, and how fast a toxic text narrows to its most toxic windows.
+EPOCHS, BATCH, RATE, SHARPEN = 6, 2048, 1.5, 3
 
 
 def subwords(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,13 +67,32 @@ def subwords(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (gram[order] & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(own[order], np.arange(len(which) + 1))
 
 
-def windows(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """First words of all windows (runs of ``window`` words of a document, half overlapping) and their documents."""
-    half = window // 2
-    count = np.maximum(-(-words.counts // half) - 1, (words.counts > 0).astype(np.int64))
-    doc = np.repeat(np.arange(len(words.counts)), count)
+def windows(bounds: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all windows (runs of ``window`` words of a document, half overlapping) and their documents.
+
+    ``bounds`` are those of the documents in the list of words.
+    """
+    half, size = window // 2, np.diff(bounds)
+    count = np.maximum(-(-size // half) - 1, (size > 0).astype(np.int64))
+    doc = np.repeat(np.arange(len(size)), count)
     order = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    return words.bounds[doc] + order * half, doc
+    return bounds[doc] + order * half, doc
+
+
+def _vocabulary(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(each word's index among the distinct words, these words' n-grams, bounds of them, bounds of the documents)."""
+    every, counts, known, grams, sizes = [], [], np.empty(0, np.uint64), [], []
+    for _, data, offsets in slices(column):
+        words = Words(data, offsets, lower=True)
+        hashes = words.hashes()
+        distinct, at = np.unique(hashes, return_index=True)
+        at = at[new := ~np.isin(distinct, known)]
+        some, cut = subwords(words, at)
+        known = np.append(known, distinct[new])
+        every.append(hashes), counts.append(words.counts), grams.append(some), sizes.append(np.diff(cut))
+    order = np.argsort(known)
+    inverse = order[np.searchsorted(known[order], np.concatenate(every))]
+    return inverse, np.concatenate(grams), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
 def _mean_by_bounds(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -99,7 +119,7 @@ class ToxicityModel:
         _, at, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
         grams, bounds = subwords(words, at)
         per_word = _mean_by_bounds(self.logit[grams], bounds[:-1], bounds[1:])[inverse]
-        first, doc = windows(words)
+        first, doc = windows(words.bounds)
         last = np.minimum(first + WINDOW, words.bounds[doc + 1])
         logits = _mean_by_bounds(per_word, first, last) + self.bias
         np.maximum.at(out, doc, logits)
@@ -119,12 +139,9 @@ def train(texts: list[str], toxic: list[int], weight: tuple[float, float] = (1.0
     if len(set(toxic)) < 2:
         return none if not (len(label) and label.all()) else ToxicityModel(np.zeros(BUCKETS), 0.0, 0.0, 4.0)
     column = pa.array(texts, pa.large_string())
-    (_, data, offsets), *_ = slices(column, limit=1 << 62)
-    words = Words(data, offsets, lower=True)
-    _, at, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    grams, bounds = subwords(words, at)
-    first, doc = windows(words)
-    last = np.minimum(first + WINDOW, words.bounds[doc + 1])
+    inverse, grams, bounds, ends = _vocabulary(column)
+    first, doc = windows(ends)
+    last = np.minimum(first + WINDOW, ends[doc + 1])
     aside = rng.random(len(label)) < 0.2
     embed = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.05, (DIM, 2)).astype(np.float32)
@@ -136,11 +153,11 @@ def train(texts: list[str], toxic: list[int], weight: tuple[float, float] = (1.0
     stands = usable
     for epoch in range(EPOCHS):
         if epoch:
-            # of a toxic text, the windows that now look most toxic (a third, at least one) stay
+            # of a toxic text, the windows that now look most toxic (at least one) stay
             logit = _mean_by_bounds(_mean_by_bounds((embed @ (soft[:, 1] - soft[:, 0]))[grams], bounds[:-1], bounds[1:])[inverse], first, last)
             order = usable[np.lexsort((-logit[usable], doc[usable]))]
             rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
-            share = np.bincount(doc[order], minlength=len(label))[doc[order]] / (1 + 2 * min(epoch, 3))
+            share = np.bincount(doc[order], minlength=len(label))[doc[order]] / (1 + SHARPEN * epoch)
             stands = order[(label[doc[order]] == 0) | (rank < np.maximum(1, share))]
         stands = rng.permutation(stands)
         positive = label[doc[stands]] == 1
@@ -172,7 +189,7 @@ def train(texts: list[str], toxic: list[int], weight: tuple[float, float] = (1.0
             soft -= RATE * 0.2 * (step / np.sqrt(soft_squares)).astype(np.float32)
             bias -= RATE * 0.2 * (lift / np.sqrt(bias_squares)).astype(np.float32)
     model = ToxicityModel((embed @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]), 1.0, 0.0)
-    raw = model.raw(data, offsets)
+    raw = np.concatenate([model.raw(data, offsets) for _, data, offsets in slices(column)])
     fit = np.flatnonzero(aside & np.isfinite(raw))
     if len(set(label[fit].tolist())) < 2:
         fit = np.flatnonzero(np.isfinite(raw))
