@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.storage import shared_folder
-from tideline.llm.textops import slices
+from tideline.llm.storage import materialise, shared_folder
 from tideline.llm.tokens import encoder
 
 #: Bits of the frequency scale, ids of a block, interleaved states, rows of lanes between checkpoints.
@@ -177,24 +176,40 @@ def read_frame(row: dict, table: Table, slots: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def count_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> np.ndarray:
-    """How often each id occurs over all texts, with one end id per document."""
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, h, ids): every text's ids with the end id, written once; ``ids`` are little-endian, of type ``id_type``."""
+    kind = id_type(tokenizer)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("ids", T.BinaryType())])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = encoder(tokenizer)
+        for batch in batches:
+            ids = [np.append(x, end_id).astype(kind).tobytes() for x in library.column(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=schema.names)
+
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(encode, schema), "ids")
+
+
+def id_type(tokenizer: str) -> str:
+    """The narrowest type that holds the vocabulary's ids."""
+    return "<u2" if encoder(tokenizer).library.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def count_ids(ids: DataFrame, kind: str) -> np.ndarray:
+    """How often each id occurs in ``encoded`` rows, end ids included."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        totals = np.zeros(encode.library.get_vocab_size(), np.int64)
+        totals = np.zeros(1, np.int64)
         for batch in batches:
-            totals[end_id] += batch.num_rows
-            for _, data, offsets in slices(batch.column(0)):
-                _, inverse, first, size, ids = encode.chunks(data, offsets)
-                times = np.bincount(inverse, minlength=len(first))
-                place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                totals += np.bincount(ids[place], np.repeat(times, size), len(totals)).astype(np.int64)
+            for raw in batch.column(0):
+                more = np.bincount(np.frombuffer(raw.as_buffer(), kind), minlength=len(totals))
+                more[: len(totals)] += totals
+                totals = more
         seen = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(totals[seen])], names=schema.names)
 
-    rows = docs.select("text").mapInArrow(count, schema).groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = ids.select("ids").mapInArrow(count, schema).groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r.id for r in rows], default=0) + 1, np.int64)  # as many rows as the vocabulary has ids
     for r in rows:
         counts[r.id] = r.n
@@ -207,25 +222,27 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID)
     A null or empty text is its end id alone. Null ids come first; rows that share an id are in the
     order of their texts' hashes. Extra columns are ignored; an empty table gives a file without frames.
     """
-    counts = count_ids(docs, tokenizer, end_id)
+    kind = id_type(tokenizer)
+    ids = encoded(docs, tokenizer, end_id)
+    counts = count_ids(ids, kind)
     table = Table.of(counts)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     parts = max(1, min(MAX_PARTS, math.ceil(int(counts.sum()) / PART_IDS)))
     # the last key only parts rows that are equal in all that matters
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.pmod(F.monotonically_increasing_id(), F.lit(1024)).alias("salt"))
-    ranged = keyed.repartitionByRange(parts, "doc_id", "h", "salt").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    keyed = ids.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
+    ranged = keyed.repartitionByRange(parts, "doc_id", "h", "salt").sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, frame, start, held, docs_now = TaskContext.get().partitionId(), 0, 0, 0, []
-        encode = encoder(tokenizer)
 
         def close() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([write_frame(part, frame, start, docs_now, shared.value)], schema=_ARROW_FRAME)
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encode.column(batch.column(1)), strict=True):
-                docs_now.append((doc, np.append(ids, np.uint32(end_id))))
-                held += len(ids) + 1
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(raw, kind).astype(np.uint32)
+                docs_now.append((doc, ids))
+                held += len(ids)
                 if held >= FRAME_IDS:
                     yield close()
                     frame, start, held, docs_now = frame + 1, start + held, 0, []

@@ -48,12 +48,20 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._keys = np.empty(0, np.uint64)
-        self._where = np.empty(0, np.int64)
-        self._first, self._count = np.empty(0, np.int64), np.empty(0, np.int64)
+        # sorted runs of (keys, first, count), each at least twice the next, so that adding is cheap
+        self._runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._kept = 0
         self._ids = np.empty(1 << 16, np.uint32)
         self._used = 0
 
+    def _add(self, run: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        self._kept += len(run[0])
+        while self._runs and len(self._runs[-1][0]) < 2 * len(run[0]):
+            both = [np.concatenate(x) for x in zip(self._runs.pop(), run, strict=True)]
+            order = np.argsort(both[0], kind="stable")
+            run = tuple(x[order] for x in both)
+        self._runs.append(run)
+
     def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -67,14 +75,13 @@ class Encoder:
         starts = _chunk_starts(data, offsets)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         distinct, at, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        place = np.searchsorted(self._keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = place < len(self._keys)
-        known[inside] = self._keys[place[inside]] == distinct[inside]
-        first, count = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
-        old = self._where[place[known]]
-        first[known], count[known] = self._first[old], self._count[old]
-        new = np.flatnonzero(~known)
+        first, count = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
+        for keys, firsts, counts in self._runs:
+            left = np.flatnonzero(first < 0)
+            place = np.minimum(np.searchsorted(keys, distinct[left]), len(keys) - 1)
+            hit = keys[place] == distinct[left]
+            first[left[hit]], count[left[hit]] = firsts[place[hit]], counts[place[hit]]
+        new = np.flatnonzero(first < 0)
         if len(new):
             counts, flat = self._encode(data, starts[at[new]], ends[at[new]])
             if self._used + len(flat) > len(self._ids):
@@ -82,10 +89,8 @@ class Encoder:
             self._ids[self._used : self._used + len(flat)] = flat
             first[new] = self._used + np.cumsum(counts) - counts
             count[new] = counts
-            if len(self._keys) + len(new) <= KEPT_CHUNKS:
-                slot = len(self._first) + np.arange(len(new))
-                self._first, self._count = np.concatenate([self._first, first[new]]), np.concatenate([self._count, counts])
-                self._keys, self._where = np.insert(self._keys, place[new], distinct[new]), np.insert(self._where, place[new], slot)
+            if self._kept + len(new) <= KEPT_CHUNKS:
+                self._add((distinct[new], first[new], counts))
                 self._used += len(flat)
         return starts, inverse, first, count, self._ids
 
