@@ -1,0 +1 @@
+"""The library has no streaming operators: every operation is a batch job."""
