@@ -176,6 +176,9 @@ def _admm(pen: np.ndarray, goal: np.ndarray, terms: list, size: int, tol: float,
     for (s, k, _, _), end in zip(terms, rows, strict=True):
         spans.append(slice(int(end) - k.shape[0], int(end)))
         k_all[spans[-1], s] = k
+    # unit columns, so that one step size suits levels, slopes and coefficients
+    unit = 1 / np.sqrt(np.maximum((k_all**2).sum(0) + np.diag(pen), 1e-12))
+    k_all, pen, goal = k_all * unit, pen * unit[:, None] * unit, goal * unit
     gram = k_all.T @ k_all
     scale = np.trace(pen) / size + 1e-12
     rho = max(scale / (np.trace(gram) / size), 1e-8)
@@ -193,13 +196,13 @@ def _admm(pen: np.ndarray, goal: np.ndarray, terms: list, size: int, tol: float,
         u = u + mixed - z
         primal, dual = np.linalg.norm(kv - z), rho * np.linalg.norm(k_all.T @ (z - old))
         near = max(np.linalg.norm(kv), np.linalg.norm(z), 1e-8)
-        far = max(rho * np.linalg.norm(k_all.T @ u), np.linalg.norm(goal) * 1e-2, 1e-10)
+        far = max(rho * np.linalg.norm(k_all.T @ u), rho * np.linalg.norm(u) * np.sqrt(np.trace(gram) / size), 1e-10)
         if primal <= tol * near and dual <= tol * far:
-            return v, "optimal"
+            return v * unit, "optimal"
         if i % 25 == 24 and i < most * 0.7:
             ratio = (primal / near) / max(dual / far, 1e-300)
             if ratio > 5 or ratio < 0.2:
                 step = float(np.clip(np.sqrt(ratio), 0.1, 10))
                 rho, u = rho * step, u / step
                 inverse = np.linalg.inv(pen + rho * gram + ridge)
-    return v, "optimal_inaccurate"
+    return v * unit, "optimal_inaccurate"
