@@ -119,7 +119,7 @@ def decode_segments(words: np.ndarray, at: np.ndarray, state: np.ndarray, rows:
         state = table.freq[symbols] * (state >> np.uint64(SCALE)) + slot - table.start[symbols]
         low = state < _LOW
         ahead = np.cumsum(low, axis=1)
-        place = np.where(low, at[:, None] + ahead - 1, len(words) - 1)
+        place = np.where(low, np.minimum(at[:, None] + ahead - 1, len(words) - 1), len(words) - 1)
         state = np.where(low, (state << _32) | words[place], state)
         at = at + ahead[:, -1]
     return out
