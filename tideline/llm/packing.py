@@ -1,7 +1,10 @@
 """Lexical retrieval packing: windows filled with a seed document's nearest unused neighbours.
 
-Documents are dealt into shards of a bounded number of bytes by a hash. A shard holds a BM25
-inverted index over its own documents. Its token stream is laid out greedily: the document that
+Document frequencies, the number of documents and their mean length are counted over all documents.
+Documents are ordered by a lexical code, their path down a tree of centres of BM25 vectors and then
+their rarest shared term, and this order is cut into shards of a bounded number of bytes: documents
+that share telling terms meet, and groups that are too large for a shard are split. A shard holds a BM25
+inverted index over its own documents, weighted by the frequencies in all. Its token stream is laid out greedily: the document that
 opens a window is the seed; its best-scoring unused neighbours follow until the window is full; the
 document that crosses into the next window is cut there and is that window's seed. Only a shard's
 last window can need padding.
@@ -11,20 +14,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.llm.storage import materialise
 from tideline.llm.textops import Words, slices
 from tideline.llm.tokens import encoder
 
-#: Tokens of a window, the id that ends a document, and text bytes of a shard on average.
+#: Tokens of a window, the id that ends a document, and text bytes of a shard at most (a longer document is one alone).
 WINDOW, END_ID, SHARD_BYTES = 1024, 0, 8 << 20
 #: BM25's constants, and the most telling terms of a seed that are looked up.
 K1, B, TERMS = 1.2, 0.75, 12
+#: Slots of a document's vector, branches and levels of the tree of centres (4 bits of a code each), and
+#: documents that it is trained on: a shard's number, at least.
+SLOTS, BRANCHES, LEVELS, TRAINED, LEAST = 256, 16, 8, 16, 4096
 
 _PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -32,27 +42,187 @@ _PIECES = T.StructType([
 ])
 
 
+def postings(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice its first row, (document, term, frequency) by document and term, and documents' lengths."""
+    for row, data, offsets in slices(column):
+        words = Words(data, offsets, lower=True)
+        order = np.lexsort((h := words.hashes(), words.doc))
+        doc, term = words.doc[order], h[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
+        at = np.flatnonzero(new)
+        yield row, doc[at], term[at], np.diff(np.append(at, len(doc))), words.counts
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """Counts over all documents; ``terms`` (sorted) are those of two documents at least, with their ``df``."""
+
+    n: int
+    words: int
+    size: int
+    terms: np.ndarray
+    df: np.ndarray
+
+    @staticmethod
+    def count(docs: DataFrame) -> Corpus:
+        """From ``docs(text)``, one pass and one shuffle of terms; exact."""
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, found, words = batch.column(0), [], 0
+                for _, _, term, _, lengths in postings(texts):
+                    found.append(term)
+                    words += int(lengths.sum())
+                terms, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
+                size = len(texts) * 64 + sum(len(data) for _, data, _ in slices(texts))
+                yield pa.RecordBatch.from_arrays([
+                    pa.concat_arrays([pa.array(terms.view(np.int64)), pa.nulls(1, pa.int64())]), pa.array(np.append(n, len(texts)), pa.int64()),
+                    pa.array(np.append(np.zeros(len(n), np.int64), words)), pa.array(np.append(np.zeros(len(n), np.int64), size)),
+                ], names=["term", "n", "words", "size"])
+
+        parts = docs.select("text").mapInArrow(partial, "term bigint, n bigint, words bigint, size bigint")
+        sums = parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "words", "size")])
+        table = sums.where(F.col("term").isNull() | (F.col("n") > 1)).toArrow()
+        whole = table.filter(table["term"].is_null())
+        n, words, size = (whole[c][0].as_py() if len(whole) else 0 for c in ("n", "words", "size"))
+        table = table.filter(table["term"].is_valid())
+        terms, df = table["term"].to_numpy().view(np.uint64), table["n"].to_numpy()
+        order = np.argsort(terms)
+        return Corpus(n, words, size, terms[order], df[order].astype(np.int32 if n < 2**31 else np.int64))
+
+    def frequency(self, terms: np.ndarray) -> np.ndarray:
+        """In how many documents each term is."""
+        if not len(self.terms):
+            return np.ones(len(terms), np.int64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, self.df[at], 1).astype(np.int64)
+
+    def weigh(self, df: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """BM25's weights of terms in documents of a ``length``."""
+        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(self.words / max(self.n, 1), 1e-9)))
+
+
+def vectors(column: pa.Array, corpus: Corpus) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each slice its first row, unit vectors of BM25 weights with terms hashed to ``SLOTS``, and the
+    first 16 bits of each document's rarest shared term (0 for none, ties to the larger hash)."""
+    for row, doc, term, tf, lengths in postings(column):
+        df = corpus.frequency(term)
+        shared = np.flatnonzero(df > 1)
+        shared = shared[np.lexsort((term[shared], -df[shared], doc[shared]))]
+        doc, term = doc[shared], term[shared]
+        weight = corpus.weigh(df[shared], tf[shared], lengths[doc]) * np.where(term >> np.uint64(63), 1, -1)
+        slot = doc * SLOTS + (term & np.uint64(SLOTS - 1)).astype(np.int64)
+        dense = np.bincount(slot, weight, len(lengths) * SLOTS).reshape(-1, SLOTS)
+        rare = np.zeros(len(lengths), np.uint64)
+        last = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) if len(doc) else doc
+        rare[doc[last]] = term[last] << np.uint64(1) >> np.uint64(48)
+        yield row, (dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)).astype(np.float32), rare
+
+
+@dataclass(frozen=True)
+class Centres:
+    """A node of the tree: unit centres and, for each, the node below it or None."""
+
+    centres: np.ndarray
+    below: list[Centres | None]
+
+    @staticmethod
+    def grow(x: np.ndarray, shards: float, level: int = 0) -> Centres | None:
+        """Splits ``x``, which stand for so many shards' documents, by spherical k-means, until half a shard is left."""
+        k = min(BRANCHES, math.ceil(2 * shards), len(x) // 4)
+        if k < 2 or level == LEVELS:
+            return None
+        centres, near = x[:1], x @ x[0]
+        while len(centres) < k and near.min() < 1 - 1e-5:  # the farthest ones first, so that copies open one branch
+            centres = np.concatenate([centres, x[[near.argmin()]]])
+            near = np.maximum(near, x @ centres[-1])
+        for _ in range(8):
+            mine = (x @ centres.T).argmax(1)
+            sums = np.stack([x[mine == i].sum(0) for i in range(len(centres))])
+            norm = np.linalg.norm(sums, axis=1, keepdims=True)
+            centres = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), centres).astype(np.float32)
+        mine = (x @ centres.T).argmax(1)
+        if len(np.unique(mine)) < 2:
+            return None
+        return Centres(centres, [Centres.grow(x[mine == i], shards * (mine == i).mean(), level + 1) for i in range(len(centres))])
+
+    @staticmethod
+    def learn(docs: DataFrame, corpus: Corpus, shared: Broadcast, shards: float) -> Centres | None:
+        """From some of ``docs(text, tail)``, chosen by the hash ``tail``; they decide company only, not which rows are packed."""
+        if shards <= 1:
+            return None
+        chance = max(LEAST, TRAINED * math.ceil(shards)) / corpus.n
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, x, _ in vectors(batch.column(0), shared.value):
+                    yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())], names=["x"])
+
+        chosen = docs.where(F.pmod(F.shiftrightunsigned("tail", 20), F.lit(1 << 20)) < int(min(chance, 1) * (1 << 20)))
+        rows = sorted(r.x for r in chosen.select("text").mapInArrow(encode, "x binary").toLocalIterator())
+        return Centres.grow(np.frombuffer(b"".join(rows), "<f4").reshape(-1, SLOTS), shards) if rows else None
+
+    def paths(self, x: np.ndarray) -> np.ndarray:
+        """Paths down the tree, 4 bits a level from the first bit of 64 on."""
+        out, left = np.zeros(len(x), np.uint64), [(self, np.arange(len(x)), 60)]
+        while left:
+            node, rows, shift = left.pop()
+            mine = (x[rows] @ node.centres.T).argmax(1)
+            out[rows] |= mine.astype(np.uint64) << np.uint64(shift)
+            left += [(below, part, shift - 4) for i, below in enumerate(node.below) if below and len(part := rows[mine == i])]
+        return out
+
+
+def codes(column: pa.Array, corpus: Corpus, tree: Centres | None) -> np.ndarray:
+    """Each document's lexical code without its last 16 bits: 32 bits of path, 16 of its rarest shared term."""
+    out = np.zeros(len(column), np.uint64)
+    for row, x, rare in vectors(column, corpus):
+        out[row : row + len(x)] = rare << np.uint64(16)
+        if tree:
+            out[row : row + len(x)] |= tree.paths(x)
+    return out
+
+
+def cuts(coded: DataFrame, most: int) -> np.ndarray:
+    """The first codes of shards after the first, for ``coded(code, size)``: ranges of at most ``most`` bytes.
+
+    Byte sums of codes by their first 8 bits; prefixes of more than ``most`` bytes are looked at with
+    8 bits more, so the driver gets at most 256 rows for each of those.
+    """
+    leaves: list[tuple[int, int]] = []
+    heavy = None
+    for bits in range(8, 65, 8):
+        prefix = F.shiftrightunsigned("code", 64 - bits)
+        rows = coded if heavy is None else coded.join(F.broadcast(heavy), F.shiftrightunsigned("code", 72 - bits) == F.col("head"), "left_semi")
+        sums = [(r.prefix % 2**bits, r.size) for r in rows.groupBy(prefix.alias("prefix")).agg(F.sum("size").alias("size")).collect()]
+        over = [p for p, size in sums if size > most and bits < 64]
+        leaves += [(p << 64 - bits, size) for p, size in sums if size <= most or bits == 64]
+        if not over:
+            break
+        heavy = coded.sparkSession.createDataFrame([(p,) for p in over], "head bigint")
+    out, held = [], 0
+    for first, size in sorted(leaves):
+        if held and held + size > most:
+            out.append(first)
+            held = 0
+        held += size
+    return np.array(out, np.uint64)
+
+
 class BM25:
-    """An inverted index over the words (A-Z lower-cased) of one shard's texts."""
-
-    def __init__(self, column: pa.Array):
-        docs, terms, freqs, lengths, row = [], [], [], [], 0
-        for _, data, offsets in slices(column):
-            words = Words(data, offsets, lower=True)
-            order = np.lexsort((h := words.hashes(), words.doc))
-            doc, term = words.doc[order], h[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
-            at = np.flatnonzero(new)
-            docs.append(doc[at] + row), terms.append(term[at]), freqs.append(np.diff(np.append(at, len(doc)))), lengths.append(words.counts)
-            row += len(offsets) - 1
+    """An inverted index over the words (A-Z lower-cased) of one shard's texts, weighted by ``corpus``."""
+
+    def __init__(self, column: pa.Array, corpus: Corpus):
+        docs, terms, freqs, lengths = [], [], [], []
+        for row, doc, term, tf, counts in postings(column):
+            docs.append(doc + row), terms.append(term), freqs.append(tf), lengths.append(counts)
         doc, term, tf = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (docs, terms, freqs))
         length = np.concatenate(lengths).astype(np.float64) if lengths else np.empty(0)
-        self.n = n = row
-        _, number, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(length.mean() if n else 1.0, 1e-9))
-        weight = idf[number] * tf * (K1 + 1) / (tf + norm[doc])
+        self.n = n = len(column)
+        distinct, number, df = np.unique(term, return_inverse=True, return_counts=True)
+        weight = corpus.weigh(corpus.frequency(distinct)[number], tf, length[doc])
         by_term = np.argsort(number, kind="stable")
         self.docs, self.weights = doc[by_term], weight[by_term].astype(np.float32)
         self.start = np.concatenate([[0], np.cumsum(df)])
@@ -111,10 +281,27 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     null ``doc_id`` is carried. Long texts are cut at windows. Extra columns are ignored; an empty
     table gives an empty result.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    corpus = Corpus.count(texts)
+    shared = spark.sparkContext.broadcast(corpus)
+    texts = texts.withColumns({"tail": F.xxhash64("doc_id", "text"), "size": (F.octet_length("text") + 64).cast("long")})
+    tree = spark.sparkContext.broadcast(Centres.learn(texts, corpus, shared, corpus.size / shard_bytes))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tail = batch.column(2).to_numpy().view(np.uint64) & np.uint64(0xFFFF)
+            found = (codes(batch.column(1), shared.value, tree.value) | tail).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(found)], names=["doc_id", "text", "size", "code"])
+
+    coded = materialise(texts.mapInArrow(code, "doc_id bigint, text string, size bigint, code bigint"), "packing")
+    first = cuts(coded.select("code", "size"), shard_bytes)
+
+    @F.pandas_udf("long")
+    def shard_of(code: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(first, code.to_numpy().view(np.uint64), "right"))
+
+    dealt = coded.select(shard_of("code").alias("shard"), "doc_id", "text")
 
     def fill(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
@@ -124,7 +311,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         tokens = np.array([len(x) for x in ids], np.int64)
         rows: dict[str, list] = {n: [] for n in _PIECES.names}
         doc_ids, at = table["doc_id"].to_pylist(), 0
-        for d in layout(BM25(texts), tokens, window):
+        for d in layout(BM25(texts, shared.value), tokens, window):
             start = 0
             while start < tokens[d]:
                 length = int(min(tokens[d] - start, window - at % window))
