@@ -47,3 +47,44 @@ def test_counts_are_of_all_documents(topics):
             df[term] = df.get(term, 0) + 1
     assert (corpus.n, corpus.words) == (480, sum(map(len, words)))
     assert sorted(corpus.df.tolist()) == sorted(n for n in df.values() if n > 1)
+
+
+def _index(texts):
+    words = [t.split() for t in texts]
+    distinct = sorted({w for ws in words for w in ws})
+    term = {w: next(packing.postings(packing.pa.array([w])))[2][0] for w in distinct}
+    df = {w: sum(w in ws for ws in words) for w in distinct}
+    terms = np.array([term[w] for w in distinct], np.uint64)
+    order = np.argsort(terms)
+    corpus = packing.Corpus(len(texts), sum(map(len, words)), 0, terms[order], np.array([df[w] for w in distinct])[order])
+    scores = np.zeros((len(texts), len(texts)))
+    for i, seed in enumerate(words):
+        for j, doc in enumerate(words):
+            for w in set(seed) & set(doc):
+                scores[i, j] += corpus.weigh(np.array(df[w]), np.array(doc.count(w)), np.array(len(doc)))
+    return packing.BM25(packing.pa.array(texts), corpus), scores
+
+
+def test_neighbours_are_ranked_by_all_terms_of_the_seed():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in (rng.random(30) ** 2 * 120).astype(int)) for _ in range(150)]
+    index, scores = _index(texts)
+    used = np.zeros(150, bool)
+    used[::7] = True
+    for forget in (False, True):
+        if forget:
+            index.forget(used)
+        for seed in (0, 35, 149):
+            got = list(index.neighbours(seed, used | (np.arange(150) == seed)))
+            want = [j for j in range(150) if scores[seed, j] > 0 and not used[j] and j != seed]
+            assert sorted(got) == want
+            assert np.all(np.diff(scores[seed, got]) <= 1e-4)
+
+
+def test_common_terms_find_company_when_rare_ones_are_used_up():
+    # 20 terms of the seed occur in one other text each; "shared" is in half of all texts
+    texts = ["shared " + " ".join(f"rare{k}" for k in range(20))]
+    texts += [f"other{k} only{k}" for k in range(30)] + [f"rare{k} x{k}" for k in range(20)] + [f"shared y{k}" for k in range(30)]
+    index, _ = _index(texts)
+    order = packing.layout(index, np.full(len(texts), 10), window=600)
+    assert set(order[:51]) == {0, *range(31, 81)}

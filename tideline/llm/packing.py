@@ -30,8 +30,8 @@ from tideline.llm.tokens import encoder
 
 #: Tokens of a window, the id that ends a document, and text bytes of a shard at most (a longer document is one alone).
 WINDOW, END_ID, SHARD_BYTES = 1024, 0, 8 << 20
-#: BM25's constants, and the most telling terms of a seed that are looked up.
-K1, B, TERMS = 1.2, 0.75, 12
+#: BM25's constants, and how many of a seed's neighbours are put in order at first.
+K1, B, NEAREST = 1.2, 0.75, 64
 #: Slots of a document's vector, branches and levels of the tree of centres (4 bits of a code each), and
 #: documents that it is trained on: a shard's number, at least.
 SLOTS, BRANCHES, LEVELS, TRAINED, LEAST = 256, 16, 8, 16, 4096
@@ -226,28 +226,37 @@ class BM25:
         by_term = np.argsort(number, kind="stable")
         self.docs, self.weights = doc[by_term], weight[by_term].astype(np.float32)
         self.start = np.concatenate([[0], np.cumsum(df)])
-        # each document's most telling shared terms: rows (doc, -idf * tf part), kept up to TERMS
-        shared = np.flatnonzero((df[number] > 1) & (df[number] <= max(2, n // 4)))
-        order = shared[np.lexsort((number[shared], -weight[shared], doc[shared]))]
-        self.first = np.searchsorted(doc[order], np.arange(n + 1))
-        self.query = number[order]
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share telling terms with the seed, best first, ties to the first."""
-        terms = self.query[self.first[seed] : min(self.first[seed] + TERMS, self.first[seed + 1])]
+        # each document's terms that other documents share
+        shared = np.flatnonzero(df[number] > 1)
+        self.first = np.searchsorted(doc[shared], np.arange(n + 1))
+        self.query = number[shared]
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """Every unused document that shares a term with the seed, best BM25 of all its terms first, ties to the first."""
+        terms = self.query[self.first[seed] : self.first[seed + 1]]
         if not len(terms):
-            return terms
+            return
         spans = [slice(self.start[t], self.start[t + 1]) for t in terms]
-        doc = np.concatenate([self.docs[s] for s in spans])
-        found, inverse = np.unique(doc, return_inverse=True)
-        score = np.bincount(inverse, np.concatenate([self.weights[s] for s in spans]))
-        free = ~used[found]
-        return found[free][np.argsort(-score[free], kind="stable")]
+        score = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+        score[used] = 0
+        found = np.flatnonzero(score)
+        score = score[found]
+        top = np.ones(len(found), bool)
+        if len(found) > NEAREST:
+            top = score >= np.partition(score, len(found) - NEAREST)[len(found) - NEAREST]
+        for some in (top, ~top):
+            yield from found[some][np.argsort(-score[some], kind="stable")].tolist()
+
+    def forget(self, used: np.ndarray) -> None:
+        """Drops used documents from the lists that are looked up."""
+        keep = ~used[self.docs]
+        self.start = np.concatenate([[0], np.cumsum(keep)])[self.start]
+        self.docs, self.weights = self.docs[keep], self.weights[keep]
 
 
 def layout(index: BM25, tokens: np.ndarray, window: int = WINDOW) -> list[int]:
     """The order of a shard's documents in its stream."""
-    used, order, at, turn = np.zeros(index.n, bool), [], 0, 0
+    used, order, at, turn, kept = np.zeros(index.n, bool), [], 0, 0, index.n
     seed: int | None = None
     while len(order) < index.n:
         if seed is None:
@@ -261,7 +270,10 @@ def layout(index: BM25, tokens: np.ndarray, window: int = WINDOW) -> list[int]:
         opener, seed = seed, None
         if not room:
             continue
-        for near in index.neighbours(opener, used).tolist():
+        if index.n - len(order) < 0.75 * kept:
+            index.forget(used)
+            kept = index.n - len(order)
+        for near in index.neighbours(opener, used):
             used[near] = True
             order.append(near)
             at += int(tokens[near])
