@@ -1,15 +1,16 @@
 """Language identification by language-bitmask n-gram filters.
 
-A Bloom filter whose slots hold one bit per language answers, with a few look-ups, which languages
-contain an n-gram: the AND of the n-gram's slots is the set of these languages. A text's n-grams
+A Bloom filter whose slots hold one bit per language, in as many 64-bit words as the languages need,
+answers, with a few look-ups, which languages contain an n-gram: the AND of the n-gram's slots is the set of these languages. A text's n-grams
 vote by popcount per language; a language's count is corrected for the false positives that its
 filter's fill predicts, and the largest corrected share decides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -70,48 +71,50 @@ def _probes(grams: np.ndarray) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """Bit ``i`` of a slot belongs to ``languages[i]``."""
+    """Bit ``i % 64`` of word ``i // 64`` of a slot belongs to ``languages[i]``; ``slots`` has a row for each word."""
 
     languages: tuple[str, ...]
     slots: np.ndarray
     false_positive: np.ndarray
 
     @staticmethod
-    def learn(texts: dict[str, list[str]]) -> LanguageFilters:
-        """Filters from texts by language (64 languages at most)."""
-        languages = tuple(sorted(texts))
-        if len(languages) > 64:
-            raise ValueError("a slot holds 64 languages at most")
-        counted = []
-        for lang in languages:
-            grams = [ngrams(data, offsets)[0] for _, data, offsets in slices(pa.array(texts[lang], pa.large_string()))]
-            counted.append(np.unique(np.concatenate(grams) if grams else np.empty(0, np.uint32), return_counts=True))
+    def learn(texts: Iterable[tuple[str, Iterable[str]]]) -> LanguageFilters:
+        """Filters from languages and their texts; one language's texts are held at a time."""
+        by_language = {}
+        for lang, some in texts:
+            grams = [ngrams(data, offsets)[0] for _, data, offsets in slices(pa.array(list(some), pa.large_string()))]
+            by_language[lang] = np.unique(np.concatenate(grams) if grams else np.empty(0, np.uint32), return_counts=True)
+        languages = tuple(sorted(by_language))
+        counted = [by_language[lang] for lang in languages]
         every = np.unique(np.concatenate([g for g, _ in counted])) if counted else np.empty(0, np.uint32)
-        share = np.zeros((len(languages), len(every)))
-        seen = np.zeros((len(languages), len(every)), np.int64)
+        total = np.zeros(len(every))
+        for grams, counts in counted:
+            total[np.searchsorted(every, grams)] += counts / max(counts.sum(), 1)
+        slots = np.zeros((-(-len(languages) // 64), SLOTS), np.uint64)
+        fill = np.zeros(len(languages))
         for i, (grams, counts) in enumerate(counted):
-            at = np.searchsorted(every, grams)
-            seen[i, at] = counts
-            share[i, at] = counts / max(counts.sum(), 1)
-        total = share.sum(0)
-        slots = np.zeros(SLOTS, np.uint64)
-        for i in range(len(languages)):
-            mine = every[(seen[i] >= min(SEEN, max(seen[i].max(initial=0), 1))) & (share[i] >= SHARE * total)]
+            share = counts / max(counts.sum(), 1)
+            mine = grams[(counts >= min(SEEN, max(counts.max(initial=0), 1))) & (share >= SHARE * total[np.searchsorted(every, grams)])]
+            word, bit = divmod(i, 64)
             for at in _probes(mine):
-                slots[at] |= np.uint64(1 << i)
-        fill = np.array([np.count_nonzero(slots >> np.uint64(i) & np.uint64(1)) / SLOTS for i in range(len(languages))])
+                slots[word, at] |= np.uint64(1 << bit)
+            fill[i] = np.count_nonzero(slots[word] >> np.uint64(bit) & np.uint64(1)) / SLOTS
         return LanguageFilters(languages, slots, fill**PROBES)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each document's language index, or -1, and the score in 0 to 1."""
         grams, bounds = ngrams(data, offsets)
-        mask = None
-        for at in _probes(grams):
-            mask = self.slots[at] if mask is None else mask & self.slots[at]
+        probes = list(_probes(grams))
         n = np.diff(bounds).astype(np.float64)
         shares = np.zeros((len(self.languages), len(n)))
         for i in range(len(self.languages)):
-            hits = np.concatenate([[0], np.cumsum((mask >> np.uint64(i)) & np.uint64(1))]).astype(np.int64)
+            word, bit = divmod(i, 64)
+            if not bit:
+                slots = self.slots[word]
+                mask = slots[probes[0]]
+                for at in probes[1:]:
+                    mask = mask & slots[at]
+            hits = np.concatenate([[0], np.cumsum((mask >> np.uint64(bit)) & np.uint64(1))]).astype(np.int64)
             found = np.diff(hits[bounds])
             shares[i] = np.maximum(found - n * self.false_positive[i], 0) / (1 - self.false_positive[i])
         if not len(self.languages):
@@ -127,15 +130,12 @@ def learn_filters(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFi
     The sample is chosen by the hash of the id: ``sample_rows`` per language in expectation.
     """
     usable = docs.where(F.col("lang").isNotNull() & ~held_out())
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
-    chance = F.lit(0)
-    for lang, n in counts.items():
-        chance = F.when(F.col("lang") == lang, int(min(1.0, sample_rows / n) * (1 << 20))).otherwise(chance)
-    chosen = usable.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < chance))
-    texts: dict[str, list[str]] = {}
-    for row in chosen.select("lang", "text").toLocalIterator():
-        texts.setdefault(row.lang, []).append(row.text)
-    return LanguageFilters.learn(texts)
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    chance = F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.col("n")) * (1 << 20)
+    known = usable.where(F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)).alias("place"))
+    chosen = known.join(F.broadcast(counts), "lang").where(F.col("place") < chance.cast("int"))
+    rows = chosen.select("lang", "text").repartition("lang").sortWithinPartitions("lang").toLocalIterator()
+    return LanguageFilters.learn((lang, (r.text for r in some)) for lang, some in groupby(rows, lambda r: r.lang))
 
 
 def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
