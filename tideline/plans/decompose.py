@@ -52,9 +52,10 @@ def decompose(df: DataFrame, model: Model, keys: tuple[str, ...] = ("series_id",
 
 
 def curves(solved: DataFrame, model: Model, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """(keys, t, y, roles, residual, reconstruction), one row per grid point of solved series."""
-    zipped = F.arrays_zip("t", "y", "residual", *[F.col("roles")[r].alias(r) for r in model.roles])
-    rows = solved.where(~F.col("status").startswith("failed")).select(*keys, F.explode(zipped).alias("r"))
+    """(keys, t, y, roles, residual, reconstruction), one row per grid point; nulls from the roles on where the solve failed."""
+    none = F.array().cast("array<double>")
+    zipped = F.arrays_zip("t", "y", "residual", *[F.coalesce(F.col("roles")[r], none).alias(r) for r in model.roles])
+    rows = solved.select(*keys, F.explode(zipped).alias("r"))
     total = sum((F.col(f"r.`{r}`") for r in model.roles[1:]), F.col(f"r.`{model.roles[0]}`"))
     return rows.select(*keys, "r.t", "r.y", *[F.col(f"r.`{r}`").alias(r) for r in model.roles], F.col("r.residual").alias("residual"), total.alias("reconstruction"))
 

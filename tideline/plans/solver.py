@@ -1,27 +1,34 @@
 """Solves one series in NumPy: ``min (1/T) sum over observed phi(y - s) + sum of component losses``.
 
 The residual is 0 on unobserved rows. Without non-smooth terms this is one linear system; isotonic
-least squares is solved by pooling; all else by ADMM on ``1/2 v'Pv - q'v + f(Kv)``.
+least squares is solved by pooling; all else by ADMM on ``1/2 v'Pv - q'v + f(Kv)``. Long series of free
+values take the same steps on sparse rows and a block-tridiagonal system.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from tideline.functions.basis import default_knots, seasonal_matrix, spline_matrix
+from tideline.plans.banded import Rows, System, beside
 from tideline.plans.specs import Component, Model
 
-#: Longest series of a model with free values, for which dense matrices are formed.
+#: Longest series of a model with free values, for which dense matrices are formed; longer ones are banded.
 MAX_FREE = 3000
 
 
 class _Part:
-    """A component on a grid: values ``basis @ v`` (identity: None), quadratic penalty, non-smooth terms."""
+    """A component on a grid: values ``basis @ v`` (identity: None), quadratic penalty, non-smooth terms.
+
+    Of a ``long`` series, matrices of free values are sparse rows, and ``root`` is that of their penalty.
+    """
 
-    def __init__(self, c: Component, t: np.ndarray, z: dict[str, np.ndarray]):
-        n, p = len(t), c.params
+    def __init__(self, c: Component, t: np.ndarray, z: dict[str, np.ndarray], long: bool = False):
+        n, p, self.root = len(t), c.params, None
         self.c, self.basis, self.quad, self.terms, self.knots = c, None, None, [], None
-        diff = lambda k: np.diff(np.eye(n), k, axis=0)
+        diff = (lambda k: Rows.difference(n, k)) if long else (lambda k: np.diff(np.eye(n), k, axis=0))
         if c.kind == "linear":
             self.basis, self.quad = np.stack([np.ones(n), np.arange(n, dtype=float)], 1), np.diag([0.0, 2 * p["weight"]])
         elif c.kind == "exog_linear":
@@ -37,25 +44,37 @@ class _Part:
             self.quad = np.diag(2 * (p["weight"] * pen) ** 2)
         elif c.kind == "smooth":
             d = diff(p["order"])
-            self.quad = 2 * p["weight"] * d.T @ d
+            self._square(d, p["weight"], long)
         elif c.kind == "monotone":
-            d = diff(2)
-            self.quad = 2 * p["weight"] * d.T @ d if p["weight"] else None
+            if p["weight"]:
+                self._square(diff(2), p["weight"], long)
             self.terms.append((diff(1), "sign", 1.0 if p["increasing"] else -1.0))
         elif c.kind in ("pwl", "pwc"):
             k = 2 if c.kind == "pwl" else 1
             self.terms.append((diff(k), "l1", p["weight"] / max(n - k, 1)))
         elif c.kind == "sparse":
-            self.terms.append((np.eye(n), "l1", p["weight"] / n))
+            self.terms.append((diff(0), "l1", p["weight"] / n))
         elif c.kind == "soiling":
-            self.terms += [(diff(1), "falls", p["down"]), (np.eye(n), "l1", p["size"])]
+            self.terms += [(diff(1), "falls", p["down"]), (diff(0), "l1", p["size"])]
         else:
             raise ValueError(f"unknown component {c.kind!r}")
         if c.lower is not None or c.upper is not None:
             box = (-np.inf if c.lower is None else c.lower, np.inf if c.upper is None else c.upper)
-            self.terms.append((np.eye(n) if self.basis is None else self.basis, "box", box))
+            rows = diff(0) if self.basis is None else Rows.dense(self.basis) if long else self.basis
+            self.terms.append((rows, "box", box))
         self.size = n if self.basis is None else self.basis.shape[1]
 
+    def _square(self, d: np.ndarray | Rows, weight: float, long: bool) -> None:
+        if long:
+            self.root = d.scaled(float(np.sqrt(2 * weight)))
+        else:
+            self.quad = 2 * weight * d.T @ d
+
+    def penalty(self, x: np.ndarray) -> float:
+        if self.root is not None:
+            return 0.5 * float(((self.root @ x) ** 2).sum())
+        return 0.5 * float(x @ self.quad @ x) if self.quad is not None else 0.0
+
 
 def _prox(kind: str, x: np.ndarray, param: object, step: float) -> np.ndarray:
     if kind == "l1":
@@ -129,34 +148,20 @@ def solve(y: np.ndarray, model: Model, z: dict[str, np.ndarray] | None = None, t
         residual = np.where(seen, y - value, 0.0)
         return {"status": "optimal", "values": {only.role: value}, "residual": residual, "scalars": {}, "vectors": {}, "objective": residual_loss(residual, "l2", 1.0, n)}
     free = any(c.kind not in ("linear", "exog_linear", "exog_spline", "periodic") for c in model.components)
-    if free and n > MAX_FREE:
-        raise ValueError(f"free components take at most {MAX_FREE} rows")
-    parts = [_Part(c, np.arange(n), z) for c in model.components]
+    long = free and n > MAX_FREE
+    parts = [_Part(c, np.arange(n), z, long) for c in model.components]
     ends = np.cumsum([p.size for p in parts])
     cut = [slice(e - p.size, e) for p, e in zip(parts, ends, strict=True)]
     size = int(ends[-1])
-    a = np.zeros((int(seen.sum()), size))
-    pen = np.zeros((size, size))
-    for p, s in zip(parts, cut, strict=True):
-        a[:, s] = np.eye(n)[seen] if p.basis is None else p.basis[seen]
-        if p.quad is not None:
-            pen[s, s] += p.quad
-    goal = np.zeros(size)
-    terms = [(s, k, kind, param) for p, s in zip(parts, cut, strict=True) for k, kind, param in p.terms]
-    if model.loss == "l2":
-        pen += 2 / n * a.T @ a
-        goal = 2 / n * a.T @ y[seen]
-    else:
-        terms.append((slice(0, size), a, "residual", (y[seen], model.loss, model.param, 1 / n)))
-    if not terms:
-        v, status = np.linalg.lstsq(pen, goal, rcond=1e-13)[0], "optimal"
+    if long:
+        v, status = _solve_long(parts, cut, y, seen, model, tol, most)
     else:
-        v, status = _admm(pen, goal, terms, size, tol, most)
+        v, status = _solve_dense(parts, cut, y, seen, model, tol, most)
     values, scalars, vectors, objective = {}, {}, {}, 0.0
     for p, s in zip(parts, cut, strict=True):
         x = v[s]
         values[p.c.role] = x.copy() if p.basis is None else p.basis @ x
-        objective += 0.5 * float(x @ p.quad @ x) if p.quad is not None else 0.0
+        objective += p.penalty(x)
         objective += sum(_value(kind, k @ x, param) for k, kind, param in p.terms)
         if p.c.kind == "linear":
             scalars |= {f"{p.c.role}_a": float(x[0]), f"{p.c.role}_b": float(x[1])}
@@ -169,34 +174,106 @@ def solve(y: np.ndarray, model: Model, z: dict[str, np.ndarray] | None = None, t
     return {"status": status, "values": values, "residual": residual, "scalars": scalars, "vectors": vectors, "objective": objective}
 
 
-def _admm(pen: np.ndarray, goal: np.ndarray, terms: list, size: int, tol: float, most: int) -> tuple[np.ndarray, str]:
+def _solve_dense(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.ndarray, model: Model, tol: float, most: int) -> tuple[np.ndarray, str]:
+    n, size = len(y), cut[-1].stop
+    a = np.zeros((int(seen.sum()), size))
+    pen = np.zeros((size, size))
+    for p, s in zip(parts, cut, strict=True):
+        a[:, s] = np.eye(n)[seen] if p.basis is None else p.basis[seen]
+        if p.quad is not None:
+            pen[s, s] += p.quad
+    goal = np.zeros(size)
+    terms = [(s, k, kind, param) for p, s in zip(parts, cut, strict=True) for k, kind, param in p.terms]
+    if model.loss == "l2":
+        pen += 2 / n * a.T @ a
+        goal = 2 / n * a.T @ y[seen]
+    else:
+        terms.append((slice(0, size), a, "residual", (y[seen], model.loss, model.param, 1 / n)))
+    if not terms:
+        return np.linalg.lstsq(pen, goal, rcond=1e-13)[0], "optimal"
+    return _admm(_Dense(pen, terms, size), goal, terms, tol, most)
+
+
+def _solve_long(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.ndarray, model: Model, tol: float, most: int) -> tuple[np.ndarray, str]:
+    n, size = len(y), cut[-1].stop
+    free = [p.basis is None for p in parts]
+    m = sum(free)
+    place, banded, coefficients = np.empty(size, np.int64), 0, m * n
+    for s, is_free in zip(cut, free, strict=True):
+        if is_free:
+            place[s], banded = np.arange(n) * m + banded, banded + 1
+        else:
+            place[s], coefficients = coefficients + np.arange(s.stop - s.start), coefficients + s.stop - s.start
+    put = lambda rows, s: rows.moved(place[s], size)
+    here = np.flatnonzero(seen)
+    fits = [Rows(here[:, None], np.ones((len(here), 1)), n) if p.basis is None else Rows.dense(p.basis[seen]) for p in parts]
+    a = beside([put(f, s) for f, s in zip(fits, cut, strict=True)])
+    quadratic = [put(p.root, s) for p, s in zip(parts, cut, strict=True) if p.root is not None]
+    quadratic += [put(Rows.dense(np.sqrt(p.quad)), s) for p, s in zip(parts, cut, strict=True) if p.quad is not None]
+    terms = [(s, put(k, s), kind, param) for p, s in zip(parts, cut, strict=True) for k, kind, param in p.terms]
+    goal = np.zeros(size)
+    if model.loss == "l2":
+        quadratic.append(a.scaled(float(np.sqrt(2 / n))))
+        goal = 2 / n * a.back(y[seen])
+    else:
+        terms.append((slice(0, size), a, "residual", (y[seen], model.loss, model.param, 1 / n)))
+    system = System(quadratic, [k for _, k, _, _ in terms], size, m * n)
+    if terms:
+        v, status = _admm(system, goal, terms, tol, most)
+        return v[place], status
+    solve_ridged, goal = system.factor(0.0, 1e-12), goal * system.unit
+    v = solve_ridged(goal)
+    for _ in range(10):
+        v = v + solve_ridged(goal - system.penalty(v))
+    return (v * system.unit)[place], "optimal"
+
+
+class _Dense:
+    """The quadratic part and the splittings of a short series; see ``System``."""
+
+    def __init__(self, pen: np.ndarray, terms: list, size: int):
+        rows = np.cumsum([k.shape[0] for _, k, _, _ in terms])
+        k_all = np.zeros((int(rows[-1]), size))
+        for (s, k, _, _), end in zip(terms, rows, strict=True):
+            k_all[int(end) - k.shape[0] : int(end), s] = k
+        # unit columns, so that one step size suits levels, slopes and coefficients
+        self.unit = 1 / np.sqrt(np.maximum((k_all**2).sum(0) + np.diag(pen), 1e-12))
+        self.k, self.pen, self.size = k_all * self.unit, pen * self.unit[:, None] * self.unit, size
+        self.gram = self.k.T @ self.k
+        self.trace_pen, self.trace_gram = np.trace(self.pen), np.trace(self.gram)
+
+    def forward(self, v: np.ndarray) -> np.ndarray:
+        return self.k @ v
+
+    def back(self, z: np.ndarray) -> np.ndarray:
+        return self.k.T @ z
+
+    def factor(self, rho: float, ridge: float) -> Callable[[np.ndarray], np.ndarray]:
+        inverse = np.linalg.inv(self.pen + rho * self.gram + ridge * np.eye(self.size))
+        return lambda r: inverse @ r
+
+
+def _admm(system: _Dense | System, goal: np.ndarray, terms: list, tol: float, most: int) -> tuple[np.ndarray, str]:
+    size, unit, goal = system.size, system.unit, goal * system.unit
     rows = np.cumsum([k.shape[0] for _, k, _, _ in terms])
-    k_all = np.zeros((int(rows[-1]), size))
-    spans = []
-    for (s, k, _, _), end in zip(terms, rows, strict=True):
-        spans.append(slice(int(end) - k.shape[0], int(end)))
-        k_all[spans[-1], s] = k
-    # unit columns, so that one step size suits levels, slopes and coefficients
-    unit = 1 / np.sqrt(np.maximum((k_all**2).sum(0) + np.diag(pen), 1e-12))
-    k_all, pen, goal = k_all * unit, pen * unit[:, None] * unit, goal * unit
-    gram = k_all.T @ k_all
-    scale = np.trace(pen) / size + 1e-12
-    rho = max(scale / (np.trace(gram) / size), 1e-8)
-    ridge = 1e-10 * scale * np.eye(size)
-    inverse = np.linalg.inv(pen + rho * gram + ridge)
-    z, u = np.zeros(len(k_all)), np.zeros(len(k_all))
+    spans = [slice(int(end) - k.shape[0], int(end)) for (_, k, _, _), end in zip(terms, rows, strict=True)]
+    scale = system.trace_pen / size + 1e-12
+    rho = max(scale / (system.trace_gram / size), 1e-8)
+    ridge = 1e-10 * scale
+    inverse = system.factor(rho, ridge)
+    z, u = np.zeros(int(rows[-1])), np.zeros(int(rows[-1]))
     v = np.zeros(size)
     for i in range(most):
-        v = inverse @ (goal + rho * (k_all.T @ (z - u)))
-        kv = k_all @ v
+        v = inverse(goal + rho * system.back(z - u))
+        kv = system.forward(v)
         mixed = 1.6 * kv - 0.6 * z
         old, z = z, np.empty_like(z)
         for (_, _, kind, param), s in zip(terms, spans, strict=True):
             z[s] = _prox(kind, (mixed + u)[s], param, 1 / rho)
         u = u + mixed - z
-        primal, dual = np.linalg.norm(kv - z), rho * np.linalg.norm(k_all.T @ (z - old))
+        primal, dual = np.linalg.norm(kv - z), rho * np.linalg.norm(system.back(z - old))
         near = max(np.linalg.norm(kv), np.linalg.norm(z), 1e-8)
-        far = max(rho * np.linalg.norm(k_all.T @ u), rho * np.linalg.norm(u) * np.sqrt(np.trace(gram) / size), 1e-10)
+        far = max(rho * np.linalg.norm(system.back(u)), rho * np.linalg.norm(u) * np.sqrt(system.trace_gram / size), 1e-10)
         if primal <= tol * near and dual <= tol * far:
             return v * unit, "optimal"
         if i % 25 == 24 and i < most * 0.7:
@@ -204,5 +281,5 @@ def _admm(pen: np.ndarray, goal: np.ndarray, terms: list, size: int, tol: float,
             if ratio > 5 or ratio < 0.2:
                 step = float(np.clip(np.sqrt(ratio), 0.1, 10))
                 rho, u = rho * step, u / step
-                inverse = np.linalg.inv(pen + rho * gram + ridge)
+                inverse = system.factor(rho, ridge)
     return v * unit, "optimal_inaccurate"
