@@ -122,6 +122,59 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity_scores(none, toxicity.learn(none, labels.limit(0))).count() == 0
 
 
+def test_toxicity_without_words_or_classes(spark, docs):
+    labels = spark.createDataFrame([(200, 1), (201, 0), (202, 1), (None, 0)], "doc_id bigint, toxic int")
+    for some in (labels, labels.limit(0)):
+        rows = toxicity.toxicity_scores(docs, toxicity.learn(docs, some)).collect()
+        assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_conflicting_labels_and_repeated_ids_give_one_model(spark):
+    rows = [(i % 50, " ".join(word_list(i, 20) + ["vile"] * (i % 50 < 10))) for i in range(100)]
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(50)] + [(i, 0) for i in range(5)], "doc_id bigint, toxic int")
+    scores = []
+    for k in (1, 7):
+        every = spark.createDataFrame(rows[::k] + [r for i, r in enumerate(rows) if i % k], "doc_id bigint, text string").repartition(k)
+        scores.append(sorted((r.doc_id, r.score) for r in toxicity.toxicity_scores(every, toxicity.learn(every, labels)).collect()))
+    assert scores[0] == scores[1]
+
+
+def test_toxic_scores_equal_a_plain_loop():
+    rng = np.random.default_rng(4)
+    model = toxicity.ToxicityModel(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.3, (1.5, 0.25), -0.7)
+    texts = [" ".join(word_list(i, 5 + 40 * i)) for i in range(6)] + ["Päth3tic, x", ""]
+
+    def logit(word):
+        words = toxicity.Words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]), lower=True)
+        raw, grams = b"<" + word.lower().encode() + b">", []
+        for size in toxicity.SIZES:
+            for k in range(len(raw) - size + 1):
+                h = 0
+                for byte in raw[k : k + size]:
+                    h = (h * 0x100000001B3 + byte + 1) % 2**64
+                grams.append(int(toxicity.mix(np.array([(h + ((size) << 56)) % 2**64], np.uint64))[0]) % toxicity.BUCKETS)
+        grams.append(int(toxicity.mix(words.hashes() ^ np.uint64(0x5851F42D4C957F2D))[0]) % toxicity.BUCKETS)
+        return np.mean([float(model.logit[g]) for g in grams])
+
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    got = model.score(np.frombuffer(data, np.uint8), offsets)
+    for text, score in zip(texts, got, strict=True):
+        each = [logit(w) for w in text.split()]
+        want = 1 / (1 + np.exp(-(1.5 * (np.mean(each) + 0.3) + 0.25 * (max(each) + 0.3) - 0.7))) if each else 0
+        assert abs(score - want) < 1e-6
+
+
+def test_bags_are_the_texts_means():
+    texts = [" ".join(word_list(i, 30 + i)) for i in range(4)] + [""]
+    logit = np.random.default_rng(2).normal(size=toxicity.BUCKETS).astype(np.float32)
+    model = toxicity.ToxicityModel(logit, 0.0, (1.0, 0.0), 0.0)
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, texts)))])
+    want = model.inputs(data, offsets)[0][:, 0]
+    got = [float(weight @ logit[bucket]) for bucket, weight in toxicity.bags(toxicity.pa.array(texts))]
+    assert np.allclose(got, want, atol=1e-4)
+
+
 def test_pieces_give_the_texts_back(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.pack(docs, path).collect()

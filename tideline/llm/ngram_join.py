@@ -30,15 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.llm.cells import CELLS, Counter, ranks, squeezed
 from tideline.llm.components import connected_components
 from tideline.llm.storage import materialise
 from tideline.llm.textops import mix, shingle_sets
 
 #: Words of a shingle, and the least similarity in hundredths.
 WIDTH, LEAST = 5, 75
-#: Cells of the frequency sketch, whose size does not depend on the data, and of a chunk of it. What
-#: executors share is 2 bytes a cell: counts on a logarithmic scale of ``STEPS`` ranks a doubling.
-CELLS, CHUNK, STEPS = 1 << 22, 1 << 16, 64
 #: Postings that a task sorts at once, and prefix postings of a bucket on average.
 RUN, BUCKET_ROWS = 1 << 20, 1 << 18
 #: Pairs whose sets are held at once.
@@ -66,58 +64,25 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
     """Sizes and digests of all documents (chunk null), and the task's cell counts (chunk not null)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, run, held = np.zeros(CELLS, np.uint32), [], 0
-
-        def add() -> None:
-            np.add(counts, np.bincount((np.concatenate(run) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), out=counts, casting="unsafe")
-
+        cells = Counter()
         for batch in batches:
             n, c1, c2 = [], [], []
             for s in shingle_sets(batch.column(1), width):
                 a, b = digest(s)
-                n.append(len(s)), c1.append(a), c2.append(b), run.append(s)
-                held += len(s)
-                if held > 2 * RUN:
-                    add()
-                    run, held = [], 0
+                n.append(len(s)), c1.append(a), c2.append(b), cells.add(s)
             none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), *none], names=_SCAN.names)
-        if run:
-            add()
-        chunks = [(k, _squeezed([c])) for k, c in enumerate(counts.reshape(-1, CHUNK)) if c.any()]
+        chunks = list(cells.chunks())
         none = pa.nulls(len(chunks), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k for k, _ in chunks], pa.int32()), pa.array([c for _, c in chunks], pa.binary())], names=_SCAN.names)
 
     return docs.select("doc_id", "text").mapInArrow(scan, _SCAN)
 
 
-def _ranks(scanned: DataFrame) -> np.ndarray:
-    """The logarithmic rank of each cell's count over all documents: one row per chunk comes to the driver."""
-
-    def total(rows: pa.Table) -> pa.Table:
-        counts = np.zeros(CHUNK, np.int64)
-        for squeezed in rows["counts"].to_pylist():
-            planes = np.frombuffer(pa.decompress(squeezed, 4 * CHUNK, codec="zstd", asbytes=True), np.uint8)
-            counts += np.ascontiguousarray(planes.reshape(4, CHUNK).T).view(np.uint32).ravel()
-        ranks = (np.log2(counts + 1) * STEPS).astype(np.uint16)
-        return pa.table({"chunk": rows["chunk"].slice(0, 1), "ranks": pa.array([ranks.tobytes()], pa.binary())})
-
-    out = np.zeros(CELLS, np.uint16)
-    for row in scanned.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(total, "chunk int, ranks binary").collect():
-        out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.ranks, np.uint16)
-    return out
-
-
 def prefix_length(n: int, least: int = LEAST) -> int:
     return n - -(-least * n // 100) + 1
 
 
-def _squeezed(columns: list[np.ndarray]) -> bytes:
-    """Little-endian integer columns by byte planes, which suits sorted and small values."""
-    planes = [c.view(np.uint8).reshape(len(c), -1).T for c in columns]
-    return pa.compress(np.concatenate([p.ravel() for p in planes]), codec="zstd", asbytes=True)
-
-
 def _blocks(parts: list[tuple[int, int, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
     """One block per bucket from documents' prefixes (doc, n, shingles in their order)."""
     if not parts:
@@ -136,7 +101,7 @@ def _blocks(parts: list[tuple[int, int, np.ndarray]], buckets: int) -> Iterator[
         used, local = np.unique(owner[z], return_inverse=True)
         steps = np.diff(sh[z], prepend=np.uint64(0))
         head = np.array([len(used), z.stop - z.start], np.int64).tobytes()
-        raw = _squeezed([doc[used], n[used], steps, local.astype(np.uint32), pos[z]])
+        raw = squeezed([doc[used], n[used], steps, local.astype(np.uint32), pos[z]])
         out.append({"bucket": k, "block": head + raw})
     yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.binary())]))
 
@@ -281,7 +246,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, least: int = LEAST) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = materialise(_scan(docs, width), "scan")
-    shared = docs.sparkSession.sparkContext.broadcast(_ranks(scanned))
+    shared = docs.sparkSession.sparkContext.broadcast(ranks(scanned.where("chunk is not null").select("chunk", "counts")))
     slim = scanned.where("chunk is null").select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2")
     classes = slim.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = slim.where("n_shingles > 0 and doc_id is not null").join(classes.where("copies > 1"), ["c1", "c2", "n_shingles"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))

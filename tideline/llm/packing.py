@@ -1,13 +1,14 @@
 """Lexical retrieval packing: windows filled with a seed document's nearest unused neighbours.
 
-Document frequencies, the number of documents and their mean length are counted over all documents.
-Documents are ordered by a lexical code, their path down a tree of centres of BM25 vectors and then
-their rarest shared term, and this order is cut into shards of a bounded number of bytes: documents
-that share telling terms meet, and groups that are too large for a shard are split. A shard holds a BM25
-inverted index over its own documents, weighted by the frequencies in all. Its token stream is laid out greedily: the document that
-opens a window is the seed; its best-scoring unused neighbours follow until the window is full; the
-document that crosses into the next window is cut there and is that window's seed. Only a shard's
-last window can need padding.
+Document frequencies (in cells of a fixed number, see ``cells``), the number of documents and their
+mean length are counted over all documents. Documents are ordered by a lexical code, their path down
+a tree of centres of BM25 vectors and then a min-hash of their terms weighted by IDF, and runs of
+this order are shards of a bounded number of bytes: documents that share telling terms meet, and
+groups that are too large for a shard are split. A shard holds a BM25 inverted index over its own
+documents, weighted by the frequencies in all. Some windows are filled at once, each greedily: the
+document that opens a window is its seed; its best-scoring unused neighbours follow until the window
+is full; the document that crosses into the next window is cut there and is that window's seed. Only
+a shard's last window can need padding.
 """
 
 from __future__ import annotations
@@ -17,108 +18,111 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.llm.cells import CELLS, STEPS, Counter, ranks
 from tideline.llm.storage import materialise
-from tideline.llm.textops import Words, slices
+from tideline.llm.textops import Words, mix, slices
 from tideline.llm.tokens import encoder
 
 #: Tokens of a window, the id that ends a document, and text bytes of a shard at most (a longer document is one alone).
-WINDOW, END_ID, SHARD_BYTES = 1024, 0, 8 << 20
-#: BM25's constants, and how many of a seed's neighbours are put in order at first.
-K1, B, NEAREST = 1.2, 0.75, 64
+WINDOW, END_ID, SHARD_BYTES = 1024, 0, 4 << 20
+#: Text bytes of a partition of the ordered documents, on average: each ends with a shard that may be smaller.
+PART_BYTES = 32 << 20
+#: BM25's constants, how many of a seed's neighbours are put in order at first, and windows filled at once:
+#: one for so many documents of the shard, up to a number.
+K1, B, NEAREST, PER_WINDOW, ABREAST = 1.2, 0.75, 64, 64, 16
 #: Slots of a document's vector, branches and levels of the tree of centres (4 bits of a code each), and
-#: documents that it is trained on: a shard's number, at least.
-SLOTS, BRANCHES, LEVELS, TRAINED, LEAST = 256, 16, 8, 16, 4096
+#: documents that it is trained on, in expectation.
+SLOTS, BRANCHES, LEVELS, TRAINED = 256, 16, 6, 8192
+#: Bits of a term's hash, and of a code's min-hash and tail; the tail tells equal documents apart.
+TERM_BITS, MIN_BITS, TAIL_BITS = 44, 12, 28
 
 _PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
     T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
 ])
+_ARROW_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
 def postings(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each slice its first row, (document, term, frequency) by document and term, and documents' lengths."""
+    low = np.uint64((1 << TERM_BITS) - 1)
     for row, data, offsets in slices(column):
         words = Words(data, offsets, lower=True)
-        order = np.lexsort((h := words.hashes(), words.doc))
-        doc, term = words.doc[order], h[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
-        at = np.flatnonzero(new)
-        yield row, doc[at], term[at], np.diff(np.append(at, len(doc))), words.counts
+        # a slice has at most 2**20 rows, so that a document and a term are one number
+        key = words.doc.astype(np.uint64) << np.uint64(TERM_BITS) | words.hashes() >> np.uint64(64 - TERM_BITS)
+        key.sort()
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        yield row, (key[at] >> np.uint64(TERM_BITS)).astype(np.int64), key[at] & low, np.diff(np.append(at, len(key))), words.counts
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """Counts over all documents; ``terms`` (sorted) are those of two documents at least, with their ``df``."""
+    """Counts over all documents; ``ranks`` are those of the terms' cells."""
 
     n: int
     words: int
     size: int
-    terms: np.ndarray
-    df: np.ndarray
+    ranks: np.ndarray
 
     @staticmethod
     def count(docs: DataFrame) -> Corpus:
-        """From ``docs(text)``, one pass and one shuffle of terms; exact."""
+        """From ``docs(text)``, in one pass; only cells of a fixed number are shuffled."""
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells, n, words, size = Counter(), 0, 0, 0
             for batch in batches:
-                texts, found, words = batch.column(0), [], 0
-                for _, _, term, _, lengths in postings(texts):
-                    found.append(term)
-                    words += int(lengths.sum())
-                terms, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
-                size = len(texts) * 64 + sum(len(data) for _, data, _ in slices(texts))
-                yield pa.RecordBatch.from_arrays([
-                    pa.concat_arrays([pa.array(terms.view(np.int64)), pa.nulls(1, pa.int64())]), pa.array(np.append(n, len(texts)), pa.int64()),
-                    pa.array(np.append(np.zeros(len(n), np.int64), words)), pa.array(np.append(np.zeros(len(n), np.int64), size)),
-                ], names=["term", "n", "words", "size"])
-
-        parts = docs.select("text").mapInArrow(partial, "term bigint, n bigint, words bigint, size bigint")
-        sums = parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "words", "size")])
-        table = sums.where(F.col("term").isNull() | (F.col("n") > 1)).toArrow()
-        whole = table.filter(table["term"].is_null())
-        n, words, size = (whole[c][0].as_py() if len(whole) else 0 for c in ("n", "words", "size"))
-        table = table.filter(table["term"].is_valid())
-        terms, df = table["term"].to_numpy().view(np.uint64), table["n"].to_numpy()
-        order = np.argsort(terms)
-        return Corpus(n, words, size, terms[order], df[order].astype(np.int32 if n < 2**31 else np.int64))
+                n += batch.num_rows
+                size += 64 * batch.num_rows
+                for _, _, term, tf, _ in postings(batch.column(0)):
+                    cells.add(term)
+                    words += int(tf.sum())
+                size += sum(len(data) for _, data, _ in slices(batch.column(0)))
+            rows = [{"chunk": k, "counts": counts} for k, counts in cells.chunks()] + [{"n": n, "words": words, "size": size}]
+            kinds = [("chunk", pa.int32()), ("counts", pa.binary()), ("n", pa.int64()), ("words", pa.int64()), ("size", pa.int64())]
+            for row in rows:
+                yield pa.RecordBatch.from_pylist([row], schema=pa.schema(kinds))
+
+        parts = materialise(docs.select("text").mapInArrow(partial, "chunk int, counts binary, n bigint, words bigint, size bigint"), "terms")
+        n, words, size = (x or 0 for x in parts.agg(F.sum("n"), F.sum("words"), F.sum("size")).first())
+        return Corpus(n, words, size, ranks(parts.where("chunk is not null")))
 
     def frequency(self, terms: np.ndarray) -> np.ndarray:
-        """In how many documents each term is."""
-        if not len(self.terms):
-            return np.ones(len(terms), np.int64)
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        return np.where(self.terms[at] == terms, self.df[at], 1).astype(np.int64)
+        """In about how many documents each term is: its cell's count."""
+        found = np.exp2((self.ranks[(terms % np.uint64(CELLS)).astype(np.int64)] + 0.5) / STEPS) - 1
+        return np.maximum(found, 1)
+
+    def idf(self, df: np.ndarray) -> np.ndarray:
+        return np.log1p(np.maximum(self.n - df + 0.5, 0.5) / (df + 0.5))
 
     def weigh(self, df: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
         """BM25's weights of terms in documents of a ``length``."""
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(self.words / max(self.n, 1), 1e-9)))
+        return self.idf(df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(self.words / max(self.n, 1), 1e-9)))
 
 
 def vectors(column: pa.Array, corpus: Corpus) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each slice its first row, unit vectors of BM25 weights with terms hashed to ``SLOTS``, and the
-    first 16 bits of each document's rarest shared term (0 for none, ties to the larger hash)."""
+    """For each slice its first row, unit vectors of BM25 weights with terms hashed to ``SLOTS``, and each
+    document's min-hash: equal for two documents as often as their terms are common, by IDF."""
     for row, doc, term, tf, lengths in postings(column):
         df = corpus.frequency(term)
-        shared = np.flatnonzero(df > 1)
-        shared = shared[np.lexsort((term[shared], -df[shared], doc[shared]))]
-        doc, term = doc[shared], term[shared]
-        weight = corpus.weigh(df[shared], tf[shared], lengths[doc]) * np.where(term >> np.uint64(63), 1, -1)
-        slot = doc * SLOTS + (term & np.uint64(SLOTS - 1)).astype(np.int64)
+        mixed = mix(term)
+        weight = corpus.weigh(df, tf, lengths[doc]) * np.where(mixed >> np.uint64(63), 1, -1)
+        slot = doc * SLOTS + (mixed & np.uint64(SLOTS - 1)).astype(np.int64)
         dense = np.bincount(slot, weight, len(lengths) * SLOTS).reshape(-1, SLOTS)
-        rare = np.zeros(len(lengths), np.uint64)
-        last = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) if len(doc) else doc
-        rare[doc[last]] = term[last] << np.uint64(1) >> np.uint64(48)
-        yield row, (dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)).astype(np.float32), rare
+        least = np.zeros(len(lengths), np.uint64)
+        if len(doc):
+            draw = -np.log(((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53) / np.maximum(corpus.idf(df), 1e-9)
+            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            lowest = np.repeat(np.minimum.reduceat(draw, first), np.diff(np.append(first, len(doc))))
+            at = np.flatnonzero(draw == lowest)
+            least[doc[at]] = mix(mixed[at]) >> np.uint64(64 - MIN_BITS)
+        yield row, (dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)).astype(np.float32), least
 
 
 @dataclass(frozen=True)
@@ -150,17 +154,17 @@ class Centres:
 
     @staticmethod
     def learn(docs: DataFrame, corpus: Corpus, shared: Broadcast, shards: float) -> Centres | None:
-        """From some of ``docs(text, tail)``, chosen by the hash ``tail``; they decide company only, not which rows are packed."""
+        """From ``TRAINED`` of ``docs(text, tail)`` in expectation, by the hash ``tail``; they decide company only, not what is packed."""
         if shards <= 1:
             return None
-        chance = max(LEAST, TRAINED * math.ceil(shards)) / corpus.n
+        chance = min(TRAINED / corpus.n, 1)
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for _, x, _ in vectors(batch.column(0), shared.value):
                     yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())], names=["x"])
 
-        chosen = docs.where(F.pmod(F.shiftrightunsigned("tail", 20), F.lit(1 << 20)) < int(min(chance, 1) * (1 << 20)))
+        chosen = docs.where(F.pmod("tail", F.lit(1 << 40)) < int(chance * (1 << 40)))
         rows = sorted(r.x for r in chosen.select("text").mapInArrow(encode, "x binary").toLocalIterator())
         return Centres.grow(np.frombuffer(b"".join(rows), "<f4").reshape(-1, SLOTS), shards) if rows else None
 
@@ -176,41 +180,15 @@ class Centres:
 
 
 def codes(column: pa.Array, corpus: Corpus, tree: Centres | None) -> np.ndarray:
-    """Each document's lexical code without its last 16 bits: 32 bits of path, 16 of its rarest shared term."""
+    """Each document's lexical code without its tail: its path down the tree and its min-hash."""
     out = np.zeros(len(column), np.uint64)
-    for row, x, rare in vectors(column, corpus):
-        out[row : row + len(x)] = rare << np.uint64(16)
+    for row, x, least in vectors(column, corpus):
+        out[row : row + len(x)] = least << np.uint64(TAIL_BITS)
         if tree:
             out[row : row + len(x)] |= tree.paths(x)
     return out
 
 
-def cuts(coded: DataFrame, most: int) -> np.ndarray:
-    """The first codes of shards after the first, for ``coded(code, size)``: ranges of at most ``most`` bytes.
-
-    Byte sums of codes by their first 8 bits; prefixes of more than ``most`` bytes are looked at with
-    8 bits more, so the driver gets at most 256 rows for each of those.
-    """
-    leaves: list[tuple[int, int]] = []
-    heavy = None
-    for bits in range(8, 65, 8):
-        prefix = F.shiftrightunsigned("code", 64 - bits)
-        rows = coded if heavy is None else coded.join(F.broadcast(heavy), F.shiftrightunsigned("code", 72 - bits) == F.col("head"), "left_semi")
-        sums = [(r.prefix % 2**bits, r.size) for r in rows.groupBy(prefix.alias("prefix")).agg(F.sum("size").alias("size")).collect()]
-        over = [p for p, size in sums if size > most and bits < 64]
-        leaves += [(p << 64 - bits, size) for p, size in sums if size <= most or bits == 64]
-        if not over:
-            break
-        heavy = coded.sparkSession.createDataFrame([(p,) for p in over], "head bigint")
-    out, held = [], 0
-    for first, size in sorted(leaves):
-        if held and held + size > most:
-            out.append(first)
-            held = 0
-        held += size
-    return np.array(out, np.uint64)
-
-
 class BM25:
     """An inverted index over the words (A-Z lower-cased) of one shard's texts, weighted by ``corpus``."""
 
@@ -221,24 +199,32 @@ class BM25:
         doc, term, tf = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (docs, terms, freqs))
         length = np.concatenate(lengths).astype(np.float64) if lengths else np.empty(0)
         self.n = n = len(column)
-        distinct, number, df = np.unique(term, return_inverse=True, return_counts=True)
-        weight = corpus.weigh(corpus.frequency(distinct)[number], tf, length[doc])
-        by_term = np.argsort(number, kind="stable")
-        self.docs, self.weights = doc[by_term], weight[by_term].astype(np.float32)
-        self.start = np.concatenate([[0], np.cumsum(df)])
+        order = np.argsort(term, kind="stable")
+        first = np.flatnonzero(np.append(True, term[order][1:] != term[order][:-1])[: len(order)])
+        self.start = np.append(first, len(order))
+        df = np.diff(self.start)
+        self.docs = doc[order]
+        self.weights = corpus.weigh(np.repeat(corpus.frequency(term[order[first]]), df), tf[order], length[self.docs])
         # each document's terms that other documents share
+        number = np.empty(len(order), np.int64)
+        number[order] = np.repeat(np.arange(len(first)), df)
         shared = np.flatnonzero(df[number] > 1)
         self.first = np.searchsorted(doc[shared], np.arange(n + 1))
         self.query = number[shared]
 
-    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
-        """Every unused document that shares a term with the seed, best BM25 of all its terms first, ties to the first."""
-        terms = self.query[self.first[seed] : self.first[seed + 1]]
-        if not len(terms):
-            return
-        spans = [slice(self.start[t], self.start[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
-        score[used] = 0
+    def neighbours(self, seeds: list[int], used: np.ndarray) -> list[Iterator[int]]:
+        """For each seed every unused document that shares a term with it, best BM25 of all its terms first, ties to the first."""
+        terms = [self.query[self.first[s] : self.first[s + 1]] for s in seeds]
+        asked = np.concatenate(terms)
+        count = self.start[asked + 1] - self.start[asked]
+        place = np.repeat(self.start[asked] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        line = np.repeat(np.repeat(np.arange(len(seeds)), [len(t) for t in terms]) * self.n, count)
+        scores = np.bincount(self.docs[place] + line, self.weights[place], self.n * len(seeds)).reshape(len(seeds), self.n)
+        scores[:, used] = 0
+        return [self._best(score) for score in scores]
+
+    @staticmethod
+    def _best(score: np.ndarray) -> Iterator[int]:
         found = np.flatnonzero(score)
         score = score[found]
         top = np.ones(len(found), bool)
@@ -254,83 +240,137 @@ class BM25:
         self.docs, self.weights = self.docs[keep], self.weights[keep]
 
 
-def layout(index: BM25, tokens: np.ndarray, window: int = WINDOW) -> list[int]:
-    """The order of a shard's documents in its stream."""
-    used, order, at, turn, kept = np.zeros(index.n, bool), [], 0, 0, index.n
-    seed: int | None = None
-    while len(order) < index.n:
-        if seed is None:
-            while used[turn]:
-                turn += 1
-            seed = turn
-            used[seed] = True
-            order.append(seed)
-            at += int(tokens[seed])
-        room = -at % window
-        opener, seed = seed, None
-        if not room:
-            continue
-        if index.n - len(order) < 0.75 * kept:
+def layout(index: BM25, tokens: np.ndarray, window: int = WINDOW, abreast: int | None = None) -> list[list[int]]:
+    """The documents of each of ``abreast`` streams in their order.
+
+    The streams' open windows are filled in turn, each with the best neighbours that are still unused.
+    Where no unused document shares a term with the seed, the first unused one follows, as a new seed.
+    """
+    streams = abreast or min(ABREAST, max(1, index.n // PER_WINDOW))
+    orders: list[list[int]] = [[] for _ in range(streams)]
+    seeds: list[int | None] = [None] * streams
+    used, at, turn, left, kept = np.zeros(index.n, bool), [0] * streams, 0, index.n, index.n
+
+    def put(stream: int, doc: int) -> None:
+        used[doc] = True
+        orders[stream].append(doc)
+        at[stream] += int(tokens[doc])
+
+    while left:
+        for s in range(streams):
+            while left and seeds[s] is None:
+                while used[turn]:
+                    turn += 1
+                put(s, turn)
+                left -= 1
+                seeds[s] = turn if at[s] % window else None
+        if left < 0.75 * kept:
             index.forget(used)
-            kept = index.n - len(order)
-        for near in index.neighbours(opener, used):
-            used[near] = True
-            order.append(near)
-            at += int(tokens[near])
-            room -= int(tokens[near])
-            if room < 0:
-                seed = near
-            if room <= 0:
-                break
-    return order
-
-
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+            kept = left
+        waiting = [s for s in range(streams) if seeds[s] is not None] if left else []
+        for s, nearest in zip(waiting, index.neighbours([seeds[s] for s in waiting], used) if waiting else [], strict=True):
+            room, seeds[s] = -at[s] % window, None
+            for near in nearest:
+                if used[near]:  # by another window meanwhile
+                    continue
+                put(s, near)
+                left -= 1
+                room -= int(tokens[near])
+                if room < 0:
+                    seeds[s] = near
+                if room <= 0:
+                    break
+    return orders
+
+
+def _cut(spans: list[tuple[int, int, int]], window: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, start, length, window, offset) of spans (document, start, length) laid end to end."""
+    at = 0
+    for doc, start, length in spans:
+        while length:
+            take = min(length, window - at % window)
+            yield doc, start, take, at // window, at % window
+            start, length, at = start + take, length - take, at + take
+
+
+def sequences(orders: list[list[int]], tokens: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+    """The pieces of all streams; what streams hold beyond their last whole windows is laid end to end."""
+    rest, base = [], 0
+    for order in orders:
+        whole = int(tokens[order].sum()) // window
+        for doc, start, length, number, offset in _cut([(d, 0, int(tokens[d])) for d in order], window):
+            if number < whole:
+                yield doc, start, length, base + number, offset
+            else:
+                rest.append((doc, start, length))
+        base += whole
+    for doc, start, length, number, offset in _cut(rest, window):
+        yield doc, start, length, base + number, offset
+
+
+def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Runs of the rows of ``batches(.., .., size)`` whose sizes add up to ``most`` at most; a larger row is one alone."""
+    held, room = [], most
+    for batch in batches:
+        total = np.cumsum(batch.column(2).to_numpy())
+        row = 0
+        while row < batch.num_rows:
+            before = int(total[row - 1]) if row else 0
+            last = int(np.searchsorted(total, before + room, "right"))
+            if last == row and not held:
+                last = row + 1
+            if last > row:
+                held.append(batch.slice(row, last - row))
+                room -= int(total[last - 1]) - before
+            if last < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, room = [], most
+            row = last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset), one row per piece.
 
     ``ids`` are little-endian unsigned 32-bit ids. Every row of ``docs(doc_id, text)`` is packed once:
-    repeated rows are packed as often as they are there. A null or empty text is its end id alone, a
-    null ``doc_id`` is carried. Long texts are cut at windows. Extra columns are ignored; an empty
-    table gives an empty result.
+    repeated rows are packed as often as they are there, and spread over shards where they are many. A
+    null or empty text is its end id alone, a null ``doc_id`` is carried. Long texts are cut at
+    windows. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     corpus = Corpus.count(texts)
     shared = spark.sparkContext.broadcast(corpus)
-    texts = texts.withColumns({"tail": F.xxhash64("doc_id", "text"), "size": (F.octet_length("text") + 64).cast("long")})
+    texts = texts.withColumns({"tail": F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), "size": (F.octet_length("text") + 64).cast("long")})
     tree = spark.sparkContext.broadcast(Centres.learn(texts, corpus, shared, corpus.size / shard_bytes))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tail = batch.column(2).to_numpy().view(np.uint64) & np.uint64(0xFFFF)
-            found = (codes(batch.column(1), shared.value, tree.value) | tail).view(np.int64)
+            tail = batch.column(2).to_numpy().view(np.uint64) >> np.uint64(64 - TAIL_BITS)
+            # flipped so that signed order is that of the codes
+            found = (codes(batch.column(1), shared.value, tree.value) | tail).view(np.int64) ^ np.int64(-1 << 63)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(found)], names=["doc_id", "text", "size", "code"])
 
     coded = materialise(texts.mapInArrow(code, "doc_id bigint, text string, size bigint, code bigint"), "packing")
-    first = cuts(coded.select("code", "size"), shard_bytes)
-
-    @F.pandas_udf("long")
-    def shard_of(code: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(first, code.to_numpy().view(np.uint64), "right"))
-
-    dealt = coded.select(shard_of("code").alias("shard"), "doc_id", "text")
-
-    def fill(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        table = table.take(pa.array(np.argsort(table["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy(), kind="stable")))
-        texts = table["text"].combine_chunks()
-        ids = [np.append(x, np.uint32(end_id)) for x in encoder(tokenizer).column(texts)]
-        tokens = np.array([len(x) for x in ids], np.int64)
-        rows: dict[str, list] = {n: [] for n in _PIECES.names}
-        doc_ids, at = table["doc_id"].to_pylist(), 0
-        for d in layout(BM25(texts, shared.value), tokens, window):
-            start = 0
-            while start < tokens[d]:
-                length = int(min(tokens[d] - start, window - at % window))
-                values = (doc_ids[d], start, length, ids[d][start : start + length].astype("<u4").tobytes(), int(tokens[d]), shard << 32 | at // window, at % window)
+    parts = max(1, math.ceil(corpus.size / part_bytes))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 32
+        for table in shards(batches, shard_bytes):
+            table = table.take(pa.array(np.argsort(table["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy(), kind="stable")))
+            texts, doc_ids = table["text"].combine_chunks(), table["doc_id"].to_pylist()
+            ids = [np.append(x, np.uint32(end_id)) for x in encoder(tokenizer).column(texts)]
+            tokens = np.array([len(x) for x in ids], np.int64)
+            rows: dict[str, list] = {n: [] for n in _PIECES.names}
+            last = -1
+            for d, start, length, number, offset in sequences(layout(BM25(texts, shared.value), tokens, window), tokens, window):
+                values = (doc_ids[d], start, length, ids[d][start : start + length].astype("<u4").tobytes(), int(tokens[d]), base + number, offset)
                 for name, value in zip(_PIECES.names, values, strict=True):
                     rows[name].append(value)
-                start, at = start + length, at + length
-        return pa.table(rows, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]))
+                last = number
+            base += last + 1
+            yield pa.RecordBatch.from_pydict(rows, schema=_ARROW_PIECES)
 
-    return dealt.groupBy("shard").applyInArrow(fill, _PIECES)
+    ordered = coded.select("doc_id", "text", "size", "code").repartitionByRange(parts, "code").sortWithinPartitions("code")
+    return ordered.select("doc_id", "text", "size").mapInArrow(fill, _PIECES)

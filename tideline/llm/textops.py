@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Bytes of text that are turned into arrays at once; a longer single document is a slice alone.
 SLICE_BYTES = 1 << 20
+#: Rows of a slice at most.
+SLICE_ROWS = 1 << 20
 
 _IS_WORD = np.ones(256, np.uint8)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
@@ -71,7 +73,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np
     row = 0
     while row < n:
         last = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
-        last = min(max(last, row + 1), n)
+        last = min(max(last, row + 1), n, row + SLICE_ROWS)
         yield row, data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
         row = last
 
