@@ -18,8 +18,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the threshold; the labels of ``sf_dir`` train the model."""
-    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents whose score is below the threshold; the labels of all documents of ``sf_dir`` train the model."""
+    every, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.learn(every, labels)
     return toxicity.toxic_removed(docs, model)
 
 
