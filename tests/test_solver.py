@@ -65,7 +65,7 @@ def test_kink():
 def test_bounds():
     y = 5 + np.random.default_rng(5).normal(0, 1, 200)
     got = solve(y, Model((specs.bounded(specs.smooth_trend(1.0), 0.0, 3.0),)))["values"]["trend"]
-    assert got.max() <= 3 + 1e-5 and got.min() >= -1e-5
+    assert got.max() <= 3 + 1e-6 and got.min() >= -1e-6
 
 
 def test_two_periods():

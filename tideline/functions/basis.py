@@ -20,25 +20,31 @@ def period_samples(seconds: float, delta: float) -> float:
     return seconds / delta
 
 
-def _plan(periods: Sequence[float] | float, harmonics: Sequence[int] | int) -> list[tuple[float, int]]:
-    """(period, harmonics), longest period first."""
+def samples_per_year(delta: float) -> float:
+    """Samples of a mean year, for a step of ``delta`` seconds."""
+    return period_samples(YEAR, delta)
+
+
+def _plan(periods: Sequence[float] | float, harmonics: Sequence[int] | int, standing: Sequence[bool] | bool = False) -> list[tuple[float, int, bool]]:
+    """(period, harmonics, standing), longest period first."""
     ps = [float(periods)] if np.isscalar(periods) else [float(p) for p in periods]
     hs = [int(harmonics)] * len(ps) if np.isscalar(harmonics) else [int(h) for h in harmonics]
-    if len(ps) != len(hs):
-        raise ValueError("one harmonic count is needed for each period")
-    return sorted(zip(ps, hs, strict=True), reverse=True)
+    waves = [bool(standing)] * len(ps) if np.isscalar(standing) else [bool(s) for s in standing]
+    if not len(ps) == len(hs) == len(waves):
+        raise ValueError("one harmonic count and wave form are needed for each period")
+    return sorted(zip(ps, hs, waves, strict=True), reverse=True)
 
 
-def seasonal_matrix(t: np.ndarray, periods: Sequence[float] | float, harmonics: Sequence[int] | int = 6, standing: bool = False, max_cross: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def seasonal_matrix(t: np.ndarray, periods: Sequence[float] | float, harmonics: Sequence[int] | int = 6, standing: Sequence[bool] | bool = False, max_cross: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Columns without the offset, and each one's penalty per unit weight.
 
-    Each period has interleaved cosines and sines (with ``standing``, half-period sines of the phase);
+    Each period has interleaved cosines and sines (where ``standing``, half-period sines of the phase);
     each pair of periods has all products of their first ``2 * max_cross`` columns, which carry the
     shorter period's penalty.
     """
     blocks, weights = [], []
-    for period, count in _plan(periods, harmonics):
-        if standing:
+    for period, count, wave in _plan(periods, harmonics, standing):
+        if wave:
             columns = [np.sin(i * math.pi / period * np.mod(t, period)) for i in range(1, count + 1)]
             order = np.arange(1, count + 1)
         else:
@@ -59,7 +65,7 @@ def seasonal_matrix(t: np.ndarray, periods: Sequence[float] | float, harmonics:
 
 def seasonal_columns(t: Column, periods: Sequence[float] | float, harmonics: Sequence[int] | int = 6) -> list[Column]:
     """The same columns (no products of periods) as expressions."""
-    return [f(t * (i * 2 * math.pi / period)) for period, count in _plan(periods, harmonics) for i in range(1, count + 1) for f in (F.cos, F.sin)]
+    return [f(t * (i * 2 * math.pi / period)) for period, count, _ in _plan(periods, harmonics) for i in range(1, count + 1) for f in (F.cos, F.sin)]
 
 
 def default_knots(low: float, high: float, n_knots: int = 10) -> list[float]:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,16 +46,25 @@ def day_correlation(folded: DataFrame, one: int, other: int) -> DataFrame:
     return a.join(b, ["series_id", "step"]).groupBy("series_id").agg(F.corr("a", "b").alias("corr"))
 
 
-def periodogram(df: DataFrame, length: int, top: int = 6) -> DataFrame:
-    """(series_id, k, period, magnitude): the ``top`` strongest frequencies k / length of the centred values.
+def periodogram(df: DataFrame, top: int = 6) -> DataFrame:
+    """(series_id, k, period, magnitude): the ``top`` strongest frequencies k / length of a series' centred values.
 
-    Each row meets each frequency; sums are combined before the shuffle. Missing values count as the mean.
+    The length is the series' own, ``max(t) + 1``. Missing values count as the mean. One fast Fourier
+    transform per series takes its values as they are, so that work grows with n log n; a series' values
+    (8 bytes each) meet in one task.
     """
-    mean = F.avg("y").over(Window.partitionBy("series_id"))
-    rows = df.withColumn("c", F.coalesce(F.col("y") - mean, F.lit(0.0))).select("series_id", "t", "c", F.explode(F.sequence(F.lit(1), F.lit(length // 2))).alias("k"))
-    angle = 2 * math.pi * F.col("k") * F.col("t") / length
-    sums = rows.groupBy("series_id", "k").agg(F.sum(F.col("c") * F.cos(angle)).alias("re"), F.sum(F.col("c") * F.sin(angle)).alias("im"))
-    found = sums.select("series_id", "k", (F.lit(float(length)) / F.col("k")).alias("period"), F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("magnitude"))
+    kind = df.schema["series_id"].dataType.simpleString()
+
+    def transform(rows: pa.Table) -> pa.Table:
+        t, y = rows["t"].to_numpy(), rows["y"].to_numpy().astype(float)
+        values = np.zeros(int(t.max()) + 1)
+        values[t] = np.nan_to_num(y - np.nanmean(y)) if np.isfinite(y).any() else 0.0
+        size = np.abs(np.fft.rfft(values))[1:]
+        strong = np.lexsort((np.arange(len(size)), -size))[: 4 * top]
+        k = np.sort(strong) + 1
+        return pa.table({"series_id": rows["series_id"].take(pa.array(np.zeros(len(k), np.int64))), "k": pa.array(k.astype(np.int32)), "period": len(values) / k, "magnitude": size[k - 1]})
+
+    found = df.select("series_id", "t", "y").groupBy("series_id").applyInArrow(transform, f"series_id {kind}, k int, period double, magnitude double")
     turn = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("magnitude"), "k"))
     return found.withColumn("turn", turn).where(F.col("turn") <= top).drop("turn")
 
@@ -87,6 +96,41 @@ def change_counts(curves: DataFrame, role: str, least: float, order: int = 1) ->
     return curves.withColumn("moved", moved).groupBy("series_id").agg(F.count_if(F.abs("moved") > least).alias("changes"))
 
 
+def change_rows(curves: DataFrame, role: str, least: float) -> DataFrame:
+    """(series_id, t, jump): where a role moves by more than ``least`` from one row to the next."""
+    jump = F.col(role) - F.lag(role).over(Window.partitionBy("series_id").orderBy("t"))
+    return curves.withColumn("jump", jump).where(F.abs("jump") > least).select("series_id", "t", "jump")
+
+
+def refit_levels(curves: DataFrame, role: str, least: float) -> DataFrame:
+    """``curves`` with ``refit``: unpenalized levels on a piecewise-constant role's own change points.
+
+    Between changes of more than ``least``, the mean of y less all other roles.
+    """
+    jump = F.abs(F.col(role) - F.lag(role).over(Window.partitionBy("series_id").orderBy("t"))) > least
+    pieces = curves.withColumn("piece", F.sum(F.coalesce(jump, F.lit(False)).cast("long")).over(Window.partitionBy("series_id").orderBy("t")))
+    rest = F.col("y") - F.col("reconstruction") + F.col(role)
+    return pieces.withColumn("refit", F.avg(rest).over(Window.partitionBy("series_id", "piece"))).drop("piece")
+
+
+def amplitude(curves: DataFrame, role: str, log: bool = False) -> DataFrame:
+    """(series_id, amplitude): a role's range; of a ``log`` model, in percent."""
+    size = F.max(role) - F.min(role)
+    return curves.groupBy("series_id").agg((100 * F.expm1(size) if log else size).alias("amplitude"))
+
+
+def peak_weeks(curves: DataFrame, role: str) -> DataFrame:
+    """(series_id, peak_week, trough_week): the ISO weeks of a role's largest and least mean, ties to the first."""
+    weekly = curves.groupBy("series_id", F.weekofyear("ts").alias("week")).agg(F.avg(role).alias("mean"))
+    return weekly.groupBy("series_id").agg(F.min_by("week", F.struct(-F.col("mean"), "week")).alias("peak_week"), F.min_by("week", F.struct("mean", "week")).alias("trough_week"))
+
+
+def by_covariate(curves: DataFrame, role: str, column: str) -> DataFrame:
+    """(series_id, place, z, value): a role in the order of a covariate, to see its shape."""
+    turn = F.row_number().over(Window.partitionBy("series_id").orderBy(column, "t"))
+    return curves.where(F.col(column).isNotNull()).select("series_id", turn.alias("place"), F.col(column).alias("z"), F.col(role).alias("value"))
+
+
 def degradation_rate(curves: DataFrame, role: str, per_year: float, mode: str = "absolute") -> DataFrame:
     """(series_id, rate): annualized chord slope; ``relative`` in percent of the start, ``log`` as expm1 percent."""
     ends = curves.where(F.col(role).isNotNull()).groupBy("series_id").agg(F.min_by(role, "t").alias("a"), F.max_by(role, "t").alias("b"), (F.max("t") - F.min("t")).alias("d")).where("d > 0")

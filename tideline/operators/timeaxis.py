@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Standard sampling steps in seconds.
-STANDARD = (1, 2, 5, 10, 15, 20, 30, 60, 120, 300, 600, 900, 1800, 3600, 86400)
+# Standard sampling steps by name, in seconds; a day is 86,400 s.
+STANDARD = {
+    "s": 1,
+    "5s": 5,
+    "15s": 15,
+    "30s": 30,
+    "min": 60,
+    "5min": 300,
+    "10min": 600,
+    "15min": 900,
+    "30min": 1800,
+    "h": 3600,
+    "2h": 7200,
+    "3h": 10800,
+    "6h": 21600,
+    "12h": 43200,
+    "D": 86400,
+}
+# Units of other fixed steps, in seconds.
+UNITS = {"us": 1e-6, "ms": 1e-3, "s": 1.0, "min": 60.0, "h": 3600.0}
+
+
+def step_seconds(freq: str) -> float:
+    """Seconds of a fixed step such as ``h``, ``15min`` or ``D``; calendar steps (weeks, months) are an error."""
+    if freq in STANDARD:
+        return float(STANDARD[freq])
+    found = re.fullmatch(r"(\d*\.?\d*)(us|ms|s|min|h)", freq)
+    step = float(found[1] or 1) * UNITS[found[2]] if found and found[1] != "." else 0.0
+    if step <= 0:
+        raise ValueError(f"{freq!r} is not a fixed step; use one of up to a day, such as 15min, h or D")
+    return step
 
 
 def seconds(ts: Column) -> Column:
@@ -29,64 +60,99 @@ def rates(df: DataFrame, rel_tol: float = 0.02) -> DataFrame:
     """(series_id, rate, n, share), commonest first by ``place``: clusters of a series' gaps.
 
     Gaps in ascending order join the last cluster while they lie within ``rel_tol`` of its median.
-    The work is on distinct gaps with counts, aggregated before the grouped step.
+    The work is on distinct gaps with counts, aggregated before the grouped step. Where a gap exceeds
+    the one before by more than ``rel_tol``, no cluster reaches across, so each such run is a group.
     """
     counted = gaps(df).groupBy("series_id", "gap").agg(F.count("*").alias("n"))
+    ascending = Window.partitionBy("series_id").orderBy("gap")
+    # a median is at most the gap before, so a gap beyond that by more than the tolerance starts a cluster
+    apart = F.coalesce(F.col("gap") > F.lag("gap").over(ascending) * (1 + rel_tol), F.lit(True))
+    runs = counted.withColumn("run", F.sum(apart.cast("long")).over(ascending))
 
     def cluster(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("gap")
-        found: list[list[tuple[float, int]]] = []
-        middle = 0.0
-        for gap, n in zip(g["gap"].to_list(), g["n"].to_list(), strict=True):
-            if not found or abs(gap - middle) > rel_tol * middle:
-                found.append([])
-            found[-1].append((gap, n))
-            middle = _median(found[-1])
-        rows = sorted(((_median(c), sum(n for _, n in c)) for c in found), key=lambda r: -r[1])
-        return pd.DataFrame({"series_id": g["series_id"].iloc[0], "rate": [r for r, _ in rows], "n": [n for _, n in rows], "place": range(1, len(rows) + 1)})
+        found = clusters(g["gap"].to_list(), g["n"].to_list(), rel_tol)
+        return pd.DataFrame({"series_id": [g["series_id"].iloc[0]] * len(found), "rate": [r for r, _ in found], "n": [n for _, n in found]})
 
     kind = df.schema["series_id"].dataType.simpleString()
-    found = counted.groupBy("series_id").applyInPandas(cluster, f"series_id {kind}, rate double, n bigint, place int")
-    return found.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("series_id")))
+    found = runs.groupBy("series_id", "run").applyInPandas(cluster, f"series_id {kind}, rate double, n bigint")
+    every = Window.partitionBy("series_id")
+    return found.withColumns({"place": F.row_number().over(every.orderBy(F.desc("n"), "rate")), "share": F.col("n") / F.sum("n").over(every)})
+
+
+def clusters(gaps: list[float], counts: list[int], rel_tol: float) -> list[tuple[float, int]]:
+    """(median, count) of clusters of ascending distinct gaps, in one pass: a cluster's median only moves up."""
+    found: list[tuple[float, int]] = []
+    first = at = total = below = 0  # the cluster's first gap, that of its median, all counts, counts before the median's gap
+    middle = 0.0
+    for i, (gap, n) in enumerate(zip(gaps, counts, strict=True)):
+        if i and abs(gap - middle) > rel_tol * middle:
+            found.append((middle, total))
+            first = i
+        if i == first:
+            at, total, below = i, 0, 0
+        total += n
+        while 2 * (below + counts[at]) < total:
+            below += counts[at]
+            at += 1
+        middle = gaps[at] if 2 * (below + counts[at]) > total else (gaps[at] + gaps[at + 1]) / 2
+    return [*found, (middle, total)] if gaps else []
+
+
+def _refused(delta: Column, snap_tol: float) -> Column:
+    """Raises for steps that no standard step can stand for; else null."""
+    longest = max(STANDARD.values()) * (1 + snap_tol)
+    error = lambda what: F.raise_error(F.concat(F.lit(f"a step of {what}: "), delta.cast("string"), F.lit(" s")))
+    return F.when(delta <= 0, error("no length")).when(delta > longest, error("more than a day; give such data a calendar of its own"))
+
+
+def _nearest(delta: Column, snap_tol: float) -> Column:
+    """struct(s, name) of the nearest standard step within ``snap_tol``, else null; ties to the shorter."""
+    steps = F.array(*[F.struct(F.lit(float(s)).alias("s"), F.lit(name).alias("name")) for name, s in STANDARD.items()])
+    best = F.array_min(F.transform(steps, lambda x: F.struct((F.abs(delta - x["s"]) / x["s"]).alias("d"), x["s"].alias("s"), x["name"].alias("name"))))
+    return F.coalesce(_refused(delta, snap_tol).cast("struct<s:double,name:string>"), F.when(best["d"] <= snap_tol, F.struct(best["s"].alias("s"), best["name"].alias("name"))))
 
 
-def _median(pairs: list[tuple[float, int]]) -> float:
-    total, seen, low = sum(n for _, n in pairs), 0, None
-    for gap, n in pairs:
-        seen += n
-        if low is None and 2 * seen >= total:
-            low = gap
-            if 2 * seen > total:
-                return gap
-        elif low is not None:
-            return (low + gap) / 2
-    return low if low is not None else 0.0
+def nearest_standard(delta: Column, snap_tol: float = 0.01) -> Column:
+    """The nearest standard step's seconds if it lies within ``snap_tol`` of ``delta``, else null; ties to the shorter.
 
+    A ``delta`` of 0 or less, or of more than a day beyond the tolerance, is an error of the query.
+    """
+    return _nearest(delta, snap_tol)["s"]
+
+
+def standard_name(delta: Column, snap_tol: float = 0.01) -> Column:
+    """The name of ``nearest_standard``, such as ``15min``, else null."""
+    return _nearest(delta, snap_tol)["name"]
 
-def nearest_standard(delta: Column, snap_tol: float = 0.01) -> Column:
-    """The nearest standard step if it lies within ``snap_tol`` of ``delta``, else null; ties to the shorter."""
-    best = F.array_min(F.transform(F.array(*map(F.lit, STANDARD)), lambda s: F.struct((F.abs(delta - s) / s).alias("d"), s.cast("double").alias("s"))))
-    return F.when(best["d"] <= snap_tol, best["s"])
 
+def derive_delta(df: DataFrame, rel_tol: float = 0.02) -> DataFrame:
+    """(series_id, delta): the median of the commonest cluster of gaps; series without two stamps have no row."""
+    return rates(df, rel_tol).where("place = 1").select("series_id", F.col("rate").alias("delta"))
 
-def derive_delta(df: DataFrame, rel_tol: float = 0.02, snap_tol: float = 0.01) -> DataFrame:
-    """(series_id, delta, freq): the commonest rate, snapped to a standard step where one is near."""
-    top = rates(df, rel_tol).where("place = 1")
-    return top.select("series_id", F.coalesce(nearest_standard(F.col("rate"), snap_tol), F.col("rate")).alias("delta"), nearest_standard(F.col("rate"), snap_tol).alias("freq"))
+
+def standard_delta(df: DataFrame, rel_tol: float = 0.02, snap_tol: float = 0.01) -> DataFrame:
+    """(series_id, delta, freq): the commonest rate, snapped to a standard step (``freq`` names it) where one is near."""
+    near = derive_delta(df, rel_tol).withColumn("near", _nearest(F.col("delta"), snap_tol))
+    return near.select("series_id", F.coalesce("near.s", "delta").alias("delta"), F.col("near.name").alias("freq"))
 
 
 def scan_rates(df: DataFrame, rel_tol: float = 0.02, min_fraction: float = 0.05) -> DataFrame:
-    """(series_id, rate, n, modal_seconds, multiple_rates) of the rates that hold more than ``min_fraction`` of gaps."""
-    every = Window.partitionBy("series_id")
-    kept = rates(df, rel_tol).withColumn("modal_seconds", F.first("rate").over(every.orderBy("place"))).where(F.col("share") > min_fraction)
-    return kept.select("series_id", "rate", "n", "modal_seconds", (F.count("*").over(every) > 1).alias("multiple_rates"))
+    """(series_id, modal_seconds, rates, multiple_rates): ``rates`` hold more than ``min_fraction`` of gaps, commonest first.
+
+    One row for every series with two distinct stamps, also where no rate is that common.
+    """
+    kept = F.collect_list(F.when(F.col("share") > min_fraction, F.struct("place", "rate")))
+    found = rates(df, rel_tol).groupBy("series_id").agg(F.min_by("rate", "place").alias("modal_seconds"), F.array_sort(kept).alias("kept"))
+    return found.select("series_id", "modal_seconds", F.transform("kept", lambda r: r["rate"]).alias("rates"), (F.size("kept") > 1).alias("multiple_rates"))
 
 
 def rate_changes(df: DataFrame, rel_tol: float = 0.02, min_fraction: float = 0.05) -> DataFrame:
-    """(series_id, date_before, date_after) between days whose median nearest rate differs."""
-    known = scan_rates(df, rel_tol, min_fraction).groupBy("series_id").agg(F.collect_list("rate").alias("rates"))
+    """(series_id, date_before, date_after) between days whose median nearest rate differs, in series of several rates."""
+    known = scan_rates(df, rel_tol, min_fraction).where("multiple_rates").select("series_id", "rates")
     near = gaps(df).join(known, "series_id")
-    rate = F.array_min(F.transform("rates", lambda r: F.struct(F.abs(F.col("gap") - r).alias("d"), r.alias("r"))))["r"]
+    # of rates equally near the commoner one
+    rate = F.array_min(F.transform("rates", lambda r, i: F.struct(F.abs(F.col("gap") - r).alias("d"), i.alias("i"), r.alias("r"))))["r"]
     daily = near.groupBy("series_id", F.to_date("before").alias("day")).agg(F.median(rate).alias("rate"))
     by_day = Window.partitionBy("series_id").orderBy("day")
     moved = daily.withColumns({"was": F.lag("rate").over(by_day), "date_before": F.lag("day").over(by_day)})
@@ -119,6 +185,20 @@ def to_grid(df: DataFrame, step: float | DataFrame) -> DataFrame:
     return stamped.join(best, ["series_id", "t"], "left").select("series_id", "t", "ts", F.when(~F.isnan("y"), F.col("y")).alias("y"))
 
 
-def standardize(df: DataFrame, freq_seconds: float | None = None, rel_tol: float = 0.02, snap_tol: float = 0.01) -> DataFrame:
-    """``to_grid`` with the asserted step, or with each series' own derived one."""
-    return to_grid(df, freq_seconds if freq_seconds else derive_delta(df, rel_tol, snap_tol))
+def standardize(df: DataFrame, freq: str | float | None = None, rel_tol: float = 0.02, snap_tol: float = 0.01) -> DataFrame:
+    """``to_grid`` with the asserted step (a name such as ``15min``, or seconds), or with each series' own derived one.
+
+    Derived steps that match no standard one are cut to whole seconds. A series with fewer than two
+    distinct stamps is an error of the query, as is a derived step of more than a day.
+    """
+    stamps = clean(df)
+    short = stamps.groupBy("series_id").agg(F.count("*").alias("stamps"))
+    enough = F.when(F.col("stamps") < 2, F.raise_error(F.concat(F.lit("fewer than two stamps in series "), F.col("series_id").cast("string")))).otherwise(F.lit(True))
+    rows = df.join(short.where(enough.cast("boolean")).select("series_id"), "series_id")
+    if freq is not None:
+        step = step_seconds(freq) if isinstance(freq, str) else float(freq)
+        if step <= 0:
+            raise ValueError("a step must be positive")
+        return to_grid(rows, step)
+    own = standard_delta(df, rel_tol, snap_tol)
+    return to_grid(rows, own.withColumn("delta", F.when(F.col("freq").isNull(), F.floor("delta").cast("double")).otherwise(F.col("delta"))))

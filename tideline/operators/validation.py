@@ -29,20 +29,53 @@ def centre_block(df: DataFrame, fraction: float = 0.2) -> DataFrame:
     return df.withColumn("held", seen & (rank >= start) & (rank < start + n))
 
 
-def holdout_scores(df: DataFrame, candidates: Sequence[tuple[str, Model]], metric: str = "rmse") -> DataFrame:
-    """(series_id, place, candidate, score) on the rows of ``df`` that are ``held``; failed fits score null."""
+def holdout_scores(df: DataFrame, candidates: Sequence[tuple[str, Model]], metric: str = "rmse", keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """(keys, place, candidate, score) on the rows of ``df`` that are ``held``; failed fits score null."""
+    keys = list(keys)
     models = dict(enumerate(m for _, m in candidates))
     columns = list(dict.fromkeys(c for _, m in candidates for c in m.columns))
     names = F.array(*[F.lit(n) for n, _ in candidates])
     each = df.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(len(candidates) - 1))))
-    masked = each.select("series_id", "place", "t", F.when(~F.col("held"), F.col("y")).alias("y"), *columns)
-    fits = fit_groups(masked, ["series_id", "place"], lambda g: models[int(g["place"].iloc[0])])
+    masked = each.select(*keys, "place", "t", F.when(~F.col("held"), F.col("y")).alias("y"), *columns)
+    fits = fit_groups(masked, [*keys, "place"], lambda g: models[int(g["place"].iloc[0])])
     value = F.aggregate(F.map_values("roles"), F.transform("t", lambda _: F.lit(0.0)), lambda s, r: F.zip_with(s, r, lambda a, b: a + b))
-    fitted = fits.select("series_id", "place", F.explode(F.when(F.size("roles") > 0, F.arrays_zip("t", value.alias("v"))).otherwise(F.transform("t", lambda t: F.struct(t.alias("t"), F.lit(None).cast("double").alias("v"))))).alias("r")).select("series_id", "place", "r.t", "r.v")
+    fitted = fits.select(*keys, "place", F.explode(F.when(F.size("roles") > 0, F.arrays_zip("t", value.alias("v"))).otherwise(F.transform("t", lambda t: F.struct(t.alias("t"), F.lit(None).cast("double").alias("v"))))).alias("r")).select(*keys, "place", "r.t", "r.v")
     gap = F.col("y") - F.col("v")
     score = F.sqrt(F.avg(gap * gap)) if metric == "rmse" else F.avg(F.abs(gap))
-    truth = df.where("held").select("series_id", "t", "y")
-    return fitted.join(truth, ["series_id", "t"]).groupBy("series_id", "place").agg(score.alias("score")).withColumn("candidate", F.element_at(names, F.col("place") + 1))
+    truth = df.where("held").select(*keys, "t", "y")
+    return fitted.join(truth, [*keys, "t"]).groupBy(*keys, "place").agg(score.alias("score")).withColumn("candidate", F.element_at(names, F.col("place") + 1))
+
+
+def calendar_blocks(df: DataFrame, part: str = "year") -> DataFrame:
+    """``df`` with ``block``: the calendar year (or quarter, month, week) of ``ts``."""
+    return df.withColumn("block", F.date_trunc(part, "ts").cast("date"))
+
+
+def block_scores(df: DataFrame, candidates: Sequence[tuple[str, Model]], metric: str = "rmse") -> DataFrame:
+    """(series_id, fold, place, candidate, score): every ``block`` of a series held out in turn, for every candidate."""
+    folds = df.where("y is not null").select("series_id", F.col("block").alias("fold")).distinct()
+    each = df.join(folds, "series_id").withColumn("held", F.col("y").isNotNull() & (F.col("block") == F.col("fold")))
+    return holdout_scores(each, candidates, metric, ("series_id", "fold"))
+
+
+def line_block_scores(df: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """``block_scores`` (rmse) of lines with slope ``weights``, from sums alone: no series is gathered.
+
+    (series_id, fold, weight, score). A fold's sums are the series' less the block's.
+    """
+    x, y = F.col("t").cast("double"), F.col("y")
+    names = ("n", "m", "sx", "sy", "sxx", "sxy", "syy")
+    sums = (F.count("*"), F.count(y), F.sum(F.when(y.isNotNull(), x)), F.sum(y), F.sum(F.when(y.isNotNull(), x * x)), F.sum(x * y), F.sum(y * y))
+    blocks = df.groupBy("series_id", F.col("block").alias("fold")).agg(*[s.cast("double").alias(k) for k, s in zip(names, sums, strict=True)])
+    every = Window.partitionBy("series_id")
+    for k in names:
+        blocks = blocks.withColumn(f"all_{k}", F.sum(k).over(every))
+    m, sx, sy, sxx, sxy = (F.col(f"all_{k}") - F.col(k) for k in ("m", "sx", "sy", "sxx", "sxy"))
+    lines = blocks.where("m > 0").withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    # the series' length counts held rows too: they are masked, not removed
+    lines = lines.withColumn("b", (sxy - sx * sy / m) / (sxx - sx * sx / m + F.col("weight") * F.col("all_n"))).withColumn("a", (sy - F.col("b") * sx) / m)
+    square = F.expr("syy - 2 * a * sy - 2 * b * sxy + m * a * a + 2 * a * b * sx + b * b * sxx")
+    return lines.select("series_id", "fold", "weight", F.sqrt(F.greatest(square, F.lit(0.0)) / F.col("m")).alias("score"))
 
 
 def select_best(scores: DataFrame) -> DataFrame:
@@ -55,10 +88,27 @@ def score_summary(scores: DataFrame, *by: str) -> DataFrame:
     return scores.groupBy(*by).agg(F.median("score").alias("median"), F.stddev_samp("score").alias("std"))
 
 
-def near_minimum(scores: DataFrame, delta: float, by: str = "family") -> DataFrame:
-    """Per ``by`` the largest weight whose score is at most the least score times 1 + ``delta``."""
+def near_minimum(scores: DataFrame, delta: float, by: str = "family", absolute: bool = False) -> DataFrame:
+    """Per ``by`` the largest weight whose score is at most the least score times 1 + ``delta`` (``absolute``: plus it).
+
+    Scores that are not finite take no part.
+    """
+    finite = scores.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf")))
     low = F.min("score").over(Window.partitionBy(by))
-    return scores.withColumn("low", low).where(F.col("score") <= F.col("low") * (1 + delta)).groupBy(by).agg(F.max("weight").alias("weight"))
+    most = F.col("low") + delta if absolute else F.col("low") * (1 + delta)
+    return finite.withColumn("low", low).where(F.col("score") <= most).groupBy(by).agg(F.max("weight").alias("weight"))
+
+
+def admissible(scans: DataFrame, least_gain: float, most_changes: int, least_jump: float, by: str = "family") -> DataFrame:
+    """(by, weight, found) from ``scans(by, weight, gain, changes, jump)`` over all observed data.
+
+    The least weight whose fit gains enough, changes seldom enough and never by less than a jump that
+    matters; where there is none, the largest weight, with ``found`` false. A fit without changes has
+    no jump (null), and is no event.
+    """
+    good = (F.col("gain") >= least_gain) & F.col("changes").between(1, most_changes) & (F.col("jump") >= least_jump)
+    out = scans.groupBy(by).agg(F.min(F.when(good, F.col("weight"))).alias("least"), F.max("weight").alias("most"))
+    return out.select(by, F.coalesce("least", "most").alias("weight"), F.col("least").isNotNull().alias("found"))
 
 
 def valid_endpoints(df: DataFrame, min_window: int, step: int) -> DataFrame:
@@ -80,6 +130,30 @@ def expanding_fits(df: DataFrame, model: Model, min_window: int, step: int) -> D
     return fit_groups(rows, ["series_id", "n"], lambda _: model)
 
 
+def expanding_lines(df: DataFrame, min_window: int, step: int, slope_weight: float = 0.0) -> DataFrame:
+    """(series_id, n, trend_a, trend_b) of a line in every expanding window, from running sums of one pass."""
+    x, y = F.col("t").cast("double"), F.col("y")
+    so_far = Window.partitionBy("series_id").orderBy("t")
+    running = df.where(y.isNotNull()).select(
+        "series_id", (F.col("t") + 1).alias("n"), F.count("*").over(so_far).alias("m"), F.sum(x).over(so_far).alias("sx"), F.sum(y).over(so_far).alias("sy"),
+        F.sum(x * x).over(so_far).alias("sxx"), F.sum(x * y).over(so_far).alias("sxy"),
+    )
+    ends = running.join(valid_endpoints(df, min_window, step), ["series_id", "n"])
+    b = F.expr("(sxy - sx * sy / m)") / (F.expr("sxx - sx * sx / m") + slope_weight * F.col("n"))
+    return ends.withColumn("trend_b", b).select("series_id", "n", ((F.col("sy") - F.col("trend_b") * F.col("sx")) / F.col("m")).alias("trend_a"), "trend_b")
+
+
+def line_stability(lines: DataFrame) -> DataFrame:
+    """``stability`` of lines from their coefficients: (series_id, n, next_n, rmsd) over the earlier window."""
+    by_n = Window.partitionBy("series_id").orderBy("n")
+    both = lines.withColumns({"next_n": F.lead("n").over(by_n), "da": F.lead("trend_a").over(by_n) - F.col("trend_a"), "db": F.lead("trend_b").over(by_n) - F.col("trend_b")})
+    n = F.col("n").cast("double")
+    first, second = (n - 1) / 2, (n - 1) * (2 * n - 1) / 6  # means of t and of its square
+    power = lambda a, b: a * a + 2 * a * b * first + b * b * second
+    moved = F.sqrt(F.greatest(power(F.col("da"), F.col("db")), F.lit(0.0)))
+    return both.where("next_n is not null").select("series_id", "n", "next_n", (moved / (F.sqrt(power(F.col("trend_a"), F.col("trend_b"))) + 1e-12)).alias("rmsd"))
+
+
 def stability(fits: DataFrame, role: str) -> DataFrame:
     """(series_id, n, next_n, rmsd, sdelta): how far a role moves when the window grows, over the earlier window."""
     snap = fits.where(F.size("roles") > 0).select("series_id", "n", F.posexplode(F.col("roles")[role]).alias("t", "a"))

@@ -111,7 +111,7 @@ def design(model: Model) -> tuple[list, np.ndarray]:
             some = spline_columns(F.col(p["column"]), p["knots"])
             columns += some
             penalty += [p["weight"]] * len(some)
-        elif c.kind == "periodic" and np.isscalar(p["periods"]) and not p["standing"]:
+        elif c.kind == "periodic" and np.isscalar(p["periods"]) and not np.any(p["standing"]):
             some = seasonal_columns(F.col("t").cast("double"), p["periods"], p["harmonics"])
             columns += some
             penalty += [(p["weight"] * 2 * np.pi / np.sqrt(p["periods"]) * (i // 2 + 1)) ** 2 for i in range(len(some))]

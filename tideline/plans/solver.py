@@ -42,6 +42,14 @@ class _Part:
         elif c.kind == "periodic":
             self.basis, pen = seasonal_matrix(np.arange(n, dtype=float), p["periods"], p["harmonics"], p["standing"], p["cross"])
             self.quad = np.diag(2 * (p["weight"] * pen) ** 2)
+        elif c.kind == "dictionary":
+            self.basis = np.stack([np.nan_to_num(z[name]) for name in p["columns"]], 1)
+            eye = np.eye(self.basis.shape[1])
+            self.terms.append((Rows.dense(eye) if long else eye, "l1", p["weight"]))
+        elif c.kind == "analysis":
+            width = len(p["stencil"])
+            rows = Rows(np.arange(n - width + 1)[:, None] + np.arange(width), np.tile(p["stencil"], (n - width + 1, 1)), n)
+            self.terms.append((rows if long else sum(v * np.eye(n - width + 1, n, k) for k, v in enumerate(p["stencil"])), "l1", p["weight"] / (n - width + 1)))
         elif c.kind == "smooth":
             d = diff(p["order"])
             self._square(d, p["weight"], long)
@@ -147,7 +155,7 @@ def solve(y: np.ndarray, model: Model, z: dict[str, np.ndarray] | None = None, t
         value = isotonic(y, seen, only.params["increasing"])
         residual = np.where(seen, y - value, 0.0)
         return {"status": "optimal", "values": {only.role: value}, "residual": residual, "scalars": {}, "vectors": {}, "objective": residual_loss(residual, "l2", 1.0, n)}
-    free = any(c.kind not in ("linear", "exog_linear", "exog_spline", "periodic") for c in model.components)
+    free = any(c.kind not in ("linear", "exog_linear", "exog_spline", "periodic", "dictionary") for c in model.components)
     long = free and n > MAX_FREE
     parts = [_Part(c, np.arange(n), z, long) for c in model.components]
     ends = np.cumsum([p.size for p in parts])

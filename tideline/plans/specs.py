@@ -71,7 +71,20 @@ def exog_spline(column: str, n_knots: int = 10, knots: Sequence[float] | None =
     return Component(role, "exog_spline", {"column": column, "n_knots": n_knots, "knots": None if knots is None else tuple(knots), "weight": _positive(weight)})
 
 
-def multiperiodic(periods: Sequence[float] | float, num_harmonics: Sequence[int] | int = 6, weight: float = 1e-1, role: str = "periodic", standing_wave: bool = False, max_cross_k: int | None = None) -> Component:
+def dictionary(columns: Sequence[str], weight: float, role: str = "atoms") -> Component:
+    """A sparse mix of covariate columns, the atoms: ``weight * sum |theta|`` (synthesis sparsity)."""
+    return Component(role, "dictionary", {"columns": tuple(columns), "weight": _positive(weight)})
+
+
+def analysis(stencil: Sequence[float], weight: float, role: str = "trend") -> Component:
+    """Free values x with few nonzeros in L x, the stencil at every place: ``weight / len(Lx) * sum |L x|``."""
+    return Component(role, "analysis", {"stencil": tuple(float(s) for s in stencil), "weight": _positive(weight)})
+
+
+def multiperiodic(
+    periods: Sequence[float] | float, num_harmonics: Sequence[int] | int = 6, weight: float = 1e-1, role: str = "periodic",
+    standing_wave: Sequence[bool] | bool = False, max_cross_k: int | None = None,
+) -> Component:
     """Seasonal shapes of one or more periods (in samples), harmonics penalized by their frequency."""
     return Component(role, "periodic", {"periods": periods, "harmonics": num_harmonics, "weight": _positive(weight), "standing": standing_wave, "cross": max_cross_k})
 
@@ -111,4 +124,5 @@ class Model:
     @property
     def columns(self) -> list[str]:
         """Covariates that the model reads."""
-        return list(dict.fromkeys(c.params["column"] for c in self.components if "column" in c.params))
+        each = [c.params.get("columns", (c.params["column"],) if "column" in c.params else ()) for c in self.components]
+        return list(dict.fromkeys(column for columns in each for column in columns))
