@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Cells, cells of a chunk, and ranks a doubling of the count.
 CELLS, CHUNK, STEPS = 1 << 22, 1 << 16, 64
 #: Hashes that a task holds before it adds them to its cells.
-_RUN = 1 << 21
+_RUN = 1 << 20
 
 
 def squeezed(columns: list[np.ndarray]) -> bytes:
@@ -47,8 +47,8 @@ class Counter:
 
     def _settle(self) -> None:
         if self._run:
-            at = (np.concatenate(self._run) % np.uint64(CELLS)).astype(np.int64)
-            np.add(self.cells, np.bincount(at, minlength=CELLS), out=self.cells, casting="unsafe")
+            at, n = np.unique((np.concatenate(self._run) % np.uint64(CELLS)).astype(np.uint32), return_counts=True)
+            self.cells[at] += n.astype(np.uint32)
         self._run, self._held = [], 0
 
     def chunks(self) -> Iterator[tuple[int, bytes]]:

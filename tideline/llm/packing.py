@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tideline.llm.cells import CELLS, STEPS, Counter, ranks
 from tideline.llm.storage import materialise
-from tideline.llm.textops import Words, mix, slices
+from tideline.llm.textops import Words, give_back, mix, slices, tidied
 from tideline.llm.tokens import encoder
 
 #: Tokens of a window, the id that ends a document, and text bytes of a shard at most (a longer document is one alone).
@@ -89,7 +89,7 @@ class Corpus:
             for row in rows:
                 yield pa.RecordBatch.from_pylist([row], schema=pa.schema(kinds))
 
-        parts = materialise(docs.select("text").mapInArrow(partial, "chunk int, counts binary, n bigint, words bigint, size bigint"), "terms")
+        parts = materialise(docs.select("text").mapInArrow(tidied(partial), "chunk int, counts binary, n bigint, words bigint, size bigint"), "terms")
         n, words, size = (x or 0 for x in parts.agg(F.sum("n"), F.sum("words"), F.sum("size")).first())
         return Corpus(n, words, size, ranks(parts.where("chunk is not null")))
 
@@ -352,7 +352,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             found = (codes(batch.column(1), shared.value, tree.value) | tail).view(np.int64) ^ np.int64(-1 << 63)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(found)], names=["doc_id", "text", "size", "code"])
 
-    coded = materialise(texts.mapInArrow(code, "doc_id bigint, text string, size bigint, code bigint"), "packing")
+    coded = materialise(texts.mapInArrow(tidied(code), "doc_id bigint, text string, size bigint, code bigint"), "packing")
     parts = max(1, math.ceil(corpus.size / part_bytes))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,6 +371,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                 last = number
             base += last + 1
             yield pa.RecordBatch.from_pydict(rows, schema=_ARROW_PIECES)
+            del table, texts, ids, rows
+            give_back()
 
     ordered = coded.select("doc_id", "text", "size", "code").repartitionByRange(parts, "code").sortWithinPartitions("code")
     return ordered.select("doc_id", "text", "size").mapInArrow(fill, _PIECES)

@@ -16,8 +16,10 @@ import pyarrow as pa
 
 from tideline.llm.textops import slices, span_hashes
 
-#: Chunks whose ids a worker keeps at most (about 30 bytes each); later ones are encoded anew.
-KEPT_CHUNKS = 4_000_000
+#: Chunks whose ids a worker keeps at most (about 35 bytes each); later ones are encoded anew.
+KEPT_CHUNKS = 1_500_000
+#: Chunks handed to the library at once, which bounds what its results take.
+AT_ONCE = 8192
 
 
 def _chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -63,12 +65,13 @@ class Encoder:
         self._runs.append(run)
 
     def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = data.tobytes()
-        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        encoded = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(counts.sum()))
-        return counts, flat
+        raw, counts, flat = data.tobytes(), [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for k in range(0, len(starts), AT_ONCE):
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[k : k + AT_ONCE].tolist(), ends[k : k + AT_ONCE].tolist(), strict=True)]
+            encoded = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+            flat.append(np.fromiter((i for ids in encoded for i in ids), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(counts), np.concatenate(flat)
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(chunk starts, index of each chunk's distinct chunk, first and count of its ids, all ids)."""
@@ -89,8 +92,8 @@ class Encoder:
             self._ids[self._used : self._used + len(flat)] = flat
             first[new] = self._used + np.cumsum(counts) - counts
             count[new] = counts
-            if self._kept + len(new) <= KEPT_CHUNKS:
-                self._add((distinct[new], first[new], counts))
+            if self._kept + len(new) <= KEPT_CHUNKS and self._used + len(flat) < 1 << 32:
+                self._add((distinct[new], first[new].astype(np.uint32), counts.astype(np.uint32)))
                 self._used += len(flat)
         return starts, inverse, first, count, self._ids
 
