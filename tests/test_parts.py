@@ -122,3 +122,29 @@ def test_expanding_lines_equal_refits(spark):
     want = {r.n: r.b for r in fits.select("n", F.col("scalars")["trend_b"].alias("b")).collect()}
     got = {r.n: r.trend_b for r in validation.expanding_lines(df, 20, 15, 3.0).collect()}
     assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in got)
+
+
+def test_a_path_of_weights_equals_single_solves(spark):
+    rng = np.random.default_rng(9)
+    y = np.repeat([0.0, 2.0, 1.0], 40) + rng.normal(0, 0.2, 120)
+    y[30:36] = np.nan
+    models = [Model((specs.pwc_trend(w), specs.multiperiodic(12.0, 1, 0.1))) for w in (0.1, 1.0, 10.0)] + [Model((specs.smooth_trend(5.0), specs.sparse(1.0)))]
+    df = spark.createDataFrame(pd.DataFrame({"series_id": "a", "t": range(120), "y": y})).replace(float("nan"), None)
+    rows = {r.place: r for r in fit.weight_path(df, models).collect()}
+    for i, m in enumerate(models):
+        alone = solver.solve(y, m)
+        assert rows[i].status == "optimal" and rows[i].objective == pytest.approx(alone["objective"], rel=1e-4)
+        assert np.abs(np.array(rows[i].roles["trend"]) - alone["values"]["trend"]).max() < 1e-2
+
+
+def test_sums_by_expressions_and_by_batches_agree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    t = np.arange(300)
+    frame = pd.DataFrame({"series_id": np.repeat(["a", "b"], 300), "t": np.tile(t, 2), "y": rng.normal(size=600) + np.tile(0.01 * t, 2)})
+    frame.loc[10:30, "y"] = None
+    df = spark.createDataFrame(frame)
+    model = Model((specs.linear_trend(slope_weight=0.1), specs.multiperiodic(24.0, 2, 0.1)))
+    one = {r.series_id: r for r in fit.gram_fit(df, model).collect()}
+    monkeypatch.setattr(fit, "SUMS", 0)
+    two = {r.series_id: r for r in fit.gram_fit(df, model).collect()}
+    assert all(one[k].n == two[k].n and np.allclose(one[k].theta, two[k].theta, atol=1e-9) for k in ("a", "b"))

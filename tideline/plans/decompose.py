@@ -7,7 +7,7 @@ squares of few coefficients can instead be fitted from distributed sums, however
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,16 +21,19 @@ from tideline.plans.specs import Model
 for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
     os.environ.setdefault(_name, "1")
 
+#: Columns of a model whose sums of products are plain aggregate expressions.
+SUMS = 12
+
 SOLVED = "status string, objective double, scalars map<string,double>, vectors map<string,array<double>>, t array<bigint>, y array<double>, residual array<double>, roles map<string,array<double>>"
 
 
-def solved_row(group: pd.DataFrame, model: Model) -> dict:
+def solved_row(group: pd.DataFrame, model: Model, path: dict | None = None) -> dict:
     """One series' solution; a failed solve is a status, not an error."""
     group = group.sort_values("t")
     y = group["y"].to_numpy(float)
     row = {"t": group["t"].to_numpy(np.int64), "y": [None if np.isnan(v) else v for v in y], "objective": None, "scalars": {}, "vectors": {}, "residual": [], "roles": {}}
     try:
-        got = solve(y, model, {c: group[c].to_numpy(float) for c in model.columns})
+        got = solve(y, model, {c: group[c].to_numpy(float) for c in model.columns}, path=path)
     except (ValueError, np.linalg.LinAlgError) as problem:
         return row | {"status": f"failed: {problem}"}
     return row | {"status": got["status"], "objective": got["objective"], "scalars": got["scalars"], "vectors": got["vectors"], "residual": got["residual"], "roles": got["values"]}
@@ -46,6 +49,22 @@ def fit_groups(df: DataFrame, keys: list[str], model_of: Callable[[pd.DataFrame]
     return df.groupBy(*keys).applyInPandas(run, f"{head}, {SOLVED}")
 
 
+def weight_path(df: DataFrame, models: Sequence[Model]) -> DataFrame:
+    """(series_id, place, solution) for every model, in their order: a series' path of weights.
+
+    A series' models are solved one after another in one task, each from the last one's end; factors
+    are used again where only weights of non-smooth parts change.
+    """
+    columns = list(dict.fromkeys(c for m in models for c in m.columns))
+    kind = df.schema["series_id"].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        path: dict = {}
+        return pd.DataFrame([{"series_id": group["series_id"].iloc[0], "place": i} | solved_row(group, m, path) for i, m in enumerate(models)])
+
+    return df.select("series_id", "t", "y", *columns).groupBy("series_id").applyInPandas(run, f"series_id {kind}, place int, {SOLVED}")
+
+
 def decompose(df: DataFrame, model: Model, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """One row per series with its solution; see ``curves`` and ``summary``."""
     return fit_groups(df.select(*keys, "t", "y", *model.columns), list(keys), lambda _: model)
@@ -68,10 +87,13 @@ def gram_fit(df: DataFrame, model: Model) -> DataFrame:
     """(series_id, theta, n): ridge least squares from sums of products, one pass and one small shuffle.
 
     For ``linear``, ``exog_linear``, ``exog_spline`` (stated knots) and ``periodic`` (one period's
-    harmonics each, no products) under l2 without bounds. Batches give partial sums of ``p^2`` numbers.
+    harmonics each, no products) under l2 without bounds. Up to ``SUMS`` columns the sums are
+    expressions; beyond, batches give partial sums of ``p^2`` numbers.
     """
     columns, penalty = design(model)
     p = len(columns)
+    if p <= SUMS:
+        return _summed_fit(df, columns, penalty)
     flat = df.select("series_id", F.array(*[c.cast("double") for c in columns]).alias("a"), F.nanvl("y", F.lit(None)).alias("y"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,6 +114,27 @@ def gram_fit(df: DataFrame, model: Model) -> DataFrame:
     return sums.groupBy("series_id").applyInPandas(total, f"series_id {kind}, theta array<double>, n bigint")
 
 
+def _summed_fit(df: DataFrame, columns: list, penalty: np.ndarray) -> DataFrame:
+    p, seen = len(columns), F.col("y").isNotNull() & ~F.isnan("y")
+    names = [f"a{i}" for i in range(p)]
+    rows = df.select("series_id", F.when(seen, F.col("y")).alias("y"), *[F.when(seen, c.cast("double")).alias(n) for c, n in zip(columns, names, strict=True)])
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    squares = F.array(*[total(F.col(names[i]) * F.col(names[j])) for i, j in pairs])
+    sums = rows.groupBy("series_id").agg(squares.alias("aa"), F.array(*[total(F.col(n) * F.col("y")) for n in names]).alias("ay"), F.count("*").alias("n"))
+    place = np.zeros((p, p), int)
+    for k, (i, j) in enumerate(pairs):
+        place[i, j] = place[j, i] = k
+
+    def solve_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            theta = [np.linalg.lstsq(np.asarray(aa)[place] / n + np.diag(penalty), np.asarray(ay) / n, rcond=1e-13)[0].tolist() for aa, ay, n in zip(batch["aa"], batch["ay"], batch["n"], strict=True)]
+            yield pd.DataFrame({"series_id": batch["series_id"], "theta": theta, "n": batch["n"]})
+
+    kind = df.schema["series_id"].dataType.simpleString()
+    return sums.mapInPandas(solve_each, f"series_id {kind}, theta array<double>, n bigint")
+
+
 def design(model: Model) -> tuple[list, np.ndarray]:
     """The model's columns as expressions over t and covariates, and their penalties."""
     if model.loss != "l2":

@@ -17,6 +17,8 @@ from tideline.plans.specs import Component, Model
 
 #: Longest series of a model with free values, for which dense matrices are formed; longer ones are banded.
 MAX_FREE = 3000
+#: Factors of one system that are kept at most, each for one step size.
+KEPT_FACTORS = 3
 
 
 class _Part:
@@ -141,8 +143,12 @@ def isotonic(y: np.ndarray, seen: np.ndarray, increasing: bool) -> np.ndarray:
     return sign * fit[at]
 
 
-def solve(y: np.ndarray, model: Model, z: dict[str, np.ndarray] | None = None, tol: float = 1e-7, most: int = 8000) -> dict:
-    """Values by role, the residual, scalars and vectors of coefficients, the objective and a status."""
+def solve(y: np.ndarray, model: Model, z: dict[str, np.ndarray] | None = None, tol: float = 1e-7, most: int = 8000, path: dict | None = None) -> dict:
+    """Values by role, the residual, scalars and vectors of coefficients, the objective and a status.
+
+    ``path``: kept by the caller from one model to the next of a series' path of weights, so that each
+    starts where the last ended, and factors of a system that only non-smooth weights left are used again.
+    """
     y, z, n = np.asarray(y, float), z or {}, len(y)
     seen = np.isfinite(y)
     if not seen.any():
@@ -164,7 +170,7 @@ def solve(y: np.ndarray, model: Model, z: dict[str, np.ndarray] | None = None, t
     if long:
         v, status = _solve_long(parts, cut, y, seen, model, tol, most)
     else:
-        v, status = _solve_dense(parts, cut, y, seen, model, tol, most)
+        v, status = _solve_dense(parts, cut, y, seen, model, tol, most, path)
     values, scalars, vectors, objective = {}, {}, {}, 0.0
     for p, s in zip(parts, cut, strict=True):
         x = v[s]
@@ -182,7 +188,7 @@ def solve(y: np.ndarray, model: Model, z: dict[str, np.ndarray] | None = None, t
     return {"status": status, "values": values, "residual": residual, "scalars": scalars, "vectors": vectors, "objective": objective}
 
 
-def _solve_dense(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.ndarray, model: Model, tol: float, most: int) -> tuple[np.ndarray, str]:
+def _solve_dense(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.ndarray, model: Model, tol: float, most: int, path: dict | None) -> tuple[np.ndarray, str]:
     n, size = len(y), cut[-1].stop
     a = np.zeros((int(seen.sum()), size))
     pen = np.zeros((size, size))
@@ -199,7 +205,12 @@ def _solve_dense(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.n
         terms.append((slice(0, size), a, "residual", (y[seen], model.loss, model.param, 1 / n)))
     if not terms:
         return np.linalg.lstsq(pen, goal, rcond=1e-13)[0], "optimal"
-    return _admm(_Dense(pen, terms, size), goal, terms, tol, most)
+    path = {} if path is None else path
+    same = "pen" in path and np.array_equal(path["pen"], pen) and [k.shape for _, k, _, _ in terms] == path["shapes"]
+    if not same:
+        path |= {"pen": pen, "shapes": [k.shape for _, k, _, _ in terms], "system": _Dense(pen, terms, size), "factors": {}}
+        path.pop("z", None)
+    return _admm(path["system"], goal, terms, tol, most, path)
 
 
 def _solve_long(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.ndarray, model: Model, tol: float, most: int) -> tuple[np.ndarray, str]:
@@ -261,15 +272,27 @@ class _Dense:
         return lambda r: inverse @ r
 
 
-def _admm(system: _Dense | System, goal: np.ndarray, terms: list, tol: float, most: int) -> tuple[np.ndarray, str]:
+def _admm(system: _Dense | System, goal: np.ndarray, terms: list, tol: float, most: int, path: dict | None = None) -> tuple[np.ndarray, str]:
+    path = {} if path is None else path
+    factors = path.get("factors", {})
     size, unit, goal = system.size, system.unit, goal * system.unit
     rows = np.cumsum([k.shape[0] for _, k, _, _ in terms])
     spans = [slice(int(end) - k.shape[0], int(end)) for (_, k, _, _), end in zip(terms, rows, strict=True)]
     scale = system.trace_pen / size + 1e-12
     rho = max(scale / (system.trace_gram / size), 1e-8)
     ridge = 1e-10 * scale
-    inverse = system.factor(rho, ridge)
     z, u = np.zeros(int(rows[-1])), np.zeros(int(rows[-1]))
+    if "z" in path:
+        rho, z, u = path["rho"], path["z"].copy(), path["dual"] / path["rho"]
+
+    def factored(rho: float) -> Callable[[np.ndarray], np.ndarray]:
+        if rho not in factors:
+            if len(factors) == KEPT_FACTORS:
+                factors.pop(next(iter(factors)))
+            factors[rho] = system.factor(rho, ridge)
+        return factors[rho]
+
+    inverse = factored(rho)
     v = np.zeros(size)
     for i in range(most):
         v = inverse(goal + rho * system.back(z - u))
@@ -283,11 +306,12 @@ def _admm(system: _Dense | System, goal: np.ndarray, terms: list, tol: float, mo
         near = max(np.linalg.norm(kv), np.linalg.norm(z), 1e-8)
         far = max(rho * np.linalg.norm(system.back(u)), rho * np.linalg.norm(u) * np.sqrt(system.trace_gram / size), 1e-10)
         if primal <= tol * near and dual <= tol * far:
+            path |= {"rho": rho, "z": z, "dual": u * rho}
             return v * unit, "optimal"
         if i % 25 == 24 and i < most * 0.7:
             ratio = (primal / near) / max(dual / far, 1e-300)
             if ratio > 5 or ratio < 0.2:
                 step = float(np.clip(np.sqrt(ratio), 0.1, 10))
                 rho, u = rho * step, u / step
-                inverse = system.factor(rho, ridge)
+                inverse = factored(rho)
     return v * unit, "optimal_inaccurate"
