@@ -39,11 +39,18 @@ def peak_and_trough(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("series_id").agg(F.min_by("step", F.struct(-F.col("mean"), "step")).alias("peak"), F.min_by("step", F.struct("mean", "step")).alias("trough"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation over rows with both values; null where one of them does not vary."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def day_correlation(folded: DataFrame, one: int, other: int) -> DataFrame:
     """(series_id, corr) of two days' profiles."""
     a = folded.where(F.col("day") == one).select("series_id", "step", F.col("value").alias("a"))
     b = folded.where(F.col("day") == other).select("series_id", "step", F.col("value").alias("b"))
-    return a.join(b, ["series_id", "step"]).groupBy("series_id").agg(F.corr("a", "b").alias("corr"))
+    return a.join(b, ["series_id", "step"]).groupBy("series_id").agg(correlation("a", "b").alias("corr"))
 
 
 def periodogram(df: DataFrame, top: int = 6) -> DataFrame:
@@ -73,7 +80,7 @@ def lag_correlation(df: DataFrame, value: str = "residual", adjacent: bool = Fal
     """(series_id, ac1): lag-1 autocorrelation; with ``adjacent`` only of rows observed at t and t - 1."""
     by_t = Window.partitionBy("series_id").orderBy("t")
     rows = df.where(F.col(value).isNotNull()).withColumns({"a": F.lag(value).over(by_t), "s": F.col("t") - F.lag("t").over(by_t)})
-    return (rows.where("s = 1") if adjacent else rows.where("s is not null")).groupBy("series_id").agg(F.corr("a", value).alias("ac1"))
+    return (rows.where("s = 1") if adjacent else rows.where("s is not null")).groupBy("series_id").agg(correlation("a", value).alias("ac1"))
 
 
 def largest(df: DataFrame, value: str = "residual", top: int = 10) -> DataFrame:
@@ -84,7 +91,7 @@ def largest(df: DataFrame, value: str = "residual", top: int = 10) -> DataFrame:
 
 def variance_explained(curves: DataFrame) -> DataFrame:
     """(series_id, explained): 1 - var(residual) / var(y) on observed rows."""
-    return curves.where("y is not null").groupBy("series_id").agg((1 - F.var_pop("residual") / F.var_pop("y")).alias("explained"))
+    return curves.where("y is not null").groupBy("series_id").agg((1 - F.var_pop("residual") / F.nullif(F.var_pop("y"), F.lit(0.0))).alias("explained"))
 
 
 def change_counts(curves: DataFrame, role: str, least: float, order: int = 1) -> DataFrame:

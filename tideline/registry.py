@@ -211,7 +211,7 @@ def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(_HOURLY + """, l AS (SELECT series_id, y, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS a FROM hours WHERE y IS NOT NULL)
-SELECT series_id, round(corr(a, y), 9) AS ac1 FROM l WHERE a IS NOT NULL GROUP BY series_id""")
+SELECT series_id, round(covar_pop(a, y) / nullif(stddev_pop(a) * stddev_pop(y), 0), 9) AS ac1 FROM l WHERE a IS NOT NULL GROUP BY series_id""")
 def lag_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.lag_correlation(hourly(spark, sf_dir), "y").select("series_id", F.round("ac1", 9).alias("ac1"))
 
@@ -355,7 +355,7 @@ def masked_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(_HOURLY + """, a AS (SELECT series_id, t % 24 AS step, max(y) FILTER (t // 24 = 0) AS x, max(y) FILTER (t // 24 = 3) AS z FROM hours GROUP BY ALL)
-SELECT series_id, round(corr(x, z), 9) AS corr FROM a GROUP BY series_id""")
+SELECT series_id, round(covar_pop(x, z) / nullif(stddev_pop(x) FILTER (z IS NOT NULL) * stddev_pop(z) FILTER (x IS NOT NULL), 0), 9) AS corr FROM a GROUP BY series_id""")
 def day_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = diagnostics.day_correlation(diagnostics.fold(hourly(spark, sf_dir), 3600.0), 0, 3)
     return got.select("series_id", F.round("corr", 9).alias("corr"))
