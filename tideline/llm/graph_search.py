@@ -6,12 +6,14 @@ graph so far proposes each one's neighbours, and relaxed pruning (an edge goes i
 is nearer to its end by the factor ``ALPHA``) keeps long and diverse edges. Reverse edges are added
 and pruned alike. The graphs are written once; each block of queries then meets each shard, a beam
 search finds its nodes there, and the best of all shards are merged. Distances of the result are
-computed in double precision on the original vectors.
+computed in double precision on the original vectors; graphs are built and searched on copies that are
+centred and scaled by shard, so that neither offsets nor units of the vectors matter.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from tideline.llm.storage import materialise
 #: Vectors of a shard on average, edges of a node, beam of the build and of a search, relaxation.
 SHARD_ROWS, DEGREE, BUILD_BEAM, BEAM, ALPHA = 10_000, 28, 48, 96, 1.2
 #: Neighbours asked for, queries of a block, nodes expanded and inserted at once.
-K, QUERY_BLOCK, EXPAND, BATCH = 10, 20_000, 4, 256
+K, QUERY_BLOCK, EXPAND, BATCH = 10, 100_000, 4, 256
 
 
 def _squared(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -81,8 +83,9 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degre
     """At most ``degree`` of the candidates (rows padded with -1) as edges of each node."""
     b, c = candidates.shape
     own = (candidates < 0) | (candidates == nodes[:, None])
-    rows = x[np.where(own, 0, candidates)]
-    away = np.where(own, np.inf, _squared(rows, x[nodes]))
+    # seen from the node, so that the products below lose no digits to its place
+    rows = x[np.where(own, 0, candidates)] - x[nodes][:, None, :]
+    away = np.where(own, np.inf, np.einsum("bcd,bcd->bc", rows, rows))
     order = np.argsort(away, axis=1, kind="stable")
     candidates, away = np.take_along_axis(candidates, order, 1), np.take_along_axis(away, order, 1)
     rows = np.take_along_axis(rows, order[:, :, None], 1)
@@ -156,6 +159,36 @@ def _matrix(column: pa.ChunkedArray, dim: int, kind: type = np.float64) -> np.nd
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(kind)
 
 
+@dataclass(frozen=True)
+class View:
+    """Vectors of a shard as seen by its graph: by their largest component, from their mean, by the largest one left."""
+
+    size: float
+    centre: np.ndarray
+    spread: float
+
+    @staticmethod
+    def of(exact: np.ndarray) -> View:
+        size = float(np.abs(exact).max(initial=0.0)) or 1.0
+        centre = (exact / size).mean(0)
+        return View(size, centre, float(np.abs(exact / size - centre).max(initial=0.0)) or 1.0)
+
+    def __call__(self, exact: np.ndarray) -> np.ndarray:
+        return np.clip((exact / self.size - self.centre) / self.spread, -1e15, 1e15).astype(np.float32)
+
+
+def distances(gap: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of ``gap`` (.., d) in double precision, also where squares leave its range."""
+    with np.errstate(over="ignore", under="ignore"):
+        plain = np.sqrt(np.einsum("...d,...d->...", gap, gap))
+    odd = ~((plain > 1e-140) & (plain < 1e140))
+    if odd.any():
+        most = np.abs(gap[odd]).max(-1, keepdims=True)
+        part = gap[odd] / np.where(most > 0, most, 1.0)
+        plain[odd] = most[..., 0] * np.sqrt(np.einsum("...d,...d->...", part, part))
+    return plain
+
+
 def _nodes(vectors: DataFrame, k: int) -> DataFrame:
     """(dim, h1, h2, vec, ids): one row per distinct vector, with the ``k + 1`` least ids of its copies.
 
@@ -163,7 +196,9 @@ def _nodes(vectors: DataFrame, k: int) -> DataFrame:
     in two steps, so that no task gets more of a very common vector than the root of all rows.
     """
     salts = max(1, math.ceil(math.sqrt(vectors.count()) / 5))
-    keyed = vectors.withColumns({"dim": F.size("vec"), "h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(5), "vec"), "salt": F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(salts))})
+    keyed = vectors.withColumns({"dim": F.size("vec"), "h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(5), "vec")})
+    # rows equal in id and vector are one
+    keyed = keyed.groupBy("dim", "h1", "h2", "vec_id").agg(F.min("vec").alias("vec")).withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(salts)))
     some = keyed.withColumn("turn", F.row_number().over(Window.partitionBy("dim", "h1", "h2", "salt").orderBy("vec_id"))).where(F.col("turn") <= k + 1)
     few = some.withColumn("turn", F.row_number().over(Window.partitionBy("dim", "h1", "h2").orderBy("vec_id"))).where(F.col("turn") <= k + 1)
     return few.groupBy("dim", "h1", "h2").agg(F.min_by("vec", "vec_id").alias("vec"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
@@ -189,7 +224,8 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, k: int = K) ->
     def build(rows: pa.Table) -> pa.Table:
         rows = rows.take(pa.array(np.lexsort((rows["h2"].to_numpy(), rows["h1"].to_numpy()))))
         dim = rows["dim"][0].as_py()
-        edges, start = build_graph(_matrix(rows["vec"], dim, np.float32))
+        exact = _matrix(rows["vec"], dim)
+        edges, start = build_graph(View.of(exact)(exact))
         size = (edges >= 0).sum(1)
         links = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(edges[edges >= 0].astype(np.int32)))
         n = len(edges)
@@ -218,18 +254,21 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = K, beam: int = B
             size = lists.value_lengths().to_numpy().astype(np.int64)
             edges = np.full((len(exact), max(int(size.max(initial=1)), 1)), -1, np.int64)
             edges[np.arange(edges.shape[1])[None, :] < size[:, None]] = lists.flatten().to_numpy()
-            x, start = exact.astype(np.float32), nodes["start"][0].as_py()
+            view, start = View.of(exact), nodes["start"][0].as_py()
+            x = view(exact)
             for at in range(0, len(points), BATCH):
                 some = points[at : at + BATCH]
-                found, _ = beam_search(x, edges, start, some.astype(np.float32), max(beam, 2 * k))
-                gap = exact[np.maximum(found, 0)] - some[:, None, :]
-                away = np.where(found >= 0, np.sqrt(np.einsum("bcd,bcd->bc", gap, gap)), np.inf)
+                found, _ = beam_search(x, edges, start, view(some), max(beam, 2 * k))
+                away = distances(exact[np.maximum(found, 0)] - some[:, None, :])
                 for b in range(len(some)):
-                    own, best = int(query[at + b]), []
-                    for c in np.argsort(away[b], kind="stable"):
-                        if found[b, c] < 0 or (len(best) >= k and away[b, c] > best[k - 1][0]):
+                    own, best, met = int(query[at + b]), [], set()
+                    near = found[b] >= 0
+                    for away_c, node in sorted(zip(away[b][near].tolist(), found[b][near].tolist(), strict=True)):
+                        if len(best) >= k and away_c > best[k - 1][0]:
                             break
-                        best += [(float(away[b, c]), i) for i in ids[found[b, c]] if i != own]
+                        fresh = [i for i in ids[node] if i != own and i not in met]
+                        met.update(fresh)
+                        best += [(away_c, i) for i in fresh]
                         best.sort()
                     for score, i in best[:k]:
                         out["query_id"].append(own), out["vec_id"].append(i), out["score"].append(score)
@@ -237,7 +276,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = K, beam: int = B
 
     found = every.groupBy("dim", "shard", "block").cogroup(asked.groupBy("qdim", "qshard", "block")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", turn).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", turn).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
@@ -245,10 +284,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int =
 
     Euclidean distance; ties go to the smaller id. Vectors that are null, zero, or hold null or
     non-finite components take no part, nor do rows without an id; vectors of different lengths are
-    never neighbours. Copies are neighbours like any others. Ids are taken to be unique; extra
-    columns are ignored; where there are fewer candidates than ``k``, all found are returned. An
-    empty table gives an empty result.
+    never neighbours. Copies are neighbours like any others. Rows that share an id are one item: as a
+    query it asks with each of its vectors, as an answer it is listed once, at its nearest; it is never
+    its own neighbour. Extra columns are ignored; where there are fewer candidates than ``k``, all found
+    are returned. An empty table gives an empty result.
     """
     good = usable(vectors)
     index = build_index(good, shard_rows, k)
-    return search_index(index, usable(vectors.where(is_query)), k, beam)
+    return search_index(index, usable(vectors.where(is_query)).dropDuplicates(["vec_id", "vec"]), k, beam)
