@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm.cells import CELLS, Counter, ranks, squeezed
-from tideline.llm.components import connected_components
+from tideline.llm.components import HUBS, connected_components, hub_join, least_join
 from tideline.llm.storage import materialise
-from tideline.llm.textops import mix, shingle_sets
+from tideline.llm.textops import mix, shingle_sets, tidied
 
 #: Words of a shingle, and the least similarity in hundredths.
 WIDTH, LEAST = 5, 75
@@ -76,7 +76,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
         none = pa.nulls(len(chunks), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k for k, _ in chunks], pa.int32()), pa.array([c for _, c in chunks], pa.binary())], names=_SCAN.names)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, _SCAN)
+    return docs.select("doc_id", "text").mapInArrow(tidied(scan), _SCAN)
 
 
 def prefix_length(n: int, least: int = LEAST) -> int:
@@ -153,7 +153,7 @@ def _lists(docs: DataFrame, cells: object, buckets: int, width: int, least: int)
         hub = np.repeat(first, np.diff(np.append(first, len(sh))))
         return pa.table([*map(pa.array, (sh.view(np.int64), doc, n, pos, doc[hub], n[hub], pos[hub]))], names=["sh", "doc_id", "n", "pos", "hub", "cn", "cpos"])
 
-    posted = docs.select("doc_id", "text").mapInArrow(post, _BLOCK)
+    posted = docs.select("doc_id", "text").mapInArrow(tidied(post), _BLOCK)
     return posted.groupBy("bucket").applyInArrow(gather, _LISTED)
 
 
@@ -180,19 +180,20 @@ def _histograms(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
             flat = pa.ListArray.from_arrays(np.arange(0, bins.size + 1, BINS, dtype=np.int32), bins.ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), flat], names=_BINS.names)
 
-    return docs.select("doc_id", "text").join(_few(needed), "doc_id", "left_semi").mapInArrow(build, _BINS)
+    return docs.select("doc_id", "text").join(_few(needed), "doc_id", "left_semi").mapInArrow(tidied(build), _BINS)
 
 
 def _check(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
     """The pairs (u, v) of ``pairs(a, b)`` that link: suffix filter on histograms, then one check on whole texts."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     bins = materialise(_histograms(docs, needed, width), "bins")
+    total = pairs.count()
     left = bins.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("bins").alias("abins"))
     right = bins.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("bins").alias("bbins"))
     apart = F.expr("aggregate(zip_with(abins, bbins, (x, y) -> abs(int(x) - int(y))), 0, (s, x) -> s + x)")
     # |A xor B| >= the sum over bins of the differences of their counts (clipped counts only lessen it)
-    near = pairs.join(left, "a").join(right, "b").where((100 + least) * apart <= (100 - least) * (F.col("an") + F.col("bn")))
-    thin = materialise(near.select("a", "b").distinct(), "thin")
+    near = hub_join(hub_join(pairs, left, "a", "b", total), right, "b", "a", total)
+    thin = materialise(near.where((100 + least) * apart <= (100 - least) * (F.col("an") + F.col("bn"))).select("a", "b").distinct(), "thin")
     one = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")).join(_few(thin), "a")
     two = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y")).join(_few(thin.select("b").distinct()), "b", "left_semi")
 
@@ -212,7 +213,7 @@ def _check(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFra
                     linked.append(len(x) > 0 and (100 + least) * both >= least * (len(x) + len(y)))
                 yield batch.select([0, 1]).filter(pa.array(linked))
 
-    return one.join(two, "b").select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    return hub_join(one, two, "b", "a", thin.count(), keys=thin).select("a", "b", "x", "y").mapInArrow(tidied(verify), "a bigint, b bigint").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
 def _between(rest: DataFrame, several: DataFrame, least: int) -> DataFrame:
@@ -248,10 +249,12 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, least: int = LEAST) ->
     scanned = materialise(_scan(docs, width), "scan")
     shared = docs.sparkSession.sparkContext.broadcast(ranks(scanned.where("chunk is not null").select("chunk", "counts")))
     slim = scanned.where("chunk is null").select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2")
-    classes = slim.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = slim.where("n_shingles > 0 and doc_id is not null").join(classes.where("copies > 1"), ["c1", "c2", "n_shingles"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    members = slim.where("n_shingles > 0 and doc_id is not null")
+    classes = members.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    rows, total = slim.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    large = max(1000, rows // HUBS)
+    copies = least_join(members, classes, ["c1", "c2", "n_shingles"], "copies", rows, large).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
-    total = slim.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, -(-total * (100 - least) // 100 // BUCKET_ROWS))
     listed = materialise(_lists(docs, shared, buckets, width, least), "lists")
 
@@ -271,9 +274,11 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, least: int = LEAST) ->
 def near_duplicates_removed(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """One document of each component (its least ``doc_id``), with all columns; rows without an id stay.
 
-    Rows that share a ``doc_id`` are one document: one of them stays.
+    Rows that share a ``doc_id`` are one document: that of the least hash stays. Null and empty texts
+    are linked with nothing and stay; an empty table gives an empty result.
     """
     groups = ngram_components(docs, width, least).where("doc_id = component_id").select("doc_id").distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    first = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"])
+    kept = docs.where("doc_id is not null").join(groups, "doc_id", "left_semi").select("doc_id", F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("h"))
+    first = kept.groupBy("doc_id").agg(F.min_by("row", "h").alias("row")).select("row.*")
     return first.union(docs.where("doc_id is null").select(*columns))

@@ -1,7 +1,8 @@
 """Tables between steps, in the folder that the cluster shares.
 
 ``materialise`` cuts lineage by writing Parquet to ``spark.checkpoint.dir``: the files survive lost
-executors, are compressed and columnar, and can be read in parts.
+executors, are compressed and columnar, and can be read in parts. ``discard`` deletes a table that
+nothing reads any more; all others stay until the folder's owner clears it after the job.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is set (as in tests), a new local one."""
+    """The session's checkpoint folder. Where none is set, a local session gets a new one, and a cluster's is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tideline-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -28,3 +31,12 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table of ``materialise`` that no later step reads."""
+    files = table.inputFiles()
+    if files:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
