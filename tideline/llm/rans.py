@@ -1,7 +1,8 @@
 """Token ids in files of static range asymmetric numeral systems (rANS), written and read in parallel.
 
-One frequency table, counted over all ids, serves every block. Documents are in ascending ``doc_id``
-order. A file's row is a frame: whole documents, whose ids are cut into independent blocks of
+One frequency table, counted over all ids, serves every block; it is written beside the frames with
+the parameters of the format, so that the path alone is enough to read. Documents are in ascending
+``doc_id`` order. A row of the files is a frame: whole documents, whose ids are cut into independent blocks of
 ``BLOCK`` ids, each spread over ``LANES`` interleaved states. A block has a checkpoint (all its
 states and its place in the word stream) every ``SEGMENT`` rows of lanes, from which decoding can
 start, and the CRC-32 of its ids. Encoding and decoding run over all blocks, or all checkpoints, of
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm.storage import materialise, shared_folder
+from tideline.llm.textops import tidied
 from tideline.llm.tokens import encoder
 
 #: Bits of the frequency scale, ids of a block, interleaved states, rows of lanes between checkpoints.
@@ -187,7 +189,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
             ids = [np.append(x, end_id).astype(kind).tobytes() for x in library.column(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=schema.names)
 
-    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(encode, schema), "ids")
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(tidied(encode), schema), "ids")
 
 
 def id_type(tokenizer: str) -> str:
@@ -216,8 +218,13 @@ def count_ids(ids: DataFrame, kind: str) -> np.ndarray:
     return counts
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> Table:
-    """Writes the ids of ``docs(doc_id, text)`` in ascending ``doc_id`` order to ``path``; see the module.
+_FORMAT = T.StructType([
+    *[T.StructField(n, T.IntegerType()) for n in ("scale", "block", "lanes", "segment", "end_id")], T.StructField("tokenizer", T.StringType()), T.StructField("freq", T.BinaryType()),
+])
+
+
+def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
+    """Writes the ids of ``docs(doc_id, text)`` in ascending ``doc_id`` order to ``path``: frames, and the table to read them by.
 
     A null or empty text is its end id alone. Null ids come first; rows that share an id are in the
     order of their texts' hashes. Extra columns are ignored; an empty table gives a file without frames.
@@ -249,16 +256,27 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID)
         if docs_now:
             yield close()
 
-    ranged.mapInArrow(frames, _FRAME).write.parquet(path)
-    return table
+    ranged.mapInArrow(tidied(frames), _FRAME).write.parquet(f"{path}/frames")
+    row = (SCALE, BLOCK, LANES, SEGMENT, end_id, tokenizer.rpartition("/")[2], bytearray(table.freq.astype("<u4").tobytes()))
+    docs.sparkSession.createDataFrame([row], _FORMAT).coalesce(1).write.parquet(f"{path}/table")
+
+
+def read_table(spark: SparkSession, path: str) -> Table:
+    """The frequency table of files of ``write_ids``; files of another format are an error."""
+    row = spark.read.schema(_FORMAT).parquet(f"{path}/table").first()
+    if row is None or (row.scale, row.block, row.lanes, row.segment) != (SCALE, BLOCK, LANES, SEGMENT):
+        raise ValueError("the files have another format")
+    freq = np.frombuffer(bytes(row.freq), "<u4").astype(np.uint64)
+    return Table(freq, np.cumsum(freq) - freq)
 
 
-def read_ids(spark: SparkSession, path: str, table: Table) -> DataFrame:
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) from files of ``write_ids``; ``ids`` are little-endian unsigned 32-bit.
 
     ``start`` counts the ids of all documents before, over all files.
     """
-    frames = spark.read.schema(_FRAME).parquet(path)
+    table = read_table(spark, path)
+    frames = spark.read.schema(_FRAME).parquet(f"{path}/frames")
     shared = spark.sparkContext.broadcast(table)
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
@@ -283,5 +301,5 @@ def read_ids(spark: SparkSession, path: str, table: Table) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes ``docs`` to a new place in the shared folder and reads it back: ``read_ids``' columns."""
     path = f"{shared_folder(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
-    table = write_ids(docs, tokenizer, path)
-    return read_ids(docs.sparkSession, path, table)
+    write_ids(docs, tokenizer, path)
+    return read_ids(docs.sparkSession, path)

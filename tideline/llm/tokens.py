@@ -19,7 +19,7 @@ from tideline.llm.textops import slices, span_hashes
 #: Chunks whose ids a worker keeps at most (about 35 bytes each); later ones are encoded anew.
 KEPT_CHUNKS = 1_500_000
 #: Chunks handed to the library at once, which bounds what its results take.
-AT_ONCE = 8192
+AT_ONCE = 1024
 
 
 def _chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
