@@ -1,24 +1,24 @@
 """Language identification by language-bitmask n-gram filters.
 
 A Bloom filter whose slots hold one bit per language, in as many 64-bit words as the languages need,
-answers, with a few look-ups, which languages contain an n-gram: the AND of the n-gram's slots is the set of these languages. A text's n-grams
-vote by popcount per language; a language's count is corrected for the false positives that its
+answers, with a few look-ups, which languages contain an n-gram: the AND of the n-gram's slots is the
+set of these languages. A text's n-grams vote by popcount per language; a language's count is corrected for the false positives that its
 filter's fill predicts, and the largest corrected share decides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.textops import mix, slices
+from tideline.llm.storage import materialise
+from tideline.llm.textops import mix, slices, tidied
 
 #: Bytes of an n-gram, slots of the filter (a power of two), look-ups per n-gram.
 NGRAM, SLOTS, PROBES = 4, 1 << 20, 3
@@ -78,27 +78,16 @@ class LanguageFilters:
     false_positive: np.ndarray
 
     @staticmethod
-    def learn(texts: Iterable[tuple[str, Iterable[str]]]) -> LanguageFilters:
-        """Filters from languages and their texts; one language's texts are held at a time."""
-        by_language = {}
-        for lang, some in texts:
-            grams = [ngrams(data, offsets)[0] for _, data, offsets in slices(pa.array(list(some), pa.large_string()))]
-            by_language[lang] = np.unique(np.concatenate(grams) if grams else np.empty(0, np.uint32), return_counts=True)
-        languages = tuple(sorted(by_language))
-        counted = [by_language[lang] for lang in languages]
-        every = np.unique(np.concatenate([g for g, _ in counted])) if counted else np.empty(0, np.uint32)
-        total = np.zeros(len(every))
-        for grams, counts in counted:
-            total[np.searchsorted(every, grams)] += counts / max(counts.sum(), 1)
+    def of(bits: dict[str, bytes]) -> LanguageFilters:
+        """From each language's own filter, ``SLOTS`` packed bits."""
+        languages = tuple(sorted(bits))
         slots = np.zeros((-(-len(languages) // 64), SLOTS), np.uint64)
         fill = np.zeros(len(languages))
-        for i, (grams, counts) in enumerate(counted):
-            share = counts / max(counts.sum(), 1)
-            mine = grams[(counts >= min(SEEN, max(counts.max(initial=0), 1))) & (share >= SHARE * total[np.searchsorted(every, grams)])]
+        for i, lang in enumerate(languages):
             word, bit = divmod(i, 64)
-            for at in _probes(mine):
-                slots[word, at] |= np.uint64(1 << bit)
-            fill[i] = np.count_nonzero(slots[word] >> np.uint64(bit) & np.uint64(1)) / SLOTS
+            own = np.unpackbits(np.frombuffer(bits[lang], np.uint8)).astype(np.uint64)
+            slots[word] |= own << np.uint64(bit)
+            fill[i] = own.sum() / SLOTS
         return LanguageFilters(languages, slots, fill**PROBES)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,23 +116,48 @@ class LanguageFilters:
 def learn_filters(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilters:
     """Learns from rows of ``docs(doc_id, text, lang)`` that are not held out, a bounded sample per language.
 
-    The sample is chosen by the hash of the id: ``sample_rows`` per language in expectation.
+    The sample is chosen by the hash of the id: ``sample_rows`` per language in expectation. Executors
+    count its n-grams and fill each language's filter; only filters (``SLOTS`` bits each) come to the driver.
     """
     usable = docs.where(F.col("lang").isNotNull() & ~held_out())
     counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
     chance = F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.col("n")) * (1 << 20)
     known = usable.where(F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)).alias("place"))
-    chosen = known.join(F.broadcast(counts), "lang").where(F.col("place") < chance.cast("int"))
-    rows = chosen.select("lang", "text").repartition("lang").sortWithinPartitions("lang").toLocalIterator()
-    return LanguageFilters.learn((lang, (r.text for r in some)) for lang, some in groupby(rows, lambda r: r.lang))
+    chosen = known.join(F.broadcast(counts), "lang").where(F.col("place") < chance.cast("int")).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = batch.column(0).dictionary_encode()
+            of_row, names = code.indices.to_numpy(), code.dictionary
+            for row, data, offsets in slices(batch.column(1)):
+                grams, bounds = ngrams(data, offsets)
+                lang = np.repeat(of_row[row : row + len(offsets) - 1], np.diff(bounds)).astype(np.uint64)
+                key, n = np.unique(lang << np.uint64(32) | grams, return_counts=True)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array((key >> np.uint64(32)).astype(np.int64))), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+    seen = chosen.mapInArrow(tidied(count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    seen = materialise(seen, "grams")
+    totals = seen.groupBy("lang").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
+    shares = seen.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
+    every = F.sum("share").over(Window.partitionBy("gram"))  # one row for each language that has the n-gram
+    telling = shares.withColumn("every", every).where((F.col("n") >= F.least(F.lit(SEEN), F.col("most"))) & (F.col("share") >= SHARE * F.col("every")))
+
+    def fill(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(SLOTS, np.uint8)
+        for at in _probes(rows["gram"].to_numpy().astype(np.uint32)):
+            bits[at] = 1
+        return pa.table({"lang": rows["lang"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    found = telling.select("lang", "gram").groupBy("lang").applyInArrow(fill, "lang string, bits binary")
+    return LanguageFilters.of({r.lang: bytes(r.bits) for r in found.collect()})
 
 
 def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs(doc_id, text)``.
 
     ``und`` with score 0 for a null text or one without letters (and where no language was learned).
-    A text whose n-grams are all unknown gets the first language with an even score. Whole texts
-    count; repeated rows are judged alike; extra columns are ignored; no rows give no rows.
+    Of languages with equal counts the first by name wins; a text whose n-grams are all unknown thus
+    gets the first language, with an even score. Whole texts count, however long; repeated rows are judged alike; extra columns are ignored; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
