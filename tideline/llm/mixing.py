@@ -24,6 +24,8 @@ BLOCK = 256
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and the most copies of a document, in hundredths.
 SHARE, MOST = 150, 200
+#: Sources whose targets are broadcast at most; those of more are joined by a shuffle.
+BROADCAST_SOURCES = 1_000_000
 _CHUNK = 100_000
 
 #: A word is ``[^\x20\x09-\x0D]+``.
@@ -35,27 +37,41 @@ def word_count(text: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _numbered(per: DataFrame) -> DataFrame:
+    """``per`` with ``sid``: the place of each source in the order of code points, null last, from 1.
+
+    Sources are sorted in ranges; the driver gets one count of each range.
+    """
+    order = F.asc_nulls_last("source")
+    ranged = per.repartitionByRange(order).sortWithinPartitions(order)
+    ranged = materialise(ranged.withColumns({"part": F.spark_partition_id(), "turn": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "sources")
+    before, at = {}, 0
+    for row in ranged.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        before[row.part], at = at, at + row.n
+    base = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair]), F.col("part").cast("long")) if before else F.lit(0)
+    return ranged.withColumn("sid", (base + F.col("turn") + 1).cast("long")).drop("part", "turn")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHARE, most: int = MOST) -> DataFrame:
     """(source, sid, source_size, docs, target) from per-row (source, size, rows).
 
     Sources in the order of code points, null last, weigh ``weights`` in turn. Targets share
     ``share`` hundredths of all words by weight; a target stops at ``most`` hundredths of its
-    source's words and the excess is shared among the others: with the sources in the order of
-    (stop / weight), those that stop are a prefix, so one level serves all others.
+    source's words and the excess is shared among the others, again and again until none is above:
+    each pass is one aggregate of whole numbers, so no task sees all sources and reruns agree.
     """
     per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("rows")).otherwise(0)).alias("docs"))
-    by_name = Window.orderBy(F.asc_nulls_last("source"))
-    per = per.withColumn("sid", F.row_number().over(by_name).cast("long"))
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1).cast("int")).cast("double"))
-    per = per.withColumn("stop", F.col("source_size") * most / 100.0)
-    by_stop = Window.orderBy(F.col("stop") / F.col("weight"), "sid")
-    earlier = by_stop.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    rest = F.sum("source_size").over(everything) * share / 100.0 - F.coalesce(F.sum("stop").over(earlier), F.lit(0.0))
-    weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))
-    per = per.withColumn("level", rest / weight).withColumn("stops", F.col("stop") <= F.col("level") * F.col("weight"))
-    level = F.min(F.when(~F.col("stops"), F.struct(F.col("stop") / F.col("weight"), "sid", "level"))).over(everything)["level"]
-    return per.withColumn("target", F.when(F.col("stops"), F.col("stop")).otherwise(level * F.col("weight"))).select("source", "sid", "source_size", "docs", "target")
+    place = (F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1).cast("int")
+    per = _numbered(per).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place))
+    stop = F.col("source_size") * most
+    total = per.agg(F.sum("source_size")).first()[0] or 0
+    level, before = 0.0, None
+    while level != before:  # more sources stop with every pass that raises the level
+        stops = stop <= level * F.col("weight")
+        held, left = per.agg(F.coalesce(F.sum(F.when(stops, stop)), F.lit(0)), F.coalesce(F.sum(F.when(~stops, F.col("weight"))), F.lit(0))).first()
+        before, level = level, (total * share - held) / left if left else float("inf")
+    target = F.least(stop.cast("double"), level * F.col("weight")) / 100
+    return per.select("source", "sid", "source_size", "docs", target.alias("target"))
 
 
 def _expanded(df: DataFrame) -> DataFrame:
@@ -118,7 +134,8 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHARE
     grouped = materialise(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "sized")
     targets = materialise(source_targets(grouped, weights, share, most), "targets")
     per_copy = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    known = grouped.alias("g").join(targets.alias("t"), F.col("g.source").eqNullSafe(F.col("t.source"))).select(
+    few = F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
+    known = grouped.alias("g").join(few.alias("t"), F.col("g.source").eqNullSafe(F.col("t.source"))).select(
         "doc_id", "size", "rows", "sid", "docs", F.floor(per_copy).alias("whole"), (per_copy - F.floor(per_copy)).alias("x"))
     units = _expanded(known.where("size > 0 and x > 0")).withColumn("h", F.xxhash64("doc_id", "sid", "size", "idx"))
     # block 0 of each source is its reserve for the root
@@ -143,20 +160,23 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHARE
     for more in settled[1:]:
         ups = ups.unionByName(more)
     exact = _expanded(known.where("size = 0 or x = 0")).select("size", "doc_id", "sid", "idx", F.lit(0).cast("long").alias("up"))
-    result = ups.unionByName(exact).join(targets, "sid")
+    result = ups.unionByName(exact).join(few, "sid")
     return result.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") == 0, 0).otherwise(F.floor(per_copy) + F.col("up")).cast("long").alias("copies"), "idx")
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHARE, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns.
 
-    Of rows equal in id, source and size, those first by the text's hash take the larger shares.
+    Of rows equal in id, source and size, those first by the hash of all their columns take the larger
+    shares. Null and empty texts have no words and are never taken; null sources are one source, null
+    ids are ids; whole texts count; an empty table gives an empty result. Rows that share a null id,
+    source and size meet in one task.
     """
     decided = copies(docs, weights, share, most, block).groupBy("doc_id", "source", "size").agg(F.count("*").alias("__rows"), F.sum("copies").alias("__sum"))
     decided = decided.select(F.xxhash64("doc_id", "source", "size").alias("__key"), F.struct("doc_id", "source", "size").alias("__id"), "__rows", "__sum").where("__sum > 0")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
-    keyed = docs.select(row, own.alias("__own"), F.xxhash64("text").alias("__text"))
+    keyed = docs.select(row, own.alias("__own"), F.xxhash64("text", *[F.col(f"`{c}`") for c in docs.columns]).alias("__text"))
     keyed = keyed.withColumn("__key", F.xxhash64("__own.doc_id", "__own.source", "__own.size"))
     turn = F.row_number().over(Window.partitionBy("__key").orderBy("__text"))
     found = keyed.join(decided, "__key").where(F.col("__own").eqNullSafe(F.col("__id"))).withColumn("__turn", turn)
