@@ -19,13 +19,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm.langid import held_out
 from tideline.llm.storage import materialise
-from tideline.llm.textops import Words, mix, slices
+from tideline.llm.textops import Words, mix, slices, tidied
 
 #: Hashed vectors, their length, and n-gram sizes in bytes of ``<word>``.
 BUCKETS, DIM, SIZES = 1 << 17, 8, (3, 4, 5)
@@ -202,24 +202,23 @@ def _trained(sample: DataFrame, entries: int) -> tuple[np.ndarray, float] | None
         for batch in batches:
             found = list(bags(batch.column(2)))
             raw = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *raw], names=["toxic", "place", "buckets", "weights"])
+            size = pa.array([len(x[0]) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, *raw], names=["toxic", "place", "size", "buckets", "weights"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, label, left = [], [], {0: entries // 2, 1: entries // 2}
+        texts, label = [], []
         for batch in batches:
-            for toxic, buckets, weights in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                bucket = np.frombuffer(buckets.as_buffer(), "<i4")
-                left[toxic] -= len(bucket)
-                if left[toxic] >= 0 and len(bucket):
-                    texts.append((bucket.copy(), np.frombuffer(weights.as_buffer(), "<f4").copy()))
-                    label.append(toxic)
+            label += batch.column(0).to_pylist()
+            texts += [(np.frombuffer(b.as_buffer(), "<i4"), np.frombuffer(w.as_buffer(), "<f4")) for b, w in zip(batch.column(1), batch.column(2), strict=True)]
         if len(set(label)) == 2:
             logit, bias = train(texts, np.array(label))
             yield pa.RecordBatch.from_arrays([pa.array([logit.tobytes()], pa.binary()), pa.array([bias])], names=["logit", "bias"])
 
-    bagged = sample.where("not aside").select("toxic", "place", "text").mapInArrow(encode, "toxic int, place bigint, buckets binary, weights binary")
+    bagged = sample.where("not aside").select("toxic", "place", "text").mapInArrow(tidied(encode), "toxic int, place bigint, size bigint, buckets binary, weights binary")
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy("place", "size"))  # at most the sample's rows
+    bounded = bagged.where("size > 0").withColumn("so_far", so_far).where(F.col("so_far") <= entries // 2)
     # one task on purpose: its input is bounded by the sample's rows and entries
-    row = bagged.repartition(1).sortWithinPartitions("place", "buckets").mapInArrow(fit, "logit binary, bias double").first()
+    row = bounded.repartition(1).sortWithinPartitions("place", "size").select("toxic", "buckets", "weights").mapInArrow(tidied(fit), "logit binary, bias double").first()
     return (np.frombuffer(row.logit, np.float32), row.bias) if row else None
 
 
@@ -246,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
                 n = len(words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(words.astype(np.int64))], names=["toxic", "aside", "x", "y", "words"])
 
-    judged = sample.select("toxic", "aside", "text").mapInArrow(judge, "toxic int, aside boolean, x double, y double, words bigint")
+    judged = sample.select("toxic", "aside", "text").mapInArrow(tidied(judge), "toxic int, aside boolean, x double, y double, words bigint")
     rows = sorted((r.aside, r.toxic, r.x, r.y) for r in judged.where("words > 0").collect())  # 2 * sample_rows at most, four numbers each
     fit = [r for r in rows if r[0]]
     if len({r[1] for r in fit}) < 2:
@@ -271,7 +270,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 score = shared.value.score(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(score)), pa.array(score)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(judge, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidied(judge), schema)
 
 
 def toxic_removed(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -290,4 +289,4 @@ def toxic_removed(docs: DataFrame, model: ToxicityModel, threshold: float = THRE
                 if len(clean):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(clean + row))], names=["row"])
 
-    return packed.mapInArrow(judge, T.StructType([packed.schema["row"]])).select("row.*")
+    return packed.mapInArrow(tidied(judge), T.StructType([packed.schema["row"]])).select("row.*")
