@@ -1,5 +1,6 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, clashing columns and no rows; brute-force checks."""
 
+import itertools
 import re
 import zlib
 
@@ -8,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import graph_search, hash_ring, langid, mixing, ngram_join, packing, quality, queries, rans, toxicity, url_rules
+from tideline.llm import components, graph_search, hash_ring, langid, mixing, ngram_join, packing, quality, queries, rans, toxicity, url_rules
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, size bigint, copies bigint, kept boolean, row string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -57,6 +58,24 @@ def test_join_equals_brute_force(docs, none):
     assert kept.columns == docs.columns and kept.where("doc_id in (101, 102, 103, 204)").count() == 0
 
 
+@pytest.mark.parametrize("rows", [1000, 2])
+def test_components_with_hubs(spark, monkeypatch, rows):
+    monkeypatch.setattr(components, "HUB_ROWS", rows)
+    edges = [(0, i) for i in range(1, 12)] + [(40, i) for i in range(30, 40)] + [(50, 51), (51, 52), (52, 53), (60, 60), (9, 12), (12, 9), (12, 13)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {**{i: 0 for i in range(14)}, **{i: 30 for i in range(30, 41)}, **{i: 50 for i in range(50, 54)}, 60: 60}
+    left = spark.createDataFrame([(i % 3, i) for i in range(20)], "a bigint, b bigint")
+    right = spark.createDataFrame([(0, "x"), (1, "y"), (5, "z")], "a bigint, t string")
+    want = sorted((i % 3, i, "xy"[i % 3]) for i in range(20) if i % 3 < 2)
+    assert sorted((r.a, r.b, r.t) for r in components.hub_join(left, right, "a", "b", 20).collect()) == want
+
+
+def test_of_rows_with_one_id_the_same_stays(spark):
+    rows = [(1, f"text {i} of one and the same id") for i in range(6)] + [(2, None), (3, "")]
+    kept = [sorted(map(str, ngram_join.near_duplicates_removed(spark.createDataFrame(some, "doc_id bigint, text string").repartition(3)).collect())) for some in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
+
+
 def test_quality(docs, none):
     rows = {r.doc_id: r for r in quality.quality_metrics(docs).collect()}
     assert rows[200].n_words == 0 and rows[200].base_failed and not rows[200].kept
@@ -109,6 +128,28 @@ def test_mix(docs, none):
     assert mixing.copies(none).count() == 0
 
 
+def test_targets_stop_and_share_the_excess(spark):
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 40):
+        sizes = {None if i == 3 else f"s{i:02}": int(v) for i, v in enumerate(rng.integers(0, 3000, n) ** 2)}
+        df = spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "source string, size bigint, rows bigint").repartition(3)
+        names = sorted(k for k in sizes if k is not None) + [None] * (None in sizes)
+        weight = {k: (3, 1, 2)[i % 3] for i, k in enumerate(names)}
+        left, goal, want = set(names), 1.5 * sum(sizes.values()), {}
+        while left:
+            share = sum(weight[k] for k in left)
+            over = {k for k in left if 2 * sizes[k] <= goal * weight[k] / share}
+            if not over:
+                want |= {k: goal * weight[k] / share for k in left}
+                break
+            want |= {k: 2 * sizes[k] for k in over}
+            goal -= sum(2 * sizes[k] for k in over)
+            left -= over
+        got = {r.source: (r.target, r.sid) for r in mixing.source_targets(df).collect()}
+        assert [got[k][1] for k in names] == list(range(1, n + 1))
+        assert all(got[k][0] == pytest.approx(want[k], rel=1e-12) for k in names)
+
+
 def test_toxicity(spark, docs, none):
     bad = [(1000 + i, " ".join(word_list(i, 30) + ["vileword", "vilething"] * 2), "en", "a", 1, 2, None, "x") for i in range(40)]
     every = docs.union(spark.createDataFrame(bad, SCHEMA))
@@ -212,6 +253,18 @@ def test_ids_come_back_from_the_files(docs, none):
     assert rans.round_trip(none, path).count() == 0
 
 
+def test_files_are_read_from_their_path_alone(docs, spark, tmp_path):
+    rans.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), f"{tmp_path}/ids")
+    other = spark.newSession()
+    rows = rans.read_ids(other, f"{tmp_path}/ids").collect()
+    assert len(rows) == docs.count() and all(len(r.ids) == 4 * r.n_tokens for r in rows)
+    table = rans.read_table(other, f"{tmp_path}/ids")
+    assert int(table.freq.sum()) == 1 << rans.SCALE
+    with pytest.raises(ValueError):
+        other.createDataFrame([], rans._FORMAT).write.mode("overwrite").parquet(f"{tmp_path}/ids/table")
+        rans.read_table(other, f"{tmp_path}/ids")
+
+
 def test_damage_is_found():
     ids = np.random.default_rng(0).integers(0, 300, 5000).astype(np.uint32)
     table = rans.Table.of(np.bincount(ids))
@@ -244,6 +297,31 @@ def test_graph_recall(spark):
     assert graph_search.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("offset, scale", [(1e4, 1.0), (1e8, 1.0), (0.0, 1e20), (0.0, 1e-25), (0.0, 1e180), (-3e5, 1e3)])
+def test_graph_recall_whatever_the_place_and_unit(spark, offset, scale):
+    x = np.random.default_rng(2).normal(size=(600, 8)) * scale + offset
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = graph_search.nearest(df, F.col("vec_id") % 100 == 0, shard_rows=250).collect()
+    hits = 0
+    for q in range(0, 600, 100):
+        d = graph_search.distances(x - x[q])
+        want = [i for i in np.lexsort((np.arange(600), d)) if i != q][:10]
+        mine = [r for r in found if r.query_id == q]
+        assert len(mine) == 10 and all(r.score == pytest.approx(d[r.vec_id], rel=1e-12) for r in mine)
+        hits += len(set(want) & {r.vec_id for r in mine})
+    assert hits / 60 >= 0.9
+
+
+def test_graph_search_of_repeated_ids(spark):
+    x = np.random.default_rng(3).normal(size=(40, 4))
+    rows = [(i % 20, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 30 + [(7, x[7].tolist())] * 30
+    found = graph_search.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).collect()
+    gaps = {i: min(np.linalg.norm(x[a] - x[b]) for a in (0, 20) for b in (i, i + 20)) for i in range(1, 20)}
+    want = sorted(gaps, key=lambda i: (gaps[i], i))[:10]
+    assert [r.vec_id for r in sorted(found, key=lambda r: r.rank)] == want
+    assert all(r.score == pytest.approx(gaps[r.vec_id]) for r in found)
+
+
 def brute_rule(url):
     host, path = "", ""
     if url and "://" in url:
@@ -269,6 +347,51 @@ def test_url_rules(spark):
     assert url_rules.filter_urls(df.limit(0)).count() == 0
 
 
+def brute_verdicts(spark, urls, support, confidence, lift):
+    """Verdicts of open urls by trying every combination of frequent tokens."""
+    tokens = {r.url: set(r.t) for r in spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_rules.url_tokens(F.col("url")).alias("t")).collect()}
+    labelled = [(tokens[u], brute_rule(u)[3]) for u in urls if brute_rule(u)[3]]
+    n, by_token = len(labelled), {}
+    for i, (t, _) in enumerate(labelled):
+        for token in t:
+            by_token.setdefault(token, set()).add(i)
+    frequent = [t for t, rows in by_token.items() if len(rows) >= support * n]
+    stands = {}
+    for t in sorted(frequent, key=lambda t: (len(t), t)):
+        stands.setdefault(frozenset(by_token[t]), t)
+    frequent, verdicts = sorted(stands.values()), {v for _, v in labelled}
+    assert len(frequent) <= url_rules.TOKENS
+    rules = []
+    for size in range(1, len(frequent) + 1):
+        for some in itertools.combinations(frequent, size):
+            rows = set.intersection(*(by_token[t] for t in some))
+            for v in verdicts:
+                both, share = sum(labelled[i][1] == v for i in rows), sum(w == v for _, w in labelled) / n
+                if rows and both >= support * n and both / len(rows) >= confidence and both / len(rows) / share >= lift:
+                    rules.append((both / len(rows), both / n, -size, v == "block", list(some), v))
+    return {u: max((r for r in rules if set(r[4]) <= tokens[u]), default=[None, None, None, None, None, "allow"])[5] for u in urls if not brute_rule(u)[3]}
+
+
+def test_mined_verdicts_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    hosts, deep = ["a.example.com", "b.example.com", "example.org"], ["x", "shop", "news"]
+    urls = [f"http://{hosts[rng.integers(3)]}/{('de', 'fr', 'es')[rng.integers(3)]}/p/q/{deep[rng.integers(3)]}" for _ in range(80)]
+    urls += [f"http://{h}.net/{k}/p/q/{d}?tag=1" for h in ("a.example", "zz") for k in ("de", "fr") for d in deep] + ["http://" + "a." * 40 + "net/" + "p/" * 60]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    got = {r.url: r.verdict for r in url_rules.filter_urls(df, support=0.05, confidence=0.7, lift=1.05).collect()}
+    want = brute_verdicts(spark, urls, 0.05, 0.7, 1.05)
+    assert {u: got[u] for u in want} == want and len(set(want.values())) == 2
+
+
+def test_a_deep_path_part_is_mined(spark):
+    kinds = ["misc" if i % 8 < 2 else "bad" if i % 2 else "good" for i in range(80)]
+    urls = [f"http://x{i}.com/{'de' if i % 2 else 'fr'}/one/two/three/{kind}/z" for i, kind in enumerate(kinds)]
+    urls += ["http://y.net/a/one/two/three/bad/z", "http://y.net/a/one/two/three/good/z"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    got = {r.url: r.verdict for r in url_rules.filter_urls(df).collect()}
+    assert got[urls[80]] == "block" and got[urls[81]] == "allow"
+
+
 def test_queries_carry_their_columns(spark):
     sf = "/root/testdata/sf0.001"
     rows = queries.op10_token_ids(spark, sf).collect()
