@@ -45,4 +45,29 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": _QUALITY, "op9_ngram_jaccard_join": _JACCARD}
+_LLOYD_START = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(4096 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, list_slice(x, p * (len(x) // 8) + 1, (p + 1) * (len(x) // 8)) AS z FROM kept, (SELECT unnest(generate_series(0, 7)) AS p)),
+c0 AS MATERIALIZED (SELECT p, e, z AS c FROM (SELECT p, z, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 16)"""
+_LLOYD_ROUND = """,
+a{k} AS MATERIALIZED (
+  SELECT vec_id, p, z, arg_min(e, {{'d': d, 'e': e}}) AS e, min(d) AS d
+  FROM (SELECT vec_id, p, z, e, list_sum(list_transform(list_zip(z, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM parts JOIN c{k} USING (p))
+  GROUP BY vec_id, p, z)"""
+_LLOYD_UPDATE = """,
+s{k} AS MATERIALIZED (SELECT p, e, i, sum(v) AS s, count(*) AS n FROM (SELECT p, e, unnest(z) AS v, generate_subscripts(z, 1) AS i FROM a{k}) GROUP BY p, e, i),
+m{k} AS MATERIALIZED (SELECT p, e, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY i) AS c FROM s{k} GROUP BY p, e),
+c{next} AS MATERIALIZED (SELECT o.p, o.e, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN m{k} m ON m.p = o.p AND m.e = o.e)"""
+_LLOYD_END = """,
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY vec_id),
+labelled AS (SELECT vec_id, label, code, error FROM coded JOIN kept USING (vec_id)),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c6)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM labelled, books
+"""
+#: Six rounds of assignment and update, then the last assignment.
+_LLOYD = _LLOYD_START + "".join(_LLOYD_ROUND.format(k=k) + _LLOYD_UPDATE.format(k=k, next=k + 1) for k in range(6)) + _LLOYD_ROUND.format(k=6) + _LLOYD_END
+
+ORACLE_SQL: dict[str, str] = {"op12_vector_codes": _LLOYD, "op7_quality_rules": _QUALITY, "op9_ngram_jaccard_join": _JACCARD}

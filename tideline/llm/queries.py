@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import graph_search, hash_ring, langid, mixing, ngram_join, packing, quality, rans, toxicity, url_rules
+from tideline.llm import graph_search, hash_ring, langid, lloyd, mixing, ngram_join, packing, pii, quality, rans, toxicity, url_rules, whitening
 from tideline.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,10 +73,26 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), pii.learn())
+    counts = [F.regexp_count("base", F.lit(rf"(^|,){kind}:")).cast("bigint").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = lloyd.compress(table(spark, sf_dir, "embeddings"))
+    rows = lloyd.with_label_error(coded.withColumn("code", lloyd.code_string(F.col("code"))))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_sharding, op3_language_id, op4_mixing, op5_graph_search,
-        op6_toxicity, op7_quality_rules, op8_packing, op9_ngram_jaccard_join, op10_token_ids,
+        op6_toxicity, op7_quality_rules, op8_packing, op9_ngram_jaccard_join, op10_token_ids, op11_pii, op12_vector_codes, op13_whitening,
     )
 }
