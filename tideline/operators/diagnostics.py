@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.plans import ranges
+
 
 def steps_per_day(delta: float) -> int:
     n = round(86400 / delta) if delta > 0 else 0
@@ -78,9 +80,9 @@ def periodogram(df: DataFrame, top: int = 6) -> DataFrame:
 
 def lag_correlation(df: DataFrame, value: str = "residual", adjacent: bool = False) -> DataFrame:
     """(series_id, ac1): lag-1 autocorrelation; with ``adjacent`` only of rows observed at t and t - 1."""
-    by_t = Window.partitionBy("series_id").orderBy("t")
-    rows = df.where(F.col(value).isNotNull()).withColumns({"a": F.lag(value).over(by_t), "s": F.col("t") - F.lag("t").over(by_t)})
-    return (rows.where("s = 1") if adjacent else rows.where("s is not null")).groupBy("series_id").agg(correlation("a", value).alias("ac1"))
+    seen = ranges.by_place(df.where(F.col(value).isNotNull()).select("series_id", "t", F.col(value).alias("v")))
+    rows = ranges.scan(seen, previous={"a": "v", "before": "t"}).where("before is not null")
+    return (rows.where("t = before + 1") if adjacent else rows).groupBy("series_id").agg(correlation("a", "v").alias("ac1"))
 
 
 def largest(df: DataFrame, value: str = "residual", top: int = 10) -> DataFrame:
@@ -94,19 +96,22 @@ def variance_explained(curves: DataFrame) -> DataFrame:
     return curves.where("y is not null").groupBy("series_id").agg((1 - F.var_pop("residual") / F.nullif(F.var_pop("y"), F.lit(0.0))).alias("explained"))
 
 
+def _moves(curves: DataFrame, role: str, order: int = 1) -> DataFrame:
+    """``curves`` with ``part`` and ``moved``: a role's difference of ``order`` from the rows before."""
+    rows = ranges.by_place(curves).withColumn("moved", F.col(role))
+    for _ in range(order):
+        rows = ranges.scan(rows, previous={"was": "moved"}).withColumn("moved", F.col("moved") - F.col("was")).drop("was")
+    return rows
+
+
 def change_counts(curves: DataFrame, role: str, least: float, order: int = 1) -> DataFrame:
     """(series_id, changes): differences of ``order`` larger than ``least`` in magnitude."""
-    by_t = Window.partitionBy("series_id").orderBy("t")
-    moved: Column = F.col(role) - F.lag(role).over(by_t)
-    if order == 2:
-        moved = F.col(role) - 2 * F.lag(role).over(by_t) + F.lag(role, 2).over(by_t)
-    return curves.withColumn("moved", moved).groupBy("series_id").agg(F.count_if(F.abs("moved") > least).alias("changes"))
+    return _moves(curves.select("series_id", "t", role), role, order).groupBy("series_id").agg(F.count_if(F.abs("moved") > least).alias("changes"))
 
 
 def change_rows(curves: DataFrame, role: str, least: float) -> DataFrame:
     """(series_id, t, jump): where a role moves by more than ``least`` from one row to the next."""
-    jump = F.col(role) - F.lag(role).over(Window.partitionBy("series_id").orderBy("t"))
-    return curves.withColumn("jump", jump).where(F.abs("jump") > least).select("series_id", "t", "jump")
+    return _moves(curves.select("series_id", "t", role), role).where(F.abs("moved") > least).select("series_id", "t", F.col("moved").alias("jump"))
 
 
 def refit_levels(curves: DataFrame, role: str, least: float) -> DataFrame:
@@ -114,10 +119,11 @@ def refit_levels(curves: DataFrame, role: str, least: float) -> DataFrame:
 
     Between changes of more than ``least``, the mean of y less all other roles.
     """
-    jump = F.abs(F.col(role) - F.lag(role).over(Window.partitionBy("series_id").orderBy("t"))) > least
-    pieces = curves.withColumn("piece", F.sum(F.coalesce(jump, F.lit(False)).cast("long")).over(Window.partitionBy("series_id").orderBy("t")))
+    jump = F.coalesce(F.abs("moved") > least, F.lit(False)).cast("long")
+    pieces = ranges.scan(_moves(curves, role), totals={"piece": jump})
     rest = F.col("y") - F.col("reconstruction") + F.col(role)
-    return pieces.withColumn("refit", F.avg(rest).over(Window.partitionBy("series_id", "piece"))).drop("piece")
+    levels = pieces.groupBy("series_id", "piece").agg(F.avg(rest).alias("refit"))
+    return pieces.join(levels, ["series_id", "piece"]).select(*curves.columns, "refit")
 
 
 def amplitude(curves: DataFrame, role: str, log: bool = False) -> DataFrame:

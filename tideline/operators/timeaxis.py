@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.plans import ranges
+
 # Standard sampling steps by name, in seconds; a day is 86,400 s.
 STANDARD = {
     "s": 1,
@@ -51,9 +53,11 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def gaps(df: DataFrame) -> DataFrame:
-    """(series_id, ts, gap): positive seconds from the stamp before."""
-    before = F.lag("ts").over(Window.partitionBy("series_id").orderBy("ts"))
-    return df.where("ts is not null").select("series_id", F.col("ts"), (seconds(F.col("ts")) - seconds(before)).alias("gap"), before.alias("before")).where("gap > 0")
+    """(series_id, ts, gap, before): positive seconds from the stamp before, over ranges of stamps."""
+    stamps = df.where("ts is not null").select("series_id", "ts").distinct()
+    parts = ranges.by_value(stamps, F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = ranges.scan(parts, "ts", previous={"before": "ts"}).where("before is not null")
+    return rows.select("series_id", "ts", (seconds(F.col("ts")) - seconds(F.col("before"))).alias("gap"), "before")
 
 
 def rates(df: DataFrame, rel_tol: float = 0.02) -> DataFrame:
@@ -165,40 +169,83 @@ def to_grid(df: DataFrame, step: float | DataFrame) -> DataFrame:
     ``step`` is seconds, or a table (series_id, delta). A grid point takes the nearest sample within
     one step, ties to the later; a sample can fill two points. The last point is dropped.
     """
-    tidy = clean(df)
-    steps = step if isinstance(step, DataFrame) else tidy.select("series_id").distinct().withColumn("delta", F.lit(float(step)))
+    return _grid(clean(df), step)
+
+
+def _grid(tidy: DataFrame, step: float | DataFrame, strict: bool = False) -> DataFrame:
+    """``to_grid`` of tidy stamps; where ``strict``, a series of fewer than two of them is an error.
+
+    A merge of samples and points by ranges of points: every range begins with a marker, and each
+    marker or filled point makes the points up to the next one. So points are made where they stay, and only
+    samples and markers are shuffled.
+    """
     day = F.date_trunc("day", F.col("ts"))
-    spans = tidy.groupBy("series_id").agg(F.min(day).alias("start"), F.max(day).alias("last")).join(steps.select("series_id", "delta"), "series_id")
-    spans = spans.withColumns({"origin": seconds(F.col("start")), "points": F.floor((seconds(F.col("last")) - seconds(F.col("start")) + 86400) / F.col("delta")).cast("long")})
-    spans = spans.withColumn("points", F.greatest("points", F.lit(1)))
-    grid = spans.select("series_id", "start", "delta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("points") - 1)).alias("t"))
-    at = tidy.join(spans.select("series_id", "origin", "delta"), "series_id").withColumn("x", (seconds(F.col("ts")) - F.col("origin")) / F.col("delta"))
+    spans = tidy.groupBy("series_id").agg(F.min(day).alias("start"), F.max(day).alias("last"), F.count("*").alias("stamps"))
+    if isinstance(step, DataFrame):
+        spans = spans.join(step.select("series_id", "delta"), "series_id")
+    else:
+        spans = spans.withColumn("delta", F.lit(float(step)))
+    if strict:
+        few = F.raise_error(F.concat(F.lit("fewer than two stamps in series "), F.col("series_id").cast("string")))
+        spans = spans.where(F.when(F.col("stamps") < 2, few.cast("boolean")).otherwise(F.lit(True)))
+    origin = seconds(F.col("start"))
+    points = F.greatest(F.floor((seconds(F.col("last")) - origin + 86400) / F.col("delta")).cast("long"), F.lit(1))
+    spans = spans.select("series_id", "start", "delta", origin.alias("origin"), points.alias("points"))
+    at = tidy.join(spans, "series_id").withColumn("x", (seconds(F.col("ts")) - F.col("origin")) / F.col("delta"))
     low = F.floor("x")
-    on = F.col("x") == low
     option = lambda t, late: F.struct(t.cast("long").alias("t"), F.abs(t - F.col("x")).alias("d"), F.lit(late).alias("left"))
     # right candidates (samples at or after the point) win ties
-    spread = F.when(on, F.array(option(low, 0), option(low + 1, 1), option(low - 1, 0))).otherwise(F.array(option(low, 0), option(low + 1, 1)))
-    offers = at.select("series_id", "value", F.explode(spread).alias("o")).select("series_id", "value", "o.*")
-    best = offers.groupBy("series_id", "t").agg(F.min_by(F.struct("value"), F.struct("d", "left"))["value"].alias("y"))
+    spread = F.when(F.col("x") == low, F.array(option(low, 0), option(low + 1, 1), option(low - 1, 0))).otherwise(F.array(option(low, 0), option(low + 1, 1)))
+    offers = at.select("series_id", "start", "delta", "points", "value", F.explode(spread).alias("o")).where("o.t >= 0 and o.t < points")
+    best = offers.groupBy("series_id", F.col("o.t").alias("t")).agg(F.min_by(F.struct("value", "start", "delta", "points"), F.struct("o.d", "o.left")).alias("b"))
+    filled = best.select("series_id", "t", "b.start", "b.delta", "b.points", F.lit(1).alias("own"), "b.value")
+    size = ranges.RANGE_ROWS
+    marks = spans.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("points") - 1, F.lit(size).cast("long"))).alias("t"), "start", "delta", "points", F.lit(0).alias("own"), F.lit(None).cast(best.schema["b"].dataType["value"].dataType).alias("value"))
+    rows = ranges.by_place(filled.unionByName(marks), size)
+    inside = Window.partitionBy("series_id", "part").orderBy("t", "own")
+    following = F.coalesce(F.lead("t").over(inside), F.least(F.col("part") + size, F.col("points")))
+    # where a range's first point is filled, its marker makes none
+    runs = rows.withColumn("end", following).where("t < end")
+    each = runs.select("series_id", "start", "delta", F.col("t").alias("from"), "own", "value", F.explode(F.sequence(F.col("t"), F.col("end") - 1)).alias("t"))
     micros = (F.col("t") * F.col("delta") * 1_000_000).cast("long")
-    stamped = grid.withColumn("ts", F.timestamp_micros(F.unix_micros(F.col("start").cast("timestamp")) + micros).cast("timestamp_ntz"))
-    return stamped.join(best, ["series_id", "t"], "left").select("series_id", "t", "ts", F.when(~F.isnan("y"), F.col("y")).alias("y"))
+    stamp = F.timestamp_micros(F.unix_micros(F.col("start").cast("timestamp")) + micros).cast("timestamp_ntz")
+    y = F.when((F.col("own") == 1) & (F.col("t") == F.col("from")) & ~F.isnan("value"), F.col("value"))
+    return each.select("series_id", "t", stamp.alias("ts"), y.alias("y"))
+
+
+def axis_status(df: DataFrame, snap_tol: float = 0.01, rel_tol: float = 0.02) -> DataFrame:
+    """(series_id, stamps, delta, status): whether each series can be standardized, and why not.
+
+    ``ok``, ``fewer than two stamps`` or ``a step of more than a day``; ``delta`` is the commonest gap, null without one.
+    """
+    counts = df.groupBy("series_id").agg(F.count_distinct("ts").alias("stamps"))
+    found = counts.join(derive_delta(df, rel_tol), "series_id", "left")
+    status = F.when(F.col("stamps") < 2, "fewer than two stamps").when(F.col("delta") > max(STANDARD.values()) * (1 + snap_tol), "a step of more than a day").otherwise("ok")
+    return found.select("series_id", "stamps", "delta", status.alias("status"))
 
 
-def standardize(df: DataFrame, freq: str | float | None = None, rel_tol: float = 0.02, snap_tol: float = 0.01) -> DataFrame:
+def standardize(df: DataFrame, freq: str | float | None = None, rel_tol: float = 0.02, snap_tol: float = 0.01, strict: bool = True) -> DataFrame:
     """``to_grid`` with the asserted step (a name such as ``15min``, or seconds), or with each series' own derived one.
 
     Derived steps that match no standard one are cut to whole seconds. A series with fewer than two
-    distinct stamps is an error of the query, as is a derived step of more than a day.
+    distinct stamps is an error of the query, as is a derived step of more than a day; where not
+    ``strict``, such series are left out instead, and ``axis_status`` names them.
     """
     stamps = clean(df)
-    short = stamps.groupBy("series_id").agg(F.count("*").alias("stamps"))
-    enough = F.when(F.col("stamps") < 2, F.raise_error(F.concat(F.lit("fewer than two stamps in series "), F.col("series_id").cast("string")))).otherwise(F.lit(True))
-    rows = df.join(short.where(enough.cast("boolean")).select("series_id"), "series_id")
     if freq is not None:
         step = step_seconds(freq) if isinstance(freq, str) else float(freq)
         if step <= 0:
             raise ValueError("a step must be positive")
-        return to_grid(rows, step)
-    own = standard_delta(df, rel_tol, snap_tol)
-    return to_grid(rows, own.withColumn("delta", F.when(F.col("freq").isNull(), F.floor("delta").cast("double")).otherwise(F.col("delta"))))
+        if strict:
+            return _grid(stamps, step, True)
+        enough = stamps.groupBy("series_id").agg(F.count("*").alias("n")).where("n >= 2").select("series_id", F.lit(step).alias("delta"))
+        return _grid(stamps, enough)
+    rates_of = df
+    if not strict:
+        good = axis_status(df, snap_tol, rel_tol).where("status = 'ok'").select("series_id")
+        rates_of = df.join(good, "series_id", "left_semi")
+    own = standard_delta(rates_of, rel_tol, snap_tol)
+    own = own.withColumn("delta", F.when(F.col("freq").isNull(), F.greatest(F.floor("delta"), F.lit(1)).cast("double")).otherwise(F.col("delta")))
+    if strict:  # a series without two stamps has no rate, and must still be seen
+        own = stamps.select("series_id").distinct().join(own, "series_id", "left").withColumn("delta", F.coalesce("delta", F.lit(86400.0)))
+    return _grid(stamps, own, strict)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.plans import ranges
 from tideline.plans.decompose import decompose, fit_groups, solved_row
 from tideline.plans.specs import Model
 
@@ -21,12 +22,12 @@ from tideline.plans.specs import Model
 def centre_block(df: DataFrame, fraction: float = 0.2) -> DataFrame:
     """``df`` with ``held``: the middle share of a series' observed rows (half-even rounding, at least one)."""
     seen = df["y"].isNotNull()
-    series = Window.partitionBy("series_id")
-    rank = F.sum(seen.cast("int")).over(series.orderBy("t")) - 1
-    total = F.sum(seen.cast("int")).over(series)
-    n = F.greatest(F.lit(1), F.bround(total * fraction).cast("int"))
-    start = F.floor((total - n) / 2)
-    return df.withColumn("held", seen & (rank >= start) & (rank < start + n))
+    ranked = ranges.scan(ranges.by_place(df), totals={"_rank": seen.cast("long")})
+    counts = df.groupBy(F.col("series_id").alias("_of")).agg(F.count("y").alias("_total"))
+    n = F.greatest(F.lit(1), F.bround(F.col("_total") * fraction).cast("int"))
+    start, rank = F.floor((F.col("_total") - n) / 2), F.col("_rank") - 1
+    held = F.col("y").isNotNull() & (rank >= start) & (rank < start + n)
+    return ranked.join(counts, F.col("series_id").eqNullSafe(F.col("_of"))).select(*df.columns, held.alias("held"))
 
 
 def holdout_scores(df: DataFrame, candidates: Sequence[tuple[str, Model]], metric: str = "rmse", keys: Sequence[str] = ("series_id",)) -> DataFrame:
@@ -116,11 +117,11 @@ def valid_endpoints(df: DataFrame, min_window: int, step: int) -> DataFrame:
     length = df.groupBy("series_id").agg(F.max("t").alias("last")).withColumn("length", F.col("last") + 1)
     listed = F.when(F.col("length") >= min_window, F.sequence(F.lit(min_window).cast("long"), F.col("length"), F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     asked = length.select("series_id", F.explode(F.array_distinct(F.concat(listed, F.array("length")))).alias("w"))
-    # the last observed row before each asked end, by one pass over rows and ends in order
+    # the last observed row before each asked end, by one scan over rows and ends in order
     rows = df.where("y is not null").select("series_id", F.col("t").alias("at"), F.lit(None).cast("bigint").alias("w"), (F.col("t") + 1).alias("seen"))
     ends = asked.select("series_id", (F.col("w") - 1).alias("at"), "w", F.lit(None).cast("bigint").alias("seen"))
-    order = Window.partitionBy("series_id").orderBy("at", F.col("w").isNotNull())
-    moved = rows.union(ends).withColumn("n", F.max("seen").over(order)).where("w is not null")
+    both = ranges.by_place(rows.union(ends), place="at").withColumn("order", F.struct("at", F.col("w").isNotNull().alias("end")))
+    moved = ranges.scan(both, "order", latest={"n": "seen"}).where("w is not null")
     return moved.where(F.col("n") >= min_window).select("series_id", "n").distinct()
 
 
@@ -133,11 +134,9 @@ def expanding_fits(df: DataFrame, model: Model, min_window: int, step: int) -> D
 def expanding_lines(df: DataFrame, min_window: int, step: int, slope_weight: float = 0.0) -> DataFrame:
     """(series_id, n, trend_a, trend_b) of a line in every expanding window, from running sums of one pass."""
     x, y = F.col("t").cast("double"), F.col("y")
-    so_far = Window.partitionBy("series_id").orderBy("t")
-    running = df.where(y.isNotNull()).select(
-        "series_id", (F.col("t") + 1).alias("n"), F.count("*").over(so_far).alias("m"), F.sum(x).over(so_far).alias("sx"), F.sum(y).over(so_far).alias("sy"),
-        F.sum(x * x).over(so_far).alias("sxx"), F.sum(x * y).over(so_far).alias("sxy"),
-    )
+    seen = ranges.by_place(df.where(y.isNotNull()).select("series_id", "t", "y"))
+    sums = {"m": F.lit(1), "sx": x, "sy": y, "sxx": x * x, "sxy": x * y}
+    running = ranges.scan(seen, totals=sums).withColumn("n", F.col("t") + 1)
     ends = running.join(valid_endpoints(df, min_window, step), ["series_id", "n"])
     b = F.expr("(sxy - sx * sy / m)") / (F.expr("sxx - sx * sx / m") + slope_weight * F.col("n"))
     return ends.withColumn("trend_b", b).select("series_id", "n", ((F.col("sy") - F.col("trend_b") * F.col("sx")) / F.col("m")).alias("trend_a"), "trend_b")

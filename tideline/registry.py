@@ -76,6 +76,23 @@ def hourly_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly(spark, sf_dir)
 
 
+#: Each grid point's nearest event before and after it, of which the nearer within an hour fills it, ties to the later.
+@_register("""
+WITH e AS (SELECT event_type AS series_id, ts, arg_min(value, event_id) AS v FROM events GROUP BY ALL),
+spans AS (SELECT series_id, date_trunc('day', min(ts)) AS start, date_trunc('day', max(ts)) AS last FROM e GROUP BY series_id),
+grid AS (SELECT series_id, start, unnest(generate_series(0, (datediff('day', start, last) + 1) * {steps} - 1)) AS t FROM spans),
+p AS (SELECT series_id, t, start + t * INTERVAL {minutes} MINUTE AS ts FROM grid),
+b AS (SELECT p.series_id, p.t, p.ts, e.v, epoch_us(p.ts) - epoch_us(e.ts) AS d FROM p ASOF LEFT JOIN e ON p.series_id = e.series_id AND p.ts >= e.ts),
+a AS (SELECT p.series_id, p.t, e.v, epoch_us(e.ts) - epoch_us(p.ts) AS d FROM p ASOF LEFT JOIN e ON p.series_id = e.series_id AND p.ts <= e.ts)
+SELECT b.series_id, b.t::BIGINT AS t, b.ts::TIMESTAMP AS ts,
+CASE WHEN a.d <= {minutes} * 6e7 AND coalesce(b.d > {minutes} * 6e7 OR a.d <= b.d, true) THEN a.v WHEN b.d <= {minutes} * 6e7 THEN b.v END AS y
+FROM b JOIN a ON a.series_id = b.series_id AND a.t = b.t
+""".format(steps=96, minutes=15))
+def standardized_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = long_series(_table(spark, sf_dir, "events"), "value", "ts", F.col("event_type"), "event_id")
+    return timeaxis.standardize(rows, "15min")
+
+
 @_register("""
 WITH d AS (SELECT DISTINCT o_orderpriority AS series_id, o_orderdate AS ts FROM orders),
 g AS (SELECT series_id, epoch_us(ts) / 1e6 - epoch_us(lag(ts) OVER (PARTITION BY series_id ORDER BY ts)) / 1e6 AS gap FROM d)
@@ -188,6 +205,16 @@ def folded_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.fold(hourly(spark, sf_dir), 3600.0, trim=False)
 
 
+#: Without the low values of the first four and the last three days, so that days on both ends have none.
+@_register(_HOURLY + """, v AS (SELECT series_id, (t // 24)::BIGINT AS day, (t % 24)::INTEGER AS step, CASE WHEN (t // 24 BETWEEN 4 AND 26 OR y > 400) AND t // 24 % 6 != 0 THEN y END AS value FROM hours),
+r AS (SELECT series_id, min(day) AS lo, max(day) AS hi FROM v WHERE value IS NOT NULL GROUP BY series_id)
+SELECT series_id, day, step, value FROM v JOIN r USING (series_id) WHERE day BETWEEN lo AND hi""")
+def folded_days_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.floor(F.col("t") / 24)
+    kept = (day.between(4, 26) | (F.col("y") > 400)) & (day % 6 != 0)
+    return diagnostics.fold(hourly(spark, sf_dir).withColumn("y", F.when(kept, F.col("y"))), 3600.0)
+
+
 @_register(_HOURLY + "SELECT series_id, (t % 24)::INTEGER AS step, round(avg(y), 6) AS mean FROM hours GROUP BY ALL")
 def daily_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.profile(diagnostics.fold(hourly(spark, sf_dir), 3600.0)).select("series_id", "step", F.round("mean", 6).alias("mean"))
@@ -216,6 +243,12 @@ def lag_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.lag_correlation(hourly(spark, sf_dir), "y").select("series_id", F.round("ac1", 9).alias("ac1"))
 
 
+@_register(_HOURLY + """, l AS (SELECT series_id, t, y, lag(y) OVER w AS a, lag(t) OVER w AS s FROM hours WHERE y IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY t))
+SELECT series_id, round(covar_pop(a, y) / nullif(stddev_pop(a) * stddev_pop(y), 0), 9) AS ac1 FROM l WHERE s = t - 1 GROUP BY series_id""")
+def lag_correlation_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.lag_correlation(hourly(spark, sf_dir), "y", adjacent=True).select("series_id", F.round("ac1", 9).alias("ac1"))
+
+
 @_register(_HOURLY + """, r AS (SELECT series_id, t::BIGINT AS t, y AS value, row_number() OVER (PARTITION BY series_id ORDER BY abs(y) DESC, t)::INTEGER AS place FROM hours WHERE y IS NOT NULL)
 SELECT * FROM r WHERE place <= 10""")
 def largest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
