@@ -1,6 +1,6 @@
 """Fits a model to every series of a long DataFrame (series_id, t, y, covariates).
 
-A missing value is NULL (NaN counts as NULL). Series are solved side by side, one group each; least
+A missing value is NULL (NaN counts as NULL); a missing covariate counts as 0. Series are solved side by side, one group each; least
 squares of few coefficients can instead be fitted from distributed sums, however long the series.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.basis import seasonal_columns, spline_columns
@@ -83,6 +83,16 @@ def summary(solved: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFr
     return solved.select(*keys, "status", "objective", "scalars", "vectors")
 
 
+def observed() -> Column:
+    """Whether a row's y is known; NaN counts as missing."""
+    return F.col("y").isNotNull() & ~F.isnan("y")
+
+
+def covariate(name: str) -> Column:
+    """A covariate as models read it: missing values (null or NaN) count as 0, in every way of fitting."""
+    return F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+
+
 def gram_fit(df: DataFrame, model: Model) -> DataFrame:
     """(series_id, theta, n): ridge least squares from sums of products, one pass and one small shuffle.
 
@@ -115,7 +125,7 @@ def gram_fit(df: DataFrame, model: Model) -> DataFrame:
 
 
 def _summed_fit(df: DataFrame, columns: list, penalty: np.ndarray) -> DataFrame:
-    p, seen = len(columns), F.col("y").isNotNull() & ~F.isnan("y")
+    p, seen = len(columns), observed()
     names = [f"a{i}" for i in range(p)]
     rows = df.select("series_id", F.when(seen, F.col("y")).alias("y"), *[F.when(seen, c.cast("double")).alias(n) for c, n in zip(columns, names, strict=True)])
     total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
@@ -148,10 +158,10 @@ def design(model: Model) -> tuple[list, np.ndarray]:
             columns += [F.lit(1.0), F.col("t").cast("double")]
             penalty += [0.0, p["weight"]]
         elif c.kind == "exog_linear":
-            columns.append(F.col(p["column"]))
+            columns.append(covariate(p["column"]))
             penalty.append(p["weight"])
         elif c.kind == "exog_spline" and p["knots"]:
-            some = spline_columns(F.col(p["column"]), p["knots"])
+            some = spline_columns(covariate(p["column"]), p["knots"])
             columns += some
             penalty += [p["weight"]] * len(some)
         elif c.kind == "periodic" and np.isscalar(p["periods"]) and not np.any(p["standing"]):
@@ -173,8 +183,7 @@ def gram_curves(df: DataFrame, model: Model) -> DataFrame:
         value = sum((columns[at + i] * F.element_at("theta", at + i + 1) for i in range(1, width)), columns[at] * F.element_at("theta", at + 1))
         out, at = out.withColumn(c.role, value), at + width
     total = sum((F.col(r) for r in model.roles[1:]), F.col(model.roles[0]))
-    seen = F.col("y").isNotNull() & ~F.isnan("y")
-    return out.withColumn("reconstruction", total).withColumn("residual", F.when(seen, F.col("y") - F.col("reconstruction")).otherwise(0.0)).drop("theta")
+    return out.withColumn("reconstruction", total).withColumn("residual", F.when(observed(), F.col("y") - F.col("reconstruction")).otherwise(0.0)).drop("theta")
 
 
 def linear_closed_form(df: DataFrame, slope_weight: float = 0.0) -> DataFrame:
@@ -188,7 +197,7 @@ def linear_closed_form(df: DataFrame, slope_weight: float = 0.0) -> DataFrame:
 
 def exog_closed_form(df: DataFrame, column: str, weight: float = 0.0) -> DataFrame:
     """(series_id, beta) of ``exog_linear`` alone under l2."""
-    z, seen = F.col(column), F.col("y").isNotNull()
+    z, seen = covariate(column), F.col("y").isNotNull()
     return df.groupBy("series_id").agg((F.sum(z * F.col("y")) / (F.sum(F.when(seen, z * z)) + weight * F.count("*"))).alias("beta"))
 
 
