@@ -93,6 +93,14 @@ def test_missing_covariates_count_as_zero_everywhere(spark, last, columns):
             assert np.abs(one[role] - two[role]).max() < 1e-6, role
 
 
+def test_probes_estimate_the_degrees_of_freedom(spark):
+    y = made(400, 9)
+    seen, d = np.isfinite(y).astype(float), np.diff(np.eye(400), 2, axis=0)
+    want = np.trace(np.linalg.solve(np.diag(seen) / 400 + 0.01 * d.T @ d, np.diag(seen) / 400))
+    got = smooth.smooth_dof(frame(spark, {"a": y}), 0.01, probes=64, size=96).first().dof
+    assert abs(got - want) < 0.04 * want
+
+
 def test_what_it_does_not_solve(spark):
     df = frame(spark, {"a": made(20)})
     for model in (Model((specs.linear_trend(),)), Model((specs.nonneg(specs.smooth_trend(1.0)),)), Model((specs.smooth_trend(1.0),), "l1")):

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Seconds in a day, a week and a mean Gregorian year.
@@ -68,6 +68,36 @@ def seasonal_columns(t: Column, periods: Sequence[float] | float, harmonics: Seq
     return [f(t * (i * 2 * math.pi / period)) for period, count, _ in _plan(periods, harmonics) for i in range(1, count + 1) for f in (F.cos, F.sin)]
 
 
+def seasonal_design(
+    t: Column, periods: Sequence[float] | float, harmonics: Sequence[int] | int = 6, standing: Sequence[bool] | bool = False, max_cross: int | None = None,
+) -> tuple[list[Column], list[float]]:
+    """``seasonal_matrix`` as expressions: columns of all periods and of their products, and each one's penalty per unit weight."""
+    blocks = []
+    for period, count, wave in _plan(periods, harmonics, standing):
+        size, orders = 2 * math.pi / math.sqrt(period), range(1, count + 1)
+        if wave:
+            phase = t - F.floor(t / period) * period
+            blocks.append([(F.sin(phase * (i * math.pi / period)), size * i) for i in orders])
+        else:
+            blocks.append([(f(t * (i * 2 * math.pi / period)), size * i) for i in orders for f in (F.cos, F.sin)])
+    cut = None if max_cross is None else 2 * max_cross
+    crossed = [(x * z, w) for a, one in enumerate(blocks) for two in blocks[a + 1 :] for x, _ in one[:cut] for z, w in two[:cut]]
+    every = [pair for block in blocks for pair in block] + crossed
+    return [c for c, _ in every], [w for _, w in every]
+
+
+def with_custom_basis(df: DataFrame, table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of a basis ``table`` (row, columns), repeated along t for as long as the series is.
+
+    Row ``t % n`` of the table's n rows, which are numbered from 0 without gaps, goes to place t.
+    """
+    ends = table.agg(F.count("*").alias("n"), F.min("row").alias("low"), F.max("row").alias("high"), F.count_distinct("row").alias("rows")).first()
+    if not ends.n or (ends.low, ends.high, ends.rows) != (0, ends.n - 1, ends.n):
+        raise ValueError("a basis table needs rows numbered from 0 without gaps")
+    block = table.select(F.col("row").alias("_row"), *columns)
+    return df.join(block, F.pmod(F.col("t"), F.lit(ends.n)) == F.col("_row"), "left").drop("_row")
+
+
 def default_knots(low: float, high: float, n_knots: int = 10) -> list[float]:
     if n_knots < 3 or not (math.isfinite(low) and math.isfinite(high)):
         raise ValueError("a spline needs 3 knots and finite values")
@@ -86,12 +116,17 @@ def spline_matrix(x: np.ndarray, knots: Sequence[float]) -> np.ndarray:
     return np.stack([x, *[d(i) - d(len(k) - 2) for i in range(len(k) - 2)]], 1)
 
 
-def spline_columns(x: Column, knots: Sequence[float]) -> list[Column]:
+def spline_columns(x: Column, knots: Sequence[float | Column]) -> list[Column]:
+    """The same as expressions; knots may be columns, and where they fall together the columns but x are 0."""
+    if len(knots) < 3:
+        raise ValueError("a spline needs 3 knots")
+    ks = [k if isinstance(k, Column) else F.lit(float(k)) for k in knots]
+
     def d(i: int) -> Column:
-        up = lambda v: F.pow(F.greatest(x - F.lit(float(v)), F.lit(0.0)), F.lit(3.0))
-        return (up(knots[i]) - up(knots[-1])) / float(knots[-1] - knots[i])
+        up = lambda v: F.pow(F.greatest(x - v, F.lit(0.0)), F.lit(3.0))
+        return F.coalesce((up(ks[i]) - up(ks[-1])) / F.nullif(ks[-1] - ks[i], F.lit(0.0)), F.lit(0.0))
 
-    return [x, *[d(i) - d(len(knots) - 2) for i in range(len(knots) - 2)]]
+    return [x, *[d(i) - d(len(ks) - 2) for i in range(len(ks) - 2)]]
 
 
 def loss(name: str, x: Column, length: Column, param: float = 1.0) -> Column:

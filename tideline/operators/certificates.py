@@ -25,6 +25,18 @@ def normal_gaps(df: DataFrame, model: Model, digits: int = 4) -> DataFrame:
     return sums.select("series_id", (F.col("i") + 1).alias("place"), F.round(gap, digits).alias("gap"))
 
 
+def slope_gaps(df: DataFrame, model: Model, theta: DataFrame, digits: int = 3) -> DataFrame:
+    """(series_id, place, gap) of coefficients under huber loss: by column the loss's slope less the penalty's, over its size."""
+    columns, penalty = design(Model(model.components))
+    rows = df.where("y is not null").join(theta, "series_id")
+    r = F.col("y") - sum((c.cast("double") * F.element_at("theta", i + 1) for i, c in enumerate(columns)), F.lit(0.0))
+    pull = F.greatest(F.least(r, F.lit(model.param)), F.lit(-model.param))
+    each = rows.select("series_id", "n", "theta", pull.alias("r"), F.posexplode(F.array(*[c.cast("double") for c in columns])).alias("i", "x"))
+    sums = each.groupBy("series_id", "i").agg(F.sum(F.col("r") * F.col("x")).alias("rx"), F.sum(F.abs(F.col("r") * F.col("x"))).alias("size"), F.first("n").alias("n"), F.first("theta").alias("theta"))
+    pen = F.element_at(F.array(*[F.lit(float(p)) for p in penalty]), F.col("i") + 1) * F.element_at("theta", F.col("i") + 1)
+    return sums.select("series_id", (F.col("i") + 1).alias("place"), F.round(F.abs(F.col("rx") - pen * F.col("n")) / F.greatest("size", F.lit(1e-12)), digits).alias("gap"))
+
+
 def dual_gaps(curves: DataFrame, model: Model, digits: int = 2) -> DataFrame:
     """(series_id, n, observed, gap, excess) for one free part: ``smooth`` of order 2 (a quantile loss to one digit), ``pwc`` or ``pwl``.
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.basis import seasonal_columns, spline_columns
+from tideline.functions.basis import seasonal_design, spline_columns
 from tideline.plans.solver import solve
 from tideline.plans.specs import Model
 
@@ -96,10 +96,10 @@ def covariate(name: str) -> Column:
 def gram_fit(df: DataFrame, model: Model) -> DataFrame:
     """(series_id, theta, n): ridge least squares from sums of products, one pass and one small shuffle.
 
-    For ``linear``, ``exog_linear``, ``exog_spline`` (stated knots) and ``periodic`` (one period's
-    harmonics each, no products) under l2 without bounds. Up to ``SUMS`` columns the sums are
+    For ``linear``, ``exog_linear``, ``exog_spline``, ``periodic`` and ``columns`` under l2 without bounds. Up to ``SUMS`` columns the sums are
     expressions; beyond, batches give partial sums of ``p^2`` numbers.
     """
+    df = prepared(df, model)
     columns, penalty = design(model)
     p = len(columns)
     if p <= SUMS:
@@ -146,7 +146,7 @@ def _summed_fit(df: DataFrame, columns: list, penalty: np.ndarray) -> DataFrame:
 
 
 def design(model: Model) -> tuple[list, np.ndarray]:
-    """The model's columns as expressions over t and covariates, and their penalties."""
+    """The model's columns as expressions over t and covariates (of ``prepared`` rows), and their penalties."""
     if model.loss != "l2":
         raise ValueError("sums of products fit l2 only")
     columns, penalty = [], []
@@ -160,30 +160,61 @@ def design(model: Model) -> tuple[list, np.ndarray]:
         elif c.kind == "exog_linear":
             columns.append(covariate(p["column"]))
             penalty.append(p["weight"])
-        elif c.kind == "exog_spline" and p["knots"]:
-            some = spline_columns(covariate(p["column"]), p["knots"])
+        elif c.kind == "exog_spline":
+            some = spline_columns(covariate(p["column"]), p["knots"] or _own_knots(p["column"], p["n_knots"]))
             columns += some
             penalty += [p["weight"]] * len(some)
-        elif c.kind == "periodic" and np.isscalar(p["periods"]) and not np.any(p["standing"]):
-            some = seasonal_columns(F.col("t").cast("double"), p["periods"], p["harmonics"])
+        elif c.kind == "columns":
+            columns += [covariate(name) for name in p["columns"]]
+            penalty += [(p["weight"] * v) ** 2 for v in p["penalties"]]
+        elif c.kind == "periodic":
+            some, pen = seasonal_design(F.col("t").cast("double"), p["periods"], p["harmonics"], p["standing"], p["cross"])
             columns += some
-            penalty += [(p["weight"] * 2 * np.pi / np.sqrt(p["periods"]) * (i // 2 + 1)) ** 2 for i in range(len(some))]
+            penalty += [(p["weight"] * v) ** 2 for v in pen]
         else:
             raise ValueError(f"{c.kind} needs the series solver")
     return columns, np.array(penalty)
 
 
-def gram_curves(df: DataFrame, model: Model) -> DataFrame:
-    """``df`` with each role, residual and reconstruction from ``gram_fit``; fits go out by a join."""
-    fit, at, out = gram_fit(df, model), 0, df
-    columns, _ = design(model)
-    out = df.join(fit.drop("n"), "series_id")
+def _own_knots(column: str, count: int) -> list[Column]:
+    """Knots at even steps between a series' least and largest value of a covariate, which ``prepared`` gives."""
+    if count < 3:
+        raise ValueError("a spline needs 3 knots")
+    low, high = F.col(f"_low_{column}"), F.col(f"_high_{column}")
+    return [low + (high - low) * (i / (count - 1)) for i in range(count)]
+
+
+def prepared(df: DataFrame, model: Model) -> DataFrame:
+    """``df`` with each series' least and largest finite value of covariates whose knots are not stated.
+
+    A covariate that has none, or only one, gives a spline of its column alone.
+    """
+    names = [c.params["column"] for c in model.components if c.kind == "exog_spline" and not c.params["knots"]]
+    names = [n for n in dict.fromkeys(names) if f"_low_{n}" not in df.columns]
+    if not names:
+        return df
+    finite = lambda n: F.when(F.abs(F.col(n)) < float("inf"), F.col(n).cast("double"))
+    ends = df.groupBy(F.col("series_id").alias("_ends_of")).agg(*[f(finite(n)).alias(k + n) for n in names for k, f in (("_low_", F.min), ("_high_", F.max))])
+    return df.join(ends, F.col("series_id").eqNullSafe(F.col("_ends_of"))).drop("_ends_of")
+
+
+def fitted_curves(rows: DataFrame, model: Model, fit: DataFrame, columns_of: Callable[[Model], list[Column]]) -> DataFrame:
+    """``rows`` with each role, residual and reconstruction from coefficients (series_id, theta); fits go out by a join."""
+    thetas = fit.select(F.col("series_id").alias("_fit_of"), F.col("theta").alias("_theta"))
+    out, at = rows.join(thetas, F.col("series_id").eqNullSafe(F.col("_fit_of"))), 0
     for c in model.components:
-        width = len(design(Model((c,)))[0])
-        value = sum((columns[at + i] * F.element_at("theta", at + i + 1) for i in range(1, width)), columns[at] * F.element_at("theta", at + 1))
-        out, at = out.withColumn(c.role, value), at + width
+        some = columns_of(Model((c,)))
+        value = sum((x * F.element_at("_theta", at + i + 1) for i, x in enumerate(some[1:], 1)), some[0] * F.element_at("_theta", at + 1))
+        out, at = out.withColumn(c.role, value), at + len(some)
     total = sum((F.col(r) for r in model.roles[1:]), F.col(model.roles[0]))
-    return out.withColumn("reconstruction", total).withColumn("residual", F.when(observed(), F.col("y") - F.col("reconstruction")).otherwise(0.0)).drop("theta")
+    return out.withColumn("reconstruction", total).withColumn("residual", F.when(observed(), F.col("y") - F.col("reconstruction")).otherwise(0.0)).drop("_theta", "_fit_of")
+
+
+def gram_curves(df: DataFrame, model: Model) -> DataFrame:
+    """``df`` with each role, residual and reconstruction from ``gram_fit``; fits go out by a join."""
+    rows = prepared(df, model)
+    out = fitted_curves(rows, model, gram_fit(rows, model), lambda m: design(m)[0])
+    return out.select(*df.columns, *model.roles, "reconstruction", "residual")
 
 
 def linear_closed_form(df: DataFrame, slope_weight: float = 0.0) -> DataFrame:

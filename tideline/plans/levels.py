@@ -175,18 +175,17 @@ def pwc_curves(df: DataFrame, component: Component, size: int | None = None) ->
         value = pa.array(x[at], from_pandas=True)
         return some.drop_columns(["_y"]).append_column("_x", value)
 
-    keys, other = ["series_id", "part"], ["of_series", "of_part"]
-    slim = rows.select(*keys, "t", "_y")
-    folded = slim.groupBy(*keys).cogroup(marks.groupBy(*keys)).applyInArrow(fold, f"series_id {kind}, {_FOLDED}")
+    part = F.col("part")
+    slim = rows.select("series_id", "part", "t", "_y")
+    folded = ranges.cogroup(slim, part, marks, fold, f"series_id {kind}, {_FOLDED}")
     sent = folded.groupBy("series_id").applyInArrow(send, f"series_id {kind}, {_SENT}")
-    named = sent.select(F.col("series_id").alias("of_series"), F.col("part").alias("of_part"), "total", "mx", "mv")
-    head = lambda f: lambda some, s: f(some, s.rename_columns(["series_id", "part", *s.column_names[2:]]))
-    clipped = slim.groupBy(*keys).cogroup(named.groupBy(*other)).applyInArrow(head(clips), f"series_id {kind}, part bigint, low double, high double")
+    clipped = ranges.cogroup(slim, part, sent, clips, f"series_id {kind}, part bigint, low double, high double")
     after = clipped.groupBy("series_id").applyInArrow(back, f"series_id {kind}, part bigint, next double")
-    ends = named.join(after.select(F.col("series_id").alias("_s"), F.col("part").alias("_p"), "next"), F.col("of_series").eqNullSafe(F.col("_s")) & (F.col("of_part") == F.col("_p"))).drop("_s", "_p")
-    wide = rows.select(*keys, *[c for c in df.columns if c != "series_id"], "_y")
+    after = after.select(F.col("series_id").alias("_s"), F.col("part").alias("_p"), "next")
+    ends = sent.join(after, F.col("series_id").eqNullSafe(F.col("_s")) & (part == F.col("_p"))).drop("_s", "_p")
+    wide = rows.select("series_id", "part", *[c for c in df.columns if c != "series_id"], "_y")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema if f.name != "_y") + ", _x double"
-    out = wide.groupBy(*keys).cogroup(ends.groupBy(*other)).applyInArrow(head(fill), schema)
+    out = ranges.cogroup(wide, part, ends, fill, schema)
     x = F.when(~F.isnan("_x"), F.col("_x"))
     left = F.when(observed(), F.col("y") - x).when(x.isNotNull(), F.lit(0.0))
     return out.select(*df.columns, x.alias(role), x.alias("reconstruction"), left.alias("residual"))

@@ -61,9 +61,9 @@ def monotone_levels(df: DataFrame, increasing: bool = False, size: int | None =
     edges = _edges(df, sign, size)
     drawn = F.pmod(F.xxhash64("series_id", "first"), F.lit(band_rows or BAND_ROWS)) == 0
     slopes = edges.groupBy("series_id").agg(F.array_sort(F.collect_set(F.when(drawn, F.col("s") / F.col("n")))).alias("slopes"))
-    each = edges.select(F.col("series_id").alias("of_series"), F.col("part").alias("of_part")).distinct()
+    each = edges.select("series_id", "part").distinct()
     of = slopes.select(F.col("series_id").alias("_of"), "slopes")
-    parts = each.join(of, F.col("of_series").eqNullSafe(F.col("_of"))).drop("_of")
+    parts = each.join(of, F.col("series_id").eqNullSafe(F.col("_of"))).drop("_of")
 
     def touch(rows: pa.Table, own: pa.Table) -> pa.Table:
         """A part's touching point of every slope, and each edge's end in the band of its mean."""
@@ -80,7 +80,7 @@ def monotone_levels(df: DataFrame, increasing: bool = False, size: int | None =
         out = {"series_id": rows["series_id"].take(pa.array(np.zeros(len(which), np.int64))), "band": pa.array(band, pa.int32())} | {c: p[which] for c, p in points.items()}
         return pa.table(out | {"height": pa.array(np.r_[height, np.zeros(len(mean))], mask=np.r_[np.zeros(len(slope), bool), np.ones(len(mean), bool)])})
 
-    points = edges.groupBy("series_id", "part").cogroup(parts.groupBy("of_series", "of_part")).applyInArrow(touch, f"series_id {kind}, band int, i bigint, h double, place bigint, height double")
+    points = ranges.cogroup(edges, F.col("part"), parts, touch, f"series_id {kind}, band int, i bigint, h double, place bigint, height double")
     lowest = points.where("height is not null").groupBy("series_id", "band").agg(F.min_by("i", F.struct("height", "i")).alias("low"))
     bands = Window.partitionBy("series_id").orderBy("band")
     lowest = lowest.withColumn("low", F.max("low").over(bands)).withColumn("high", F.lead("low").over(bands)).withColumnRenamed("series_id", "_of").withColumnRenamed("band", "_band")

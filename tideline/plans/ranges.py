@@ -8,8 +8,9 @@ the part's rows. So no task holds a series, only a part, or a row for each of a
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +83,13 @@ def scan(
     out = {k: F.when(F.col("_first"), F.col(f"_end.{k}")).otherwise(F.col(f"_before_{k}")) for k in previous}
     out |= {k: F.col(f"_now_{k}") + F.col(f"_all_{k}") for k in totals} | {k: F.coalesce(f"_new_{k}", f"_last_{k}") for k in latest}
     return both.select(*[F.col(c) for c in df.columns if c not in out], *[c.alias(k) for k, c in out.items()])
+
+
+def cogroup(rows: DataFrame, of: Column, control: DataFrame, step: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``step`` of a series' rows of one part, told by ``of``, and the ``control`` rows (series_id, part, ...) of that part.
+
+    Both may come from one table: the second side gets names of its own on its way.
+    """
+    names = ["series_id", "part", *[c for c in control.columns if c not in ("series_id", "part")]]
+    other = control.select(*[F.col(c).alias(f"_of_{c}") for c in names])
+    return rows.groupBy("series_id", of).cogroup(other.groupBy("_of_series_id", "_of_part")).applyInArrow(lambda a, b: step(a, b.rename_columns(names)), schema)

@@ -167,7 +167,7 @@ def smooth_solve(df: DataFrame, columns: Mapping[str, Column], weight: float, or
         return some.select(["series_id", "part", "total"]).append_column("left", pa.array(left, many)).append_column("right", pa.array(right, many))
 
     keys = ["series_id", "part"]
-    levels = [slim.groupBy(*keys).cogroup(marks.groupBy(*keys)).applyInArrow(condense, f"series_id {kind}, {_NODE}")]
+    levels = [ranges.cogroup(slim, F.col("part"), marks, condense, f"series_id {kind}, {_NODE}")]
     width = size
     while width < longest:
         width *= FAN
@@ -176,7 +176,7 @@ def smooth_solve(df: DataFrame, columns: Mapping[str, Column], weight: float, or
     ends = levels[-1].mapInArrow(top, f"series_id {kind}, {_ENDS}")
     for nodes in reversed(levels[:-1]):
         group = (F.col("part") - F.pmod(F.col("part"), F.lit(width))).alias("group")
-        ends = nodes.groupBy("series_id", group).cogroup(ends.groupBy("series_id", F.col("part").alias("group"))).applyInArrow(spread, f"series_id {kind}, {_ENDS}")
+        ends = ranges.cogroup(nodes, group, ends, spread, f"series_id {kind}, {_ENDS}")
         width //= FAN
 
     def fill(some: pa.Table, end: pa.Table) -> pa.Table:
@@ -190,7 +190,7 @@ def smooth_solve(df: DataFrame, columns: Mapping[str, Column], weight: float, or
 
     wide = rows.select(*keys, *[c for c in df.columns if c != "series_id" and c not in names], *names, "_seen")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema if f.name != "_seen")
-    return wide.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInArrow(fill, schema).drop("part")
+    return ranges.cogroup(wide, F.col("part"), ends, fill, schema).drop("part")
 
 
 def smooth_curves(df: DataFrame, model: Model, size: int | None = None) -> DataFrame:
@@ -234,6 +234,17 @@ def smooth_curves(df: DataFrame, model: Model, size: int | None = None) -> DataF
     return _finished(out, df, model)
 
 
+def smooth_dof(df: DataFrame, weight: float, order: int = 2, probes: int = 32, size: int | None = None) -> DataFrame:
+    """(series_id, dof): the trace of a smooth trend's influence matrix, estimated by random signs as further right sides.
+
+    Signs are hashes of series, place and probe, so that reruns agree.
+    """
+    signs = {f"_z{i}": F.when(F.pmod(F.xxhash64("series_id", "t", F.lit(i)), F.lit(2)) == 0, 1.0).otherwise(-1.0) for i in range(probes)}
+    rows = smooth_solve(df, signs, weight, order, size)
+    each = sum((F.sum(F.when(observed(), signs[c] * F.col(c))) for c in signs), F.lit(0.0))
+    return rows.groupBy("series_id").agg((each / probes).alias("dof"))
+
+
 def _finished(rows: DataFrame, df: DataFrame, model: Model) -> DataFrame:
     total = sum((F.col(r) for r in model.roles[1:]), F.col(model.roles[0]))
     out = rows.withColumn("reconstruction", total).withColumn("residual", F.when(observed(), F.col("y") - F.col("reconstruction")).otherwise(0.0))

@@ -1,8 +1,8 @@
 """Solves one series in NumPy: ``min (1/T) sum over observed phi(y - s) + sum of component losses``.
 
 The residual is 0 on unobserved rows. Without non-smooth terms this is one linear system; isotonic
-least squares is solved by pooling; all else by ADMM on ``1/2 v'Pv - q'v + f(Kv)``. Long series of free
-values take the same steps on sparse rows and a block-tridiagonal system.
+least squares is solved by pooling; all else by ADMM on ``1/2 v'Pv - q'v + f(Kv)``. Models with free
+values take their steps on sparse rows and a block-tridiagonal system.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from tideline.functions.basis import default_knots, seasonal_matrix, spline_matr
 from tideline.plans.banded import Rows, System, beside
 from tideline.plans.specs import Component, Model
 
-#: Longest series of a model with free values, for which dense matrices are formed; longer ones are banded.
-MAX_FREE = 3000
 #: Factors of one system that are kept at most, each for one step size.
 KEPT_FACTORS = 3
 
@@ -24,7 +22,7 @@ KEPT_FACTORS = 3
 class _Part:
     """A component on a grid: values ``basis @ v`` (identity: None), quadratic penalty, non-smooth terms.
 
-    Of a ``long`` series, matrices of free values are sparse rows, and ``root`` is that of their penalty.
+    In a ``long`` model, one with free values, matrices of free values are sparse rows, and ``root`` is that of their penalty.
     """
 
     def __init__(self, c: Component, t: np.ndarray, z: dict[str, np.ndarray], long: bool = False):
@@ -162,13 +160,12 @@ def solve(y: np.ndarray, model: Model, z: dict[str, np.ndarray] | None = None, t
         residual = np.where(seen, y - value, 0.0)
         return {"status": "optimal", "values": {only.role: value}, "residual": residual, "scalars": {}, "vectors": {}, "objective": residual_loss(residual, "l2", 1.0, n)}
     free = any(c.kind not in ("linear", "exog_linear", "exog_spline", "periodic", "dictionary") for c in model.components)
-    long = free and n > MAX_FREE
-    parts = [_Part(c, np.arange(n), z, long) for c in model.components]
+    parts = [_Part(c, np.arange(n), z, free) for c in model.components]
     ends = np.cumsum([p.size for p in parts])
     cut = [slice(e - p.size, e) for p, e in zip(parts, ends, strict=True)]
     size = int(ends[-1])
-    if long:
-        v, status = _solve_long(parts, cut, y, seen, model, tol, most)
+    if free:
+        v, status = _solve_banded(parts, cut, y, seen, model, tol, most, path)
     else:
         v, status = _solve_dense(parts, cut, y, seen, model, tol, most, path)
     values, scalars, vectors, objective = {}, {}, {}, 0.0
@@ -213,7 +210,7 @@ def _solve_dense(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.n
     return _admm(path["system"], goal, terms, tol, most, path)
 
 
-def _solve_long(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.ndarray, model: Model, tol: float, most: int) -> tuple[np.ndarray, str]:
+def _solve_banded(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.ndarray, model: Model, tol: float, most: int, path: dict | None) -> tuple[np.ndarray, str]:
     n, size = len(y), cut[-1].stop
     free = [p.basis is None for p in parts]
     m = sum(free)
@@ -236,19 +233,28 @@ def _solve_long(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.nd
         goal = 2 / n * a.back(y[seen])
     else:
         terms.append((slice(0, size), a, "residual", (y[seen], model.loss, model.param, 1 / n)))
-    system = System(quadratic, [k for _, k, _, _ in terms], size, m * n)
-    if terms:
-        v, status = _admm(system, goal, terms, tol, most)
-        return v[place], status
+    split = [k for _, k, _, _ in terms]
+    if not terms:
+        return _ridged(System(quadratic, split, size, m * n), goal)[place], "optimal"
+    path = {} if path is None else path
+    rows = [x for r in (*quadratic, *split) for x in (r.columns, r.values)]
+    if "rows" not in path or len(rows) != len(path["rows"]) or not all(np.array_equal(x, w) for x, w in zip(rows, path["rows"], strict=True)):
+        path |= {"rows": rows, "system": System(quadratic, split, size, m * n), "factors": {}}
+        path.pop("z", None)
+    v, status = _admm(path["system"], goal, terms, tol, most, path)
+    return v[place], status
+
+
+def _ridged(system: System, goal: np.ndarray) -> np.ndarray:
     solve_ridged, goal = system.factor(0.0, 1e-12), goal * system.unit
     v = solve_ridged(goal)
     for _ in range(10):
         v = v + solve_ridged(goal - system.penalty(v))
-    return (v * system.unit)[place], "optimal"
+    return v * system.unit
 
 
 class _Dense:
-    """The quadratic part and the splittings of a short series; see ``System``."""
+    """The quadratic part and the splittings of a few coefficients; see ``System``."""
 
     def __init__(self, pen: np.ndarray, terms: list, size: int):
         rows = np.cumsum([k.shape[0] for _, k, _, _ in terms])

@@ -5,6 +5,7 @@ Every atom is convex and every weight must be non-negative, so a valid model is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -89,6 +90,12 @@ def multiperiodic(
     return Component(role, "periodic", {"periods": periods, "harmonics": num_harmonics, "weight": _positive(weight), "standing": standing_wave, "cross": max_cross_k})
 
 
+def custom_periodic(columns: Sequence[str], period: float, weight: float = 1e-1, role: str = "periodic") -> Component:
+    """A seasonal shape of ``period`` samples over basis columns of one's own, penalized by their place like harmonics."""
+    size = 2 * math.pi / math.sqrt(period)
+    return Component(role, "columns", {"columns": tuple(columns), "penalties": tuple(size * i for i in range(1, len(columns) + 1)), "weight": _positive(weight)})
+
+
 def bounded(inner: Component, lower: float | None = None, upper: float | None = None) -> Component:
     return replace(inner, lower=inner.lower if lower is None else lower, upper=inner.upper if upper is None else upper)
 

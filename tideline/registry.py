@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tideline.functions import basis
 from tideline.operators import certificates, diagnostics, reporting, timeaxis, transform, validation
 from tideline.plans import decompose as fit
-from tideline.plans import specs
+from tideline.plans import gram, levels, monotone, smooth, specs
 from tideline.plans.specs import Model
 from tideline.sources.series import long_series
 
@@ -581,13 +581,129 @@ SELECT v.series_id, t::BIGINT AS t, y, round(x + 3e-8, 6) AS trend, round(coales
 
 
 def solve_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _solved(MODELS["solve_monotone"])(spark, sf_dir)
+    got = monotone.monotone_curves(hourly(spark, sf_dir), specs.monotone_trend(), size=64, band_rows=16)
     # pooled means often end in an exact half of the last digit; the shift rounds it alike on both sides
     return got.select("series_id", "t", "y", *[F.round(F.col(c) + 3e-8, 6).alias(c) for c in ("trend", "residual", "reconstruction")])
 
 
 QUERIES["solve_monotone"] = solve_monotone
 
+
+def solve_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smooth.smooth_curves(hourly(spark, sf_dir), MODELS["solve_smooth"], size=96).drop("ts")
+
+
+def solve_piecewise_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return levels.pwc_curves(hourly(spark, sf_dir), specs.pwc_trend(5.0), size=64).drop("ts")
+
+
+QUERIES.update({f.__name__: f for f in (solve_smooth, solve_piecewise_constant)})
+
+#: The system's factors and its solution point by point: each place's row of the factor from the two before, then back.
+_SMOOTH = _HOURLY + """, RECURSIVE_n AS (SELECT series_id, max(t) + 1 AS n FROM hours GROUP BY series_id),
+a AS (SELECT h.series_id, h.t, n, CASE WHEN y IS NULL THEN 0.0 ELSE 1.0 / n END + 10.0 * CASE WHEN t IN (0, n - 1) THEN 1 WHEN t IN (1, n - 2) THEN 5 ELSE 6 END AS d,
+  -10.0 * CASE WHEN t IN (1, n - 1) THEN 2 ELSE 4 END AS e, coalesce(y, 0.0) / n AS b FROM hours h JOIN RECURSIVE_n USING (series_id)),
+f AS (
+  SELECT series_id, t, d::DOUBLE AS d, 0.0::DOUBLE AS l, b::DOUBLE AS z, 'infinity'::DOUBLE AS d1, 0.0::DOUBLE AS z1 FROM a WHERE t = 0
+  UNION ALL
+  SELECT a.series_id, a.t, a.d - 100.0 / f.d1 - ((a.e - 10.0 * f.l) / f.d) ** 2 * f.d, (a.e - 10.0 * f.l) / f.d, a.b - (a.e - 10.0 * f.l) / f.d * f.z - 10.0 / f.d1 * f.z1, f.d, f.z
+  FROM f JOIN a ON a.series_id = f.series_id AND a.t = f.t + 1),
+k AS (SELECT f.*, n FROM f JOIN RECURSIVE_n USING (series_id)),
+x AS (
+  SELECT series_id, t, z / d AS x, l, 0.0::DOUBLE AS l2, 0.0::DOUBLE AS x2 FROM k WHERE t = n - 1
+  UNION ALL
+  SELECT k.series_id, k.t, k.z / k.d - x.l * x.x - 10.0 / k.d * x.x2, k.l, x.l, x.x FROM x JOIN k ON k.series_id = x.series_id AND k.t = x.t - 1)
+SELECT h.series_id, h.t::BIGINT AS t, round(x, 5) AS trend, round(coalesce(y - x, 0), 5) AS residual FROM hours h JOIN x ON x.series_id = h.series_id AND x.t = h.t"""
+
+
+@_register(_SMOOTH.replace("WITH sums", "WITH RECURSIVE sums", 1).replace("RECURSIVE_n", "lengths"))
+def smooth_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return solve_smooth(spark, sf_dir).select("series_id", "t", F.round("trend", 5).alias("trend"), F.round("residual", 5).alias("residual"))
+
+
+#: Two correlated atoms: of all signs of the two coefficients the ones that agree with their solution, and of these the best.
+@_register("""
+WITH r AS (SELECT l_returnflag AS series_id, l_extendedprice / 1000 AS y, l_quantity AS a, l_tax * l_quantity * 10 AS b FROM lineitem),
+g AS (SELECT series_id, avg(a * a) AS aa, avg(a * b) AS ab, avg(b * b) AS bb, avg(a * y) AS ay, avg(b * y) AS yb, avg(y * y) AS yy FROM r GROUP BY series_id),
+c AS (SELECT *, unnest([-1, 0, 1]) AS p FROM g), d AS (SELECT *, unnest([-1, 0, 1]) AS q FROM c),
+s AS (SELECT *, CASE WHEN p = 0 THEN 0 WHEN q = 0 THEN (ay - 10.0 * p) / aa ELSE ((ay - 10.0 * p) * bb - (yb - 10.0 * q) * ab) / (aa * bb - ab * ab) END AS u,
+  CASE WHEN q = 0 THEN 0 WHEN p = 0 THEN (yb - 10.0 * q) / bb ELSE ((yb - 10.0 * q) * aa - (ay - 10.0 * p) * ab) / (aa * bb - ab * ab) END AS v FROM d),
+o AS (SELECT *, yy - 2 * u * ay - 2 * v * yb + u * u * aa + 2 * u * v * ab + v * v * bb + 20.0 * (abs(u) + abs(v)) AS cost FROM s WHERE sign(u) = p AND sign(v) = q)
+SELECT series_id, round(arg_min(u, cost), 6) AS quantity, round(arg_min(v, cost), 6) AS taxed FROM o GROUP BY series_id
+""")
+def sparse_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("series_id"), F.lit(0).alias("t"), (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").alias("a"), (F.col("l_tax") * F.col("l_quantity") * 10).alias("b")
+    )
+    got = gram.lasso_fit(rows, Model((specs.dictionary(["a", "b"], 20.0),)))
+    return got.select("series_id", F.round(F.col("theta")[0], 6).alias("quantity"), F.round(F.col("theta")[1], 6).alias("taxed"))
+
+
+#: A level alone explains nothing, a line what its correlation tells, and line and covariate what their curves leave.
+@_register(_COVARIATE + """SELECT series_id, p.place::INTEGER AS place, p.role, round(p.v + 1e-12, 9) AS explained FROM (
+  SELECT series_id, unnest([{'place': 1, 'role': 'level', 'v': 0.0}, {'place': 2, 'role': 'slope', 'v': regr_r2(y, t)}, {'place': 3, 'role': 'exog', 'v': 1 - var_pop(residual) / var_pop(y)}]) AS p FROM curves GROUP BY series_id)""")
+def nested_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_orders(spark, sf_dir).withColumns({"one": F.lit(1.0), "x": F.col("t").cast("double")})
+    model = Model((specs.exog_linear("one", role="level"), specs.exog_linear("x", role="slope"), specs.exog_linear("z")))
+    return gram.nested_explained(rows, model).withColumn("explained", F.round(F.col("explained") + 1e-12, 9))
+
+
+@_register(_DAILY + """, s AS (SELECT series_id, count(*) AS m, sum(t) AS sx, sum(t * t) AS sxx FROM daily GROUP BY series_id)
+SELECT series_id, r.role, round((m * (sxx + 500.0 * m) - 2.0 * sx * sx + sxx * m) / (m * (sxx + 500.0 * m) - 1.0 * sx * sx), 9) AS dof FROM s, (SELECT unnest(['trend', 'total']) AS role) r""")
+def ridge_line_dof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = gram.effective_dof(daily_orders(spark, sf_dir), Model((specs.linear_trend(slope_weight=500.0),)))
+    return got.withColumn("dof", F.round("dof", 9))
+
+
+#: The hourly profile of events as a basis of 24 rows, along days whose number it does not divide.
+@_register(_DAILY + """, w AS (SELECT hour(ts) AS h, round(avg(value), 6) AS u FROM events GROUP BY ALL)
+SELECT series_id, round(sum(u * y) / count(*) / (sum(u * u) / count(*) + (0.5 * 2 * pi() / sqrt(24.0)) ** 2), 6) AS theta FROM daily JOIN w ON (t % 24 + 24) % 24 = h GROUP BY series_id""")
+def custom_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = _table(spark, sf_dir, "events").groupBy(F.hour("ts").cast("bigint").alias("row")).agg(F.round(F.avg("value"), 6).alias("u"))
+    rows = basis.with_custom_basis(daily_orders(spark, sf_dir), profile, ["u"])
+    got = fit.gram_fit(rows, Model((specs.custom_periodic(["u"], 24.0, 0.5),)))
+    return got.select("series_id", F.round(F.col("theta")[0], 6).alias("theta"))
+
+
+#: Days of a number of orders that 5 divides have no covariate, and count as 0.
+@_register(_COVARIATE.replace("count(*)::DOUBLE AS z", "CASE WHEN count(*) % 5 = 0 THEN 0.0 ELSE count(*)::DOUBLE END AS z") + "SELECT series_id, t, round(trend) AS trend, round(exog) AS exog, round(residual) AS residual FROM curves")
+def covariate_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_orders(spark, sf_dir).withColumn("z", F.when(F.col("z") % 10 == 5, float("nan")).when(F.col("z") % 5 != 0, F.col("z")))
+    got = fit.gram_curves(rows, COVARIATE)
+    return got.select("series_id", "t", *[F.round(c, 0).alias(c) for c in ("trend", "exog", "residual")])
+
+
+@_register(_HOURLY + """, b AS (SELECT DISTINCT t::BIGINT AS t, sin(pi() / 168 * (t % 168)) AS w1, sin(2 * pi() / 168 * (t % 168)) AS w2, cos(2 * pi() * t / 24) AS c, sin(2 * pi() * t / 24) AS s FROM hours)
+SELECT t, round(w1, 9) AS c0, round(w2, 9) AS c1, round(c, 9) AS c2, round(s, 9) AS c3, round(w1 * c, 9) AS c4, round(w1 * s, 9) AS c5, round(w2 * c, 9) AS c6, round(w2 * s, 9) AS c7 FROM b""")
+def seasonal_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns, _ = basis.seasonal_design(F.col("t").cast("double"), (168.0, 24.0), (2, 1), (True, False), 1)
+    return hourly(spark, sf_dir).select("t").distinct().select("t", *[F.round(c, 9).alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+HUBER = Model((specs.linear_trend(), specs.exog_linear("z")), "huber", 50000.0)
+
+
+@_register(_DAILY + "SELECT series_id, unnest(generate_series(1, 3))::INTEGER AS place, 0.0::DOUBLE AS gap FROM (SELECT DISTINCT series_id FROM daily)")
+def huber_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_orders(spark, sf_dir)
+    return certificates.slope_gaps(rows, HUBER, gram.robust_fit(rows, HUBER))
+
+
+#: Ascending gaps join the last cluster while they lie within 5 % of its running median.
+@_register(_VISITS.replace("WITH o", "WITH RECURSIVE o", 1) + """
+i AS (SELECT series_id, gap, n, row_number() OVER (PARTITION BY series_id ORDER BY gap) AS i FROM c),
+u AS (
+  SELECT series_id, i, 1 AS cluster, list_transform(generate_series(1, n), lambda x: gap) AS l FROM i WHERE i = 1
+  UNION ALL
+  SELECT i.series_id, i.i, CASE WHEN abs(i.gap - list_median(l)) <= 0.05 * list_median(l) THEN cluster ELSE cluster + 1 END,
+    CASE WHEN abs(i.gap - list_median(l)) <= 0.05 * list_median(l) THEN list_concat(l, list_transform(generate_series(1, i.n), lambda x: i.gap)) ELSE list_transform(generate_series(1, i.n), lambda x: i.gap) END
+  FROM u JOIN i ON i.series_id = u.series_id AND i.i = u.i + 1),
+e AS (SELECT series_id, cluster, arg_max(l, i) AS l FROM u GROUP BY ALL)
+SELECT series_id, list_median(l)::DOUBLE AS rate, len(l) AS n, round(len(l) / sum(len(l)) OVER (PARTITION BY series_id), 9) AS share FROM e""")
+def rate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeaxis.rates(_visits(spark, sf_dir), rel_tol=0.05).select("series_id", "rate", "n", F.round("share", 9).alias("share"))
+
+
 _SERIES = "SELECT series_id, n, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS excess, observed FROM (SELECT series_id, count(*) AS n, count(y) AS observed FROM hours GROUP BY series_id)"
 
 
