@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.plans import ranges
+from tideline.plans import fourier, ranges
 
 
 def steps_per_day(delta: float) -> int:
@@ -58,24 +56,12 @@ def day_correlation(folded: DataFrame, one: int, other: int) -> DataFrame:
 def periodogram(df: DataFrame, top: int = 6) -> DataFrame:
     """(series_id, k, period, magnitude): the ``top`` strongest frequencies k / length of a series' centred values.
 
-    The length is the series' own, ``max(t) + 1``. Missing values count as the mean. One fast Fourier
-    transform per series takes its values as they are, so that work grows with n log n; a series' values
-    (8 bytes each) meet in one task.
+    The length is the series' own, ``max(t) + 1``. Missing values count as the mean. A long series' transform
+    is spread over tasks; each gives its own strongest ones.
     """
-    kind = df.schema["series_id"].dataType.simpleString()
-
-    def transform(rows: pa.Table) -> pa.Table:
-        t, y = rows["t"].to_numpy(), rows["y"].to_numpy().astype(float)
-        values = np.zeros(int(t.max()) + 1)
-        values[t] = np.nan_to_num(y - np.nanmean(y)) if np.isfinite(y).any() else 0.0
-        size = np.abs(np.fft.rfft(values))[1:]
-        strong = np.lexsort((np.arange(len(size)), -size))[: 4 * top]
-        k = np.sort(strong) + 1
-        return pa.table({"series_id": rows["series_id"].take(pa.array(np.zeros(len(k), np.int64))), "k": pa.array(k.astype(np.int32)), "period": len(values) / k, "magnitude": size[k - 1]})
-
-    found = df.select("series_id", "t", "y").groupBy("series_id").applyInArrow(transform, f"series_id {kind}, k int, period double, magnitude double")
     turn = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("magnitude"), "k"))
-    return found.withColumn("turn", turn).where(F.col("turn") <= top).drop("turn")
+    found = fourier.magnitudes(df, top).withColumn("turn", turn).where(F.col("turn") <= top)
+    return found.select("series_id", F.col("k").cast("int").alias("k"), (F.col("n") / F.col("k")).alias("period"), "magnitude")
 
 
 def lag_correlation(df: DataFrame, value: str = "residual", adjacent: bool = False) -> DataFrame:
