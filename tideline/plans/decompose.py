@@ -46,7 +46,9 @@ def fit_groups(df: DataFrame, keys: list[str], model_of: Callable[[pd.DataFrame]
         return pd.DataFrame([{k: group[k].iloc[0] for k in keys} | solved_row(group, model_of(group))])
 
     head = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(run, f"{head}, {SOLVED}")
+    # solves are long and their rows few: by their bytes, partitions would be merged into one task
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, f"{head}, {SOLVED}")
 
 
 def weight_path(df: DataFrame, models: Sequence[Model]) -> DataFrame:
