@@ -14,6 +14,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tideline.plans.decompose import SUMS, design, fitted_curves, observed, prepared
 from tideline.plans.specs import Model
@@ -49,7 +51,7 @@ def gram_sums(df: DataFrame, columns: Sequence[Column], weight: Column | None =
     return parts.groupBy("series_id").agg(F.sum("n").alias("n"), *cells).select("series_id", "n", F.array(*[f"_{k}" for k in range(q * q)]).alias("s"))
 
 
-def by_series(sums: DataFrame, step: Callable[[np.ndarray, int], dict[str, object]], schema: str) -> DataFrame:
+def by_series(sums: DataFrame, step: Callable[[np.ndarray, int], list[dict]], schema: str) -> DataFrame:
     """``step`` of each series' square matrix and length, as rows of (series_id, ``schema``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,11 +63,8 @@ def by_series(sums: DataFrame, step: Callable[[np.ndarray, int], dict[str, objec
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     kind = sums.schema["series_id"].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     whole = f"series_id {kind}, {schema}"
-    kinds = to_arrow_schema(_parse_datatype_string(whole))
+    kinds = to_arrow_schema(StructType.fromDDL(whole))
     return sums.mapInArrow(run, whole)
 
 
