@@ -25,7 +25,7 @@ def samples_per_year(delta: float) -> float:
     return period_samples(YEAR, delta)
 
 
-def _plan(periods: Sequence[float] | float, harmonics: Sequence[int] | int, standing: Sequence[bool] | bool = False) -> list[tuple[float, int, bool]]:
+def plan(periods: Sequence[float] | float, harmonics: Sequence[int] | int, standing: Sequence[bool] | bool = False) -> list[tuple[float, int, bool]]:
     """(period, harmonics, standing), longest period first."""
     ps = [float(periods)] if np.isscalar(periods) else [float(p) for p in periods]
     hs = [int(harmonics)] * len(ps) if np.isscalar(harmonics) else [int(h) for h in harmonics]
@@ -43,7 +43,7 @@ def seasonal_matrix(t: np.ndarray, periods: Sequence[float] | float, harmonics:
     shorter period's penalty.
     """
     blocks, weights = [], []
-    for period, count, wave in _plan(periods, harmonics, standing):
+    for period, count, wave in plan(periods, harmonics, standing):
         if wave:
             columns = [np.sin(i * math.pi / period * np.mod(t, period)) for i in range(1, count + 1)]
             order = np.arange(1, count + 1)
@@ -65,7 +65,7 @@ def seasonal_matrix(t: np.ndarray, periods: Sequence[float] | float, harmonics:
 
 def seasonal_columns(t: Column, periods: Sequence[float] | float, harmonics: Sequence[int] | int = 6) -> list[Column]:
     """The same columns (no products of periods) as expressions."""
-    return [f(t * (i * 2 * math.pi / period)) for period, count, _ in _plan(periods, harmonics) for i in range(1, count + 1) for f in (F.cos, F.sin)]
+    return [f(t * (i * 2 * math.pi / period)) for period, count, _ in plan(periods, harmonics) for i in range(1, count + 1) for f in (F.cos, F.sin)]
 
 
 def seasonal_design(
@@ -73,7 +73,7 @@ def seasonal_design(
 ) -> tuple[list[Column], list[float]]:
     """``seasonal_matrix`` as expressions: columns of all periods and of their products, and each one's penalty per unit weight."""
     blocks = []
-    for period, count, wave in _plan(periods, harmonics, standing):
+    for period, count, wave in plan(periods, harmonics, standing):
         size, orders = 2 * math.pi / math.sqrt(period), range(1, count + 1)
         if wave:
             phase = t - F.floor(t / period) * period

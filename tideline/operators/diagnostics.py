@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +114,84 @@ def refit_levels(curves: DataFrame, role: str, least: float) -> DataFrame:
     return pieces.join(levels, ["series_id", "piece"]).select(*curves.columns, "refit")
 
 
+def refit_kinks(curves: DataFrame, role: str, least: float) -> DataFrame:
+    """``curves`` with ``refit``: an unpenalized continuous line with kinks at a piecewise-linear role's own places.
+
+    A kink is where the role's slope changes by more than ``least``; y less all other roles is fitted.
+    Kinks that the observed rows cannot fix are left out; a series with one observed row gets its
+    level, one with none null. Pieces are summed apart; a task solves over a series' kinks, not its rows.
+    """
+    rows = ranges.scan(ranges.by_place(curves), previous={"_before": "t", "_was": role})
+    rows = rows.withColumn("_slope", (F.col(role) - F.col("_was")) / (F.col("t") - F.col("_before")))
+    rows = ranges.scan(rows, previous={"_last": "_slope"})
+    bent = F.coalesce(F.abs(F.col("_slope") - F.col("_last")) > least, F.lit(False))
+    rows = rows.withColumn("_knot", F.when(F.col("_before").isNull(), F.col("t")).when(bent, F.col("_before")))
+    rows = ranges.scan(rows, totals={"piece": bent.cast("long")}, latest={"_start": "_knot"})
+    d, rest = (F.col("t") - F.col("_start")).cast("double"), F.nanvl("y", F.lit(None)) - F.col("reconstruction") + F.col(role)
+    seen = rest.isNotNull()
+    sums = [F.count_if(seen), *[F.coalesce(F.sum(F.when(seen, v)), F.lit(0.0)) for v in (d, d * d, rest, d * rest)]]
+    pieces = rows.groupBy("series_id", "piece").agg(F.min("_start").alias("start"), F.max("t").alias("stop"), F.array(*[s.cast("double") for s in sums]).alias("sums"))
+    kind = curves.schema["series_id"].dataType.simpleString()
+
+    def lines(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("piece")
+        level, slope = kinked_line(g["start"].to_numpy(float), g["stop"].to_numpy(float), np.stack(g["sums"].to_numpy()))
+        return pd.DataFrame({"series_id": g["series_id"], "piece": g["piece"], "level": level, "slope": slope})
+
+    fitted = pieces.groupBy("series_id").applyInPandas(lines, f"series_id {kind}, piece bigint, level double, slope double")
+    fitted = fitted.select(F.col("series_id").alias("_of"), F.col("piece").alias("_piece"), "level", "slope")
+    out = rows.join(fitted, F.col("series_id").eqNullSafe(F.col("_of")) & (F.col("piece") == F.col("_piece")))
+    return out.select(*[F.col(c) for c in curves.columns], (F.col("level") + F.col("slope") * d).alias("refit"))
+
+
+def kinked_line(start: np.ndarray, stop: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Level at its start and slope of each piece of the best continuous line.
+
+    Pieces go from ``start`` to ``stop``, which is the next one's start; ``sums`` are, over a piece's observed rows,
+    their number and the sums of d, d^2, v and d v, with d from its start. Heights at the kinks have a tridiagonal system.
+    """
+    groups = [[i] for i in range(len(start))]
+    if not sums[:, 0].any():
+        return np.full(len(start), np.nan), np.full(len(start), np.nan)
+    while True:
+        low, high = start[[g[0] for g in groups]], stop[[g[-1] for g in groups]]
+        m, d, dd, v, dv = np.array([_shifted(sums[g], start[g] - start[g[0]]) for g in groups]).T
+        size = np.maximum(high - low, 1.0)
+        right, both = dd / size**2, d / size - dd / size**2
+        left = m - 2 * d / size + right
+        diagonal, force = np.zeros(len(groups) + 1), np.zeros(len(groups) + 1)
+        diagonal[:-1] += left
+        diagonal[1:] += right
+        force[:-1] += v - dv / size
+        force[1:] += dv / size
+        pivots, bad = diagonal.copy(), None
+        for i in range(len(pivots)):
+            if i:
+                pivots[i] -= both[i - 1] ** 2 / pivots[i - 1]
+                force[i] -= both[i - 1] / pivots[i - 1] * force[i - 1]
+            if pivots[i] <= 1e-10 * max(diagonal[i], 1e-300):
+                bad = i
+                break
+        if bad is None:
+            break
+        if len(groups) == 1:
+            return np.full(len(start), v[0] / m[0]), np.zeros(len(start))
+        k = min(max(bad, 1), len(groups) - 1)
+        groups[k - 1 : k + 1] = [groups[k - 1] + groups[k]]
+    height = force / pivots
+    for i in range(len(height) - 2, -1, -1):
+        height[i] -= both[i] / pivots[i] * height[i + 1]
+    slope = np.repeat(np.diff(height) / size, [len(g) for g in groups])
+    level = np.repeat(height[:-1], [len(g) for g in groups]) + slope * (start - np.repeat(low, [len(g) for g in groups]))
+    return level, slope
+
+
+def _shifted(sums: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The sums of neighbouring pieces, all with d from the first one's start."""
+    m, d, dd, v, dv = sums.T
+    return np.array([m.sum(), (d + by * m).sum(), (dd + 2 * by * d + by * by * m).sum(), v.sum(), (dv + by * v).sum()])
+
+
 def amplitude(curves: DataFrame, role: str, log: bool = False) -> DataFrame:
     """(series_id, amplitude): a role's range; of a ``log`` model, in percent."""
     size = F.max(role) - F.min(role)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tideline.plans import ranges
 from tideline.plans.decompose import decompose, fit_groups, solved_row
+from tideline.plans.resample import check_draws
 from tideline.plans.specs import Model
 
 
@@ -185,8 +186,9 @@ def bootstrap(df: DataFrame, model: Model, scalar: str, block: int, resamples: i
     """(series_id, point, low, high, used): percentile interval of a scalar over block-resampled refits.
 
     Blocks of observed residuals are drawn with replacement; draws are seeded by series and replicate.
-    Series with too few successful refits are left out.
+    Series with too few successful refits are left out. ``resample.bootstrap_thetas`` serves lines and seasons without refits.
     """
+    check_draws(block, resamples, confidence)
     base = decompose(df, model).where(F.size("roles") > 0)
     covariates = df.groupBy("series_id").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("t", c))), lambda r, c=c: r[c]).alias(f"z_{c}") for c in model.columns]) if model.columns else None
     work = base if covariates is None else base.join(covariates, "series_id")

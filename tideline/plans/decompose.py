@@ -95,6 +95,25 @@ def covariate(name: str) -> Column:
     return F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")), F.lit(0.0))
 
 
+def scaled(system: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A symmetric matrix with its diagonal values brought to 1, so that columns of any size count alike, and their roots."""
+    size = np.sqrt(np.abs(np.diag(system)))
+    size[size == 0] = 1.0
+    return system / np.outer(size, size), size
+
+
+def scaled_solve(system: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of normal equations; the shortest of its scaled coefficients where there are many."""
+    unit, size = scaled(system)
+    return np.linalg.lstsq(unit, right / size, rcond=1e-13)[0] / size
+
+
+def scaled_inverse(system: np.ndarray) -> np.ndarray:
+    """The matrix that ``scaled_solve`` multiplies by."""
+    unit, size = scaled(system)
+    return np.linalg.pinv(unit, rcond=1e-13, hermitian=True) / np.outer(size, size)
+
+
 def gram_fit(df: DataFrame, model: Model) -> DataFrame:
     """(series_id, theta, n): ridge least squares from sums of products, one pass and one small shuffle.
 
@@ -118,7 +137,7 @@ def gram_fit(df: DataFrame, model: Model) -> DataFrame:
 
     def total(g: pd.DataFrame) -> pd.DataFrame:
         s, n = np.sum(np.stack(g["s"].to_numpy()), 0), int(g["n"].sum())
-        theta = np.linalg.lstsq(s[: p * p].reshape(p, p) / n + np.diag(penalty), s[p * p :] / n, rcond=1e-13)[0]
+        theta = scaled_solve(s[: p * p].reshape(p, p) / n + np.diag(penalty), s[p * p :] / n)
         return pd.DataFrame({"series_id": [g["series_id"].iloc[0]], "theta": [theta.tolist()], "n": [n]})
 
     kind = df.schema["series_id"].dataType.simpleString()
@@ -140,7 +159,7 @@ def _summed_fit(df: DataFrame, columns: list, penalty: np.ndarray) -> DataFrame:
 
     def solve_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            theta = [np.linalg.lstsq(np.asarray(aa)[place] / n + np.diag(penalty), np.asarray(ay) / n, rcond=1e-13)[0].tolist() for aa, ay, n in zip(batch["aa"], batch["ay"], batch["n"], strict=True)]
+            theta = [scaled_solve(np.asarray(aa)[place] / n + np.diag(penalty), np.asarray(ay) / n).tolist() for aa, ay, n in zip(batch["aa"], batch["ay"], batch["n"], strict=True)]
             yield pd.DataFrame({"series_id": batch["series_id"], "theta": theta, "n": batch["n"]})
 
     kind = df.schema["series_id"].dataType.simpleString()

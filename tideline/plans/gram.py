@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tideline.plans.decompose import SUMS, design, fitted_curves, observed, prepared
+from tideline.plans.decompose import SUMS, design, fitted_curves, observed, prepared, scaled_inverse, scaled_solve
 from tideline.plans.specs import Model
 from tideline.plans.steps import reliable
 
@@ -116,7 +116,7 @@ def effective_dof(df: DataFrame, model: Model) -> DataFrame:
     p, names = len(columns), [c.role for c in model.components for _ in design(Model((c,)))[0]]
 
     def step(s: np.ndarray, n: int) -> list[dict]:
-        own = np.diag(np.linalg.pinv(s[:p, :p] / n + np.diag(penalty), rcond=1e-13, hermitian=True) @ s[:p, :p] / n)
+        own = np.diag(scaled_inverse(s[:p, :p] / n + np.diag(penalty)) @ s[:p, :p] / n)
         parts = {r: float(own[[i for i, name in enumerate(names) if name == r]].sum()) for r in model.roles}
         return [{"role": r, "dof": v} for r, v in (parts | {"total": float(own.sum())}).items()]
 
@@ -193,15 +193,16 @@ def robust_fit(df: DataFrame, model: Model, rounds: int = 60, tol: float = 1e-7)
 
     Each round is one pass. It ends when no coefficient moves the fit by more than ``tol`` of y's size in
     any series. Absolute residuals below a floor count as the floor, which falls each round to 1e-6 of that
-    size; no series is gathered. Coefficients are kept in the checkpoint folder between rounds.
+    size; no series is gathered. Under l1 and quantile a round goes 1.8 times as far as the weighted squares ask,
+    which still never raises the loss at one floor and took about half the rounds where measured. Coefficients are kept in the checkpoint folder between rounds.
     """
     plain = Model(model.components)
     df = prepared(df, plain)
     columns, penalty = design(plain)
-    p = len(columns)
+    p, reach = len(columns), 1.0 if model.loss == "huber" else 1.8
 
     def step_of(s: np.ndarray, n: int) -> np.ndarray:
-        return np.linalg.lstsq(s[:p, :p] / n + np.diag(penalty), s[:p, p + 1] / n, rcond=1e-13)[0]
+        return scaled_solve(s[:p, :p] / n + np.diag(penalty), s[:p, p + 1] / n)
 
     def first(s: np.ndarray, n: int) -> list[dict]:
         return [{"theta": step_of(s, n).tolist(), "n": n, "size": float(np.sqrt(s[p + 1, p + 1] / max(s[p, p], 1))), "spread": np.sqrt(np.maximum(np.diag(s)[:p] / max(s[p, p], 1), 0)).tolist(), "move": 1.0}]
@@ -209,7 +210,7 @@ def robust_fit(df: DataFrame, model: Model, rounds: int = 60, tol: float = 1e-7)
     state_kind = "theta array<double>, n bigint, size double, spread array<double>, move double"
     state = reliable(by_series(gram_sums(df, columns), first, state_kind))
     for k in range(rounds):
-        share = max(0.1 * 0.5**k, 1e-6)
+        share = max(0.1 * 0.7**k, 1e-6)
         floor = F.lit(share) * F.col("size") + 1e-300
         old = state.select(F.col("series_id").alias("_of"), "theta", "size")
         rows = df.join(old, F.col("series_id").eqNullSafe(F.col("_of")))
@@ -224,6 +225,7 @@ def robust_fit(df: DataFrame, model: Model, rounds: int = 60, tol: float = 1e-7)
                     cells, was, spread, size = s[: (p + 2) ** 2], np.array(s[(p + 2) ** 2 : -p - 1]), np.array(s[-p - 1 : -1]), s[-1]
                     theta = step_of(np.array(cells).reshape(p + 2, p + 2), n)
                     move = float((np.abs(theta - was) * spread).max(initial=0.0) / max(size, 1e-300))
+                    theta = was + reach * (theta - was)
                     for c, v in zip(out, (theta.tolist(), n, size, spread.tolist(), move), strict=True):
                         out[c].append(v)
                 yield pa.RecordBatch.from_pydict({"series_id": batch["series_id"], **out})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tideline.functions import basis
 from tideline.operators import certificates, diagnostics, reporting, timeaxis, transform, validation
 from tideline.plans import decompose as fit
-from tideline.plans import gram, levels, monotone, smooth, specs
+from tideline.plans import gram, levels, monotone, resample, smooth, specs
 from tideline.plans.specs import Model
 from tideline.sources.series import long_series
 
@@ -689,6 +689,32 @@ def huber_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certificates.slope_gaps(rows, HUBER, gram.robust_fit(rows, HUBER))
 
 
+#: Draws by a stated rule, so that SQL can lay the same blocks and fit each replicate's line again.
+@_register(_DAILY + """, l AS (SELECT series_id, regr_intercept(y, t) AS a, regr_slope(y, t) AS b, count(*) AS m FROM daily GROUP BY series_id),
+r AS (SELECT series_id, t, m, a + b * t AS f, y - a - b * t AS r, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS q FROM daily JOIN l USING (series_id)),
+s AS (SELECT x.series_id, g.rep, regr_slope(x.f + z.r, x.t) AS b, regr_intercept(x.f + z.r, x.t) AS a FROM r x CROSS JOIN (SELECT unnest(generate_series(1, 60)) AS rep) g
+  JOIN r z ON z.series_id = x.series_id AND z.q = x.q % least(30, x.m) + (g.rep * 7919 + x.q // 30 * 104729) % (x.m - least(30, x.m) + 1) GROUP BY ALL),
+v AS (SELECT series_id, 'level' AS scalar, a + 1000 * b AS value FROM s UNION ALL SELECT series_id, 'slope', 365.2425 * b FROM s),
+p AS (SELECT series_id, 'level' AS scalar, a + 1000 * b AS point FROM l UNION ALL SELECT series_id, 'slope', 365.2425 * b FROM l)
+SELECT series_id, scalar, round(any_value(point), 2) AS point, round(quantile_cont(value, 0.1), 2) AS low, round(quantile_cont(value, 0.9), 2) AS high, count(value) AS used FROM v JOIN p USING (series_id, scalar) GROUP BY ALL""")
+def bootstrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = Model((specs.linear_trend(),))
+    thetas = resample.bootstrap_thetas(daily_orders(spark, sf_dir), line, 30, 60, start=lambda rep, number, many: F.pmod(rep * 7919 + number * 104729, many))
+    got = resample.bootstrap_intervals(thetas, line, {"slope": "365.2425D * trend_b", "level": "trend_a + 1000 * trend_b"}, 80.0)
+    return got.select("series_id", "scalar", *[F.round(c, 2).alias(c) for c in ("point", "low", "high")], "used")
+
+
+@_register(_HOURLY + """, k AS (SELECT *, greatest(t - 300, 0) AS h FROM hours),
+g AS (SELECT series_id, regr_slope(h, t) AS s, regr_intercept(h, t) AS i FROM k WHERE y IS NOT NULL GROUP BY series_id),
+c AS (SELECT series_id, sum((h - i - s * t) * y) / sum((h - i - s * t) ** 2) AS c FROM k JOIN g USING (series_id) WHERE y IS NOT NULL GROUP BY series_id),
+l AS (SELECT series_id, c, regr_slope(y - c * h, t) AS b, regr_intercept(y - c * h, t) AS a FROM k JOIN c USING (series_id) GROUP BY ALL)
+SELECT series_id, t::BIGINT AS t, round(a + b * t + c * h, 4) AS refit FROM k JOIN l USING (series_id)""")
+def kink_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bent = F.greatest(F.col("t") - 300, F.lit(0)) * 0.5
+    curves = hourly(spark, sf_dir).withColumn("trend", bent).withColumn("reconstruction", F.col("trend"))
+    return diagnostics.refit_kinks(curves, "trend", 1e-6).select("series_id", "t", F.round("refit", 4).alias("refit"))
+
+
 #: Ascending gaps join the last cluster while they lie within 5 % of its running median.
 @_register(_VISITS.replace("WITH o", "WITH RECURSIVE o", 1) + """
 i AS (SELECT series_id, gap, n, row_number() OVER (PARTITION BY series_id ORDER BY gap) AS i FROM c),
