@@ -133,7 +133,7 @@ def gram_fit(df: DataFrame, model: Model) -> DataFrame:
                 seen = g["y"].notna().to_numpy()
                 a = np.stack(g["a"].to_numpy())[seen] if seen.any() else np.zeros((0, p))
                 y = g["y"].to_numpy(float)[seen]
-                yield pd.DataFrame({"series_id": [key], "s": [np.concatenate([(a.T @ a).ravel(), a.T @ y]).tolist()], "n": [len(g)]})
+                yield pd.DataFrame({"series_id": [None if pd.isna(key) else key], "s": [np.concatenate([(a.T @ a).ravel(), a.T @ y]).tolist()], "n": [len(g)]})
 
     def total(g: pd.DataFrame) -> pd.DataFrame:
         s, n = np.sum(np.stack(g["s"].to_numpy()), 0), int(g["n"].sum())

@@ -7,7 +7,9 @@ descent, effective degrees of freedom. Robust losses weigh rows anew and sum aga
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -18,37 +20,41 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tideline.plans.decompose import SUMS, design, fitted_curves, observed, prepared, scaled_inverse, scaled_solve
-from tideline.plans.specs import Model
+from tideline.plans.specs import Component, Model
 from tideline.plans.steps import reliable
 
 
-def gram_sums(df: DataFrame, columns: Sequence[Column], weight: Column | None = None) -> DataFrame:
-    """(series_id, n, s): rows, and the products of (columns, 1, y) over observed rows as a flat square matrix.
+def gram_sums(df: DataFrame, columns: Sequence[Column], weight: Column | None = None, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """(keys, n, s): rows, and the products of (columns, 1, y) over observed rows as a flat square matrix.
 
     ``weight`` multiplies a row's products. Few columns are summed by expressions, many in batches.
     """
-    seen, q = observed(), len(columns) + 2
+    seen, q, keys = observed(), len(columns) + 2, list(keys)
     each = [*[F.when(seen, c.cast("double")) for c in columns], F.when(seen, F.lit(1.0)), F.when(seen, F.col("y").cast("double"))]
     scale = F.lit(1.0) if weight is None else weight
     if q <= SUMS + 2:
-        rows = df.select("series_id", scale.alias("_w"), *[c.alias(f"_a{i}") for i, c in enumerate(each)])
+        rows = df.select(*keys, scale.alias("_w"), *[c.alias(f"_a{i}") for i, c in enumerate(each)])
         pairs = {(i, j): F.coalesce(F.sum(F.col("_w") * F.col(f"_a{i}") * F.col(f"_a{j}")), F.lit(0.0)) for i in range(q) for j in range(i, q)}
-        sums = rows.groupBy("series_id").agg(F.array(*pairs.values()).alias("u"), F.count("*").alias("n"))
+        sums = rows.groupBy(*keys).agg(F.array(*pairs.values()).alias("u"), F.count("*").alias("n"))
         place = {p: k for k, p in enumerate(pairs)}
-        return sums.select("series_id", "n", F.array(*[F.col("u")[place[min(i, j), max(i, j)]] for i in range(q) for j in range(q)]).alias("s"))
-    flat = df.select("series_id", scale.alias("w"), F.when(seen, F.array(*each)).alias("a"))
+        return sums.select(*keys, "n", F.array(*[F.col("u")[place[min(i, j), max(i, j)]] for i in range(q) for j in range(q)]).alias("s"))
+    flat = df.select(*keys, scale.alias("w"), F.when(seen, F.array(*each)).alias("a"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, g in batch.groupby("series_id", dropna=False, sort=False):
+            for key, g in batch.groupby(keys, dropna=False, sort=False):
                 some = g[g["a"].notna()]
                 a = np.stack(some["a"].to_numpy()) if len(some) else np.zeros((0, q))
-                yield pd.DataFrame({"series_id": [key], "n": [len(g)], "s": [((a * some["w"].to_numpy(float)[:, None]).T @ a).ravel().tolist()]})
+                yield pd.DataFrame({k: [None if pd.isna(v) else v] for k, v in zip(keys, key, strict=True)} | {"n": [len(g)], "s": [((a * some["w"].to_numpy(float)[:, None]).T @ a).ravel().tolist()]})
 
-    kind = df.schema["series_id"].dataType.simpleString()
-    parts = flat.mapInPandas(partial, f"series_id {kind}, n bigint, s array<double>")
+    head = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return _added(flat.mapInPandas(partial, f"{head}, n bigint, s array<double>"), q, keys)
+
+
+def _added(sums: DataFrame, q: int, keys: Sequence[str]) -> DataFrame:
+    """The sums of several matrices of each of ``keys``."""
     cells = [F.sum(F.col("s")[k]).alias(f"_{k}") for k in range(q * q)]
-    return parts.groupBy("series_id").agg(F.sum("n").alias("n"), *cells).select("series_id", "n", F.array(*[f"_{k}" for k in range(q * q)]).alias("s"))
+    return sums.groupBy(*keys).agg(F.sum("n").alias("n"), *cells).select(*keys, "n", F.array(*[f"_{k}" for k in range(q * q)]).alias("s"))
 
 
 def by_series(sums: DataFrame, step: Callable[[np.ndarray, int], list[dict]], schema: str) -> DataFrame:
@@ -109,6 +115,61 @@ def nested_explained(df: DataFrame, model: Model) -> DataFrame:
     return by_series(gram_sums(df, columns), step, "place int, role string, explained double")
 
 
+def gram_block_scores(df: DataFrame, candidates: Sequence[tuple[str, Model]]) -> DataFrame:
+    """(series_id, fold, place, candidate, score): every ``block`` held out in turn, rmse, for models of few coefficients under l2.
+
+    All fits and scores come from one pass: a fold's sums are the series' less the block's. Parts that
+    candidates share, whatever their weights, are summed once. Folds are the blocks with observed rows; held
+    rows count in a series' length, as masked ones do. Series without other observed rows score null.
+    """
+    whole = Model(tuple(c for _, m in candidates for c in _renamed(m)))
+    df = prepared(df, whole)
+    columns: list[Column] = []
+    known: dict[str, range] = {}
+    plans = []
+    for name, model in candidates:
+        index: list[int] = []
+        if model.loss != "l2":
+            raise ValueError("sums of products fit l2 only")
+        for c in model.components:
+            some = design(Model((c,)))[0]
+            mark = repr((c.kind, sorted((k, v) for k, v in c.params.items() if k != "weight")))
+            if mark not in known:
+                known[mark] = range(len(columns), len(columns) + len(some))
+                columns += some
+            index += known[mark]
+        plans.append((name, index, design(model)[1]))
+    p = len(columns)
+    blocks = reliable(gram_sums(df, columns, keys=("series_id", "block")))
+    totals = _added(blocks, p + 2, ("series_id",)).select(F.col("series_id").alias("_of"), F.col("n").alias("_n"), F.col("s").alias("_s"))
+    folds = blocks.where(F.col("s")[(p + 2) * p + p] > 0).join(totals, F.col("series_id").eqNullSafe(F.col("_of")))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("at", "place", "candidate", "score")}
+            for at, (s, total, n) in enumerate(zip(*(batch[c].to_pylist() for c in ("s", "_s", "_n")), strict=True)):
+                held = np.array(s).reshape(p + 2, p + 2)
+                left = np.array(total).reshape(p + 2, p + 2) - held
+                for place, (name, index, penalty) in enumerate(plans):
+                    score = None
+                    if round(left[p, p]) > 0:
+                        theta = scaled_solve(left[np.ix_(index, index)] / n + np.diag(penalty), left[index, p + 1] / n)
+                        square = held[p + 1, p + 1] - 2 * theta @ held[index, p + 1] + theta @ held[np.ix_(index, index)] @ theta
+                        score = float(np.sqrt(max(square, 0.0) / held[p, p]))
+                    for c, v in zip(out, (at, place, name, score), strict=True):
+                        out[c].append(v)
+            at = pa.array(out.pop("at"), pa.int64())
+            arrays = [batch["series_id"].take(at), batch["block"].take(at), pa.array(out["place"], pa.int32()), pa.array(out["candidate"], pa.string()), pa.array(out["score"], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["series_id", "fold", "place", "candidate", "score"])
+
+    kinds = [df.schema[c].dataType.simpleString() for c in ("series_id", "block")]
+    return folds.select("series_id", "block", "s", "_s", "_n").mapInArrow(scores, f"series_id {kinds[0]}, fold {kinds[1]}, place int, candidate string, score double")
+
+
+def _renamed(model: Model) -> list[Component]:
+    return [replace(c, role=uuid.uuid4().hex) for c in model.components]
+
+
 def effective_dof(df: DataFrame, model: Model) -> DataFrame:
     """(series_id, role, dof): each part's share of the trace of the influence matrix, exact; the whole has the role ``total``."""
     df = prepared(df, model)

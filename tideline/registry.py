@@ -522,6 +522,13 @@ def week_scores_refitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.block_scores(blocks, _CANDIDATES).select("series_id", F.col("fold").cast("string").alias("fold"), "candidate", F.round("score", 6).alias("score"))
 
 
+#: The same scores from one pass of sums, without refits.
+@_register(ORACLE_SQL["week_scores_refitted"])
+def week_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = validation.calendar_blocks(hourly(spark, sf_dir), "week")
+    return gram.gram_block_scores(blocks, _CANDIDATES).select("series_id", F.col("fold").cast("string").alias("fold"), "candidate", F.round("score", 6).alias("score"))
+
+
 @_register(_HOURLY + """, r AS (SELECT *, count(y) OVER (PARTITION BY series_id ORDER BY t) - 1 AS place, count(y) OVER (PARTITION BY series_id) AS m FROM hours),
 f AS (SELECT *, 0 AS fold, y IS NOT NULL AND place >= (m - k) // 2 AND place < (m - k) // 2 + k AS held
   FROM (SELECT *, greatest(1, round_even(m * 0.2, 0))::BIGINT AS k FROM r))""" + _HELD_LINES.replace("f.fold::VARCHAR AS fold, ", ""))
