@@ -80,13 +80,14 @@ class System:
     def penalty(self, v: np.ndarray) -> np.ndarray:
         return sum((q.back(q @ v) for q in self.quadratic), np.zeros(self.size))
 
-    def factor(self, rho: float, ridge: float) -> Callable[[np.ndarray], np.ndarray]:
-        """Solves ``Q'Q + rho K'K + ridge`` by block elimination, the border by its Schur complement."""
+    def factor(self, rho: float | np.ndarray, ridge: float) -> Callable[[np.ndarray], np.ndarray]:
+        """Solves ``Q'Q + K' rho K + ridge`` by block elimination, the border by its Schur complement; ``rho``: one weight, or one a row."""
         b, free, p = self.block, self.free, self.size - self.free
         count = -(-free // b)
         near, below = np.zeros(count * b * b), np.zeros(count * b * b)
         border, corner = np.zeros(count * b * p), np.zeros(p * p)
-        for rows, by in [(q, 1.0) for q in self.quadratic] + [(k, rho) for k in self.split]:
+        weights = [rho] * len(self.split) if np.isscalar(rho) else np.split(rho, self.ends[:-1])
+        for rows, by in [(q, 1.0) for q in self.quadratic] + list(zip(self.split, weights, strict=True)):
             for c1, v1 in zip(rows.columns.T, rows.values.T, strict=True):
                 for c2, v2 in zip(rows.columns.T, rows.values.T, strict=True):
                     value, in1, in2 = by * v1 * v2, c1 < free, c2 < free

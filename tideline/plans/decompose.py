@@ -54,8 +54,8 @@ def fit_groups(df: DataFrame, keys: list[str], model_of: Callable[[pd.DataFrame]
 def weight_path(df: DataFrame, models: Sequence[Model]) -> DataFrame:
     """(series_id, place, solution) for every model, in their order: a series' path of weights.
 
-    A series' models are solved one after another in one task, each from the last one's end; factors
-    are used again where only weights of non-smooth parts change.
+    A series' models are solved one after another in one task. Those that ADMM solves start from the last one's end,
+    and factors are used again where only weights of non-smooth parts change.
     """
     columns = list(dict.fromkeys(c for m in models for c in m.columns))
     kind = df.schema["series_id"].dataType.simpleString()

@@ -1,7 +1,8 @@
 """Solves one series in NumPy: ``min (1/T) sum over observed phi(y - s) + sum of component losses``.
 
 The residual is 0 on unobserved rows. Without non-smooth terms this is one linear system; isotonic
-least squares is solved by pooling; all else by ADMM on ``1/2 v'Pv - q'v + f(Kv)``. Models with free
+least squares is solved by pooling; sums over rows by interior steps (``interior``). What these leave unsolved
+and norms of falls go to ADMM on ``1/2 v'Pv - q'v + f(Kv)``. Models with free
 values take their steps on sparse rows and a block-tridiagonal system.
 """
 
@@ -13,6 +14,7 @@ import numpy as np
 
 from tideline.functions.basis import default_knots, seasonal_matrix, spline_matrix
 from tideline.plans.banded import Rows, System, beside
+from tideline.plans.interior import has_rows, interior, one_sided
 from tideline.plans.specs import Component, Model
 
 #: Factors of one system that are kept at most, each for one step size.
@@ -144,7 +146,7 @@ def isotonic(y: np.ndarray, seen: np.ndarray, increasing: bool) -> np.ndarray:
 def solve(y: np.ndarray, model: Model, z: dict[str, np.ndarray] | None = None, tol: float = 1e-7, most: int = 8000, path: dict | None = None) -> dict:
     """Values by role, the residual, scalars and vectors of coefficients, the objective and a status.
 
-    ``path``: kept by the caller from one model to the next of a series' path of weights, so that each
+    ``path``: kept by the caller from one model to the next of a series' path of weights, so that each that ADMM solves
     starts where the last ended, and factors of a system that only non-smooth weights left are used again.
     """
     y, z, n = np.asarray(y, float), z or {}, len(y)
@@ -202,6 +204,11 @@ def _solve_dense(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.n
         terms.append((slice(0, size), a, "residual", (y[seen], model.loss, model.param, 1 / n)))
     if not terms:
         return np.linalg.lstsq(pen, goal, rcond=1e-13)[0], "optimal"
+    if has_rows(terms):
+        each = one_sided(terms)
+        v, near = interior(_Dense(pen, each, size), goal, each, *_sizes(y[seen], model, n))
+        if near:
+            return v, "optimal"
     path = {} if path is None else path
     same = "pen" in path and np.array_equal(path["pen"], pen) and [k.shape for _, k, _, _ in terms] == path["shapes"]
     if not same:
@@ -236,6 +243,11 @@ def _solve_banded(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.
     split = [k for _, k, _, _ in terms]
     if not terms:
         return _ridged(System(quadratic, split, size, m * n), goal)[place], "optimal"
+    if has_rows(terms):
+        each = one_sided(terms)
+        v, near = interior(System(quadratic, [k for _, k, _, _ in each], size, m * n), goal, each, *_sizes(y[seen], model, n))
+        if near:
+            return v[place], "optimal"
     path = {} if path is None else path
     rows = [x for r in (*quadratic, *split) for x in (r.columns, r.values)]
     if "rows" not in path or len(rows) != len(path["rows"]) or not all(np.array_equal(x, w) for x, w in zip(rows, path["rows"], strict=True)):
@@ -245,6 +257,11 @@ def _solve_banded(parts: list[_Part], cut: list[slice], y: np.ndarray, seen: np.
     return v[place], status
 
 
+def _sizes(y: np.ndarray, model: Model, length: int) -> tuple[float, float]:
+    """The squares' objective of no fit at all, and the size of the values."""
+    return float((y**2).sum()) / length if model.loss == "l2" else 0.0, float(np.abs(y).max())
+
+
 def _ridged(system: System, goal: np.ndarray) -> np.ndarray:
     solve_ridged, goal = system.factor(0.0, 1e-12), goal * system.unit
     v = solve_ridged(goal)
@@ -273,8 +290,12 @@ class _Dense:
     def back(self, z: np.ndarray) -> np.ndarray:
         return self.k.T @ z
 
-    def factor(self, rho: float, ridge: float) -> Callable[[np.ndarray], np.ndarray]:
-        inverse = np.linalg.inv(self.pen + rho * self.gram + ridge * np.eye(self.size))
+    def penalty(self, v: np.ndarray) -> np.ndarray:
+        return self.pen @ v
+
+    def factor(self, rho: float | np.ndarray, ridge: float) -> Callable[[np.ndarray], np.ndarray]:
+        gram = rho * self.gram if np.isscalar(rho) else self.k.T @ (rho[:, None] * self.k)
+        inverse = np.linalg.inv(self.pen + gram + ridge * np.eye(self.size))
         return lambda r: inverse @ r
 
 
