@@ -30,3 +30,8 @@ def gaps(spark, name, y):
 @pytest.mark.parametrize("size", [1.0, 60.0, 360.0])
 def test_quantile(spark, size):
     assert gaps(spark, "solve_quantile", sums(size)) == (0, 0)
+
+
+@pytest.mark.parametrize("size", [1.0, 60.0, 360.0])
+def test_bounded_huber(spark, size):
+    assert gaps(spark, "solve_bounded_huber", sums(size)) == (0, 0)
