@@ -35,3 +35,21 @@ def test_quantile(spark, size):
 @pytest.mark.parametrize("size", [1.0, 60.0, 360.0])
 def test_bounded_huber(spark, size):
     assert gaps(spark, "solve_bounded_huber", sums(size)) == (0, 0)
+
+
+@pytest.mark.parametrize("size", [1.0, 60.0, 360.0])
+def test_kinks(spark, size):
+    assert gaps(spark, "solve_kinks", sums(size)) == (0, 0)
+
+
+def test_absolute_losses_of_few_coefficients():
+    y = sums(360.0)[60:]
+    got = solver.solve(y, Model((specs.linear_trend(),), "l1"))
+    r = y - got["values"]["trend"]
+    assert got["status"] == "optimal" and (np.abs(r) < 1e-6 * np.abs(y).max()).sum() == 2
+
+
+def test_bounds_beside_rows_of_no_weight():
+    y = sums(60.0)
+    got = solver.solve(y, Model((specs.bounded(specs.pwc_trend(5.0), 60_000.0, 75_000.0), specs.sparse(0.0))))
+    assert got["values"]["trend"].min() >= 60_000 * (1 - 1e-9) and got["values"]["trend"].max() <= 75_000 * (1 + 1e-9)
