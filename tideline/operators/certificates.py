@@ -6,21 +6,31 @@ it. All of it is window sums and aggregates over (series_id, t, y, roles, residu
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.plans.decompose import design, gram_fit
+from tideline.plans.decompose import design, gram_fit, prepared
 from tideline.plans.specs import Model
+from tideline.plans.steps import reliable, with_fits
 
 
 def normal_gaps(df: DataFrame, model: Model, digits: int = 4) -> DataFrame:
     """(series_id, place, gap) of ``gram_fit``: by column its product with the residual less its penalty, over its size."""
     columns, penalty = design(model)
-    fitted = df.join(gram_fit(df, model), "series_id").withColumn("a", F.array(*[c.cast("double") for c in columns]))
+    df = prepared(df, model)
+    fitted = with_fits(df.where("y is not null"), reliable(gram_fit(df, model))).withColumn("a", F.array(*[c.cast("double") for c in columns]))
     part = F.aggregate(F.zip_with("a", "theta", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    rows = fitted.where("y is not null").withColumn("r", F.col("y") - part).select("series_id", "n", "theta", "y", "r", F.posexplode("a").alias("i", "x"))
-    sums = rows.groupBy("series_id", "i").agg(F.sum(F.col("r") * F.col("x")).alias("rx"), F.sum(F.abs(F.col("y") * F.col("x"))).alias("size"), F.first("n").alias("n"), F.first("theta").alias("theta"))
-    pen = F.element_at(F.array(*[F.lit(float(p)) for p in penalty]), F.col("i") + 1) * F.element_at("theta", F.col("i") + 1)
+    rows = fitted.withColumn("r", F.col("y") - part)
+    return _gaps(rows, F.col("r") * F.col("x"), F.col("y") * F.col("x"), penalty, digits)
+
+
+def _gaps(rows: DataFrame, product: Column, size: Column, penalty: np.ndarray, digits: int) -> DataFrame:
+    """(series_id, place, gap) of ``rows(series_id, n, theta, a, y, r)`` by column x: the sum of products less the penalty, over the sum of sizes."""
+    each = rows.select("series_id", "n", "theta", "y", "r", F.posexplode("a").alias("i", "x"))
+    # numbers only, which are summed in place; an array in the sums would sort all rows
+    sums = each.groupBy("series_id", "i").agg(F.sum(product).alias("rx"), F.sum(F.abs(size)).alias("size"), F.max("n").alias("n"), F.max(F.element_at("theta", F.col("i") + 1)).alias("theta"))
+    pen = F.element_at(F.array(*[F.lit(float(p)) for p in penalty]), F.col("i") + 1) * F.col("theta")
     gap = F.abs(F.col("rx") - pen * F.col("n")) / F.greatest("size", F.lit(1e-12))
     return sums.select("series_id", (F.col("i") + 1).alias("place"), F.round(gap, digits).alias("gap"))
 
@@ -28,13 +38,11 @@ def normal_gaps(df: DataFrame, model: Model, digits: int = 4) -> DataFrame:
 def slope_gaps(df: DataFrame, model: Model, theta: DataFrame, digits: int = 3) -> DataFrame:
     """(series_id, place, gap) of coefficients under huber loss: by column the loss's slope less the penalty's, over its size."""
     columns, penalty = design(Model(model.components))
-    rows = df.where("y is not null").join(theta, "series_id")
+    rows = with_fits(prepared(df, Model(model.components)).where("y is not null"), reliable(theta))
     r = F.col("y") - sum((c.cast("double") * F.element_at("theta", i + 1) for i, c in enumerate(columns)), F.lit(0.0))
     pull = F.greatest(F.least(r, F.lit(model.param)), F.lit(-model.param))
-    each = rows.select("series_id", "n", "theta", pull.alias("r"), F.posexplode(F.array(*[c.cast("double") for c in columns])).alias("i", "x"))
-    sums = each.groupBy("series_id", "i").agg(F.sum(F.col("r") * F.col("x")).alias("rx"), F.sum(F.abs(F.col("r") * F.col("x"))).alias("size"), F.first("n").alias("n"), F.first("theta").alias("theta"))
-    pen = F.element_at(F.array(*[F.lit(float(p)) for p in penalty]), F.col("i") + 1) * F.element_at("theta", F.col("i") + 1)
-    return sums.select("series_id", (F.col("i") + 1).alias("place"), F.round(F.abs(F.col("rx") - pen * F.col("n")) / F.greatest("size", F.lit(1e-12)), digits).alias("gap"))
+    rows = rows.select("series_id", "n", "theta", "y", pull.alias("r"), F.array(*[c.cast("double") for c in columns]).alias("a"))
+    return _gaps(rows, F.col("r") * F.col("x"), F.col("r") * F.col("x"), penalty, digits)
 
 
 def dual_gaps(curves: DataFrame, model: Model, digits: int = 2) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tideline.functions.basis import seasonal_design, spline_columns
 from tideline.plans.solver import solve
 from tideline.plans.specs import Model
+from tideline.plans.steps import reliable, with_fits
 
 for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
     os.environ.setdefault(_name, "1")
@@ -220,15 +221,14 @@ def prepared(df: DataFrame, model: Model) -> DataFrame:
 
 
 def fitted_curves(rows: DataFrame, model: Model, fit: DataFrame, columns_of: Callable[[Model], list[Column]]) -> DataFrame:
-    """``rows`` with each role, residual and reconstruction from coefficients (series_id, theta); fits go out by a join."""
-    thetas = fit.select(F.col("series_id").alias("_fit_of"), F.col("theta").alias("_theta"))
-    out, at = rows.join(thetas, F.col("series_id").eqNullSafe(F.col("_fit_of"))), 0
+    """``rows`` with each role, residual and reconstruction from coefficients (series_id, theta), which are kept and brought to all rows."""
+    out, at = with_fits(rows, reliable(fit.select("series_id", F.col("theta").alias("_theta")))), 0
     for c in model.components:
         some = columns_of(Model((c,)))
         value = sum((x * F.element_at("_theta", at + i + 1) for i, x in enumerate(some[1:], 1)), some[0] * F.element_at("_theta", at + 1))
         out, at = out.withColumn(c.role, value), at + len(some)
     total = sum((F.col(r) for r in model.roles[1:]), F.col(model.roles[0]))
-    return out.withColumn("reconstruction", total).withColumn("residual", F.when(observed(), F.col("y") - F.col("reconstruction")).otherwise(0.0)).drop("_theta", "_fit_of")
+    return out.withColumn("reconstruction", total).withColumn("residual", F.when(observed(), F.col("y") - F.col("reconstruction")).otherwise(0.0)).drop("_theta")
 
 
 def gram_curves(df: DataFrame, model: Model) -> DataFrame:

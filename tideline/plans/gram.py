@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from tideline.plans.decompose import SUMS, design, fitted_curves, observed, prepared, scaled_inverse, scaled_solve
 from tideline.plans.specs import Component, Model
-from tideline.plans.steps import reliable
+from tideline.plans.steps import reliable, with_fits
 
 
 def gram_sums(df: DataFrame, columns: Sequence[Column], weight: Column | None = None, keys: Sequence[str] = ("series_id",)) -> DataFrame:
@@ -273,8 +273,7 @@ def robust_fit(df: DataFrame, model: Model, rounds: int = 60, tol: float = 1e-7)
     for k in range(rounds):
         share = max(0.1 * 0.7**k, 1e-6)
         floor = F.lit(share) * F.col("size") + 1e-300
-        old = state.select(F.col("series_id").alias("_of"), "theta", "size")
-        rows = df.join(old, F.col("series_id").eqNullSafe(F.col("_of")))
+        rows = with_fits(df, state.select("series_id", "theta", "size"))
         fitted = sum((c.cast("double") * F.col("theta")[i] for i, c in enumerate(columns)), F.lit(0.0))
         sums = gram_sums(rows, columns, _row_weight(model, F.col("y") - fitted, floor))
         joined = sums.join(state.select(F.col("series_id").alias("_of"), "theta", "size", "spread"), F.col("series_id").eqNullSafe(F.col("_of"))).select("series_id", "n", F.concat("s", "theta", "spread", F.array("size")).alias("s"))
