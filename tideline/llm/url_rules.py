@@ -3,7 +3,7 @@
 A short list of stated rules (host and path prefix) settles the URLs that it covers, and these
 label the rest: every covered URL is a transaction of tokens and its verdict. All parts of a URL give
 tokens; those that are frequent enough to be in a rule are counted first, of tokens that always occur
-together one stands for all, and a transaction holds its ``TOKENS`` most telling ones. Spark's
+together one stands for all, and a transaction holds every one that is left. Spark's
 FP-growth finds the combinations that imply a verdict; rules below the least support, confidence or
 lift are pruned, and so are rules that a shorter one of at least their confidence makes idle. Each
 mined rule is indexed under its rarest token, so that a URL meets only rules
@@ -32,7 +32,8 @@ RULES = (
 )
 #: Least share of the covered URLs that hold a mined rule, least confidence, and least lift.
 SUPPORT, CONFIDENCE, LIFT = 0.01, 0.8, 1.1
-#: Tokens of a transaction, those of the highest lift: FP-growth meets at most ``2 ** TOKENS`` sets of each.
+#: A bound on a transaction's tokens, those of the highest lift, that a caller may state: FP-growth then meets at most
+#: ``2 ** TOKENS`` sets of each. None is set otherwise, and every frequent set is mined.
 TOKENS = 12
 #: Most index rows that are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
@@ -94,11 +95,15 @@ def telling_tokens(items: DataFrame, support: float) -> list[str]:
     return [r.token for r in kept.orderBy(F.desc(F.round("lift", 9)), "token").select("token").collect()]
 
 
-def mine_rules(covered: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, tokens: int = TOKENS) -> DataFrame:
-    """(antecedent, verdict, confidence, support) mined from ``covered(url, verdict)``, written once."""
+def mine_rules(covered: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, tokens: int | None = None) -> DataFrame:
+    """(antecedent, verdict, confidence, support) mined from ``covered(url, verdict)``, written once.
+
+    All frequent tokens of a URL take part, unless a bound of ``tokens`` is stated.
+    """
     items = materialise(covered.select(url_tokens(F.col("url")).alias("tokens"), "verdict"), "url-items")
     frequent = F.array(*[F.lit(t) for t in telling_tokens(items, support)]).cast("array<string>")
-    own = F.slice(F.array_intersect(frequent, F.col("tokens")), 1, tokens)
+    own = F.array_intersect(frequent, F.col("tokens"))
+    own = own if tokens is None else F.slice(own, 1, tokens)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items.select(F.concat(own, F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items")))
     verdict = F.col("consequent")[0]
     found = model.associationRules.where(verdict.startswith("verdict=") & (F.col("lift") >= lift))
