@@ -42,6 +42,12 @@ def test_kinks(spark, size):
     assert gaps(spark, "solve_kinks", sums(size)) == (0, 0)
 
 
+def test_forces_summed_over_a_long_series(spark):
+    rng = np.random.default_rng(2)
+    y = np.round(rng.gamma(rng.poisson(1670, 7200), 50), 4)
+    assert gaps(spark, "solve_kinks", y) == (0, 0)
+
+
 def test_absolute_losses_of_few_coefficients():
     y = sums(360.0)[60:]
     got = solver.solve(y, Model((specs.linear_trend(),), "l1"))

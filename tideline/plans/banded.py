@@ -55,6 +55,15 @@ def beside(parts: list[Rows]) -> Rows:
     return Rows(np.concatenate([p.columns for p in parts], 1), np.concatenate([p.values for p in parts], 1), parts[0].size)
 
 
+def _inverse_root(block: np.ndarray) -> np.ndarray:
+    """R with ``R' R`` the inverse of a symmetric block; what rounding made negative counts as tiny."""
+    try:
+        return np.linalg.inv(np.linalg.cholesky(block))
+    except np.linalg.LinAlgError:
+        size, axes = np.linalg.eigh(block)
+        return (axes / np.sqrt(np.maximum(size, 1e-16 * np.abs(size).max() + 1e-300))).T
+
+
 class System:
     """``1/2 sum |Q v|^2`` and splittings ``K v`` for lists of rows ``Q`` and ``K``; the first ``free`` columns are banded."""
 
@@ -99,23 +108,22 @@ class System:
         diagonal = np.full(count * b, ridge)
         diagonal[free:] = 1.0
         near[:, np.arange(b), np.arange(b)] += diagonal.reshape(count, b)
+        # roots of blocks, not inverses: their products with large weights would lose all digits
         inverse, carry = np.empty_like(near), np.zeros_like(near)
         for i in range(count):
             if i:
-                carry[i] = below[i] @ inverse[i - 1]
-                near[i] -= carry[i] @ below[i].T
-            inverse[i] = np.linalg.inv(near[i])
-            inverse[i] = (inverse[i] + inverse[i].T) / 2
+                carry[i] = below[i] @ inverse[i - 1].T
+                near[i] -= carry[i] @ carry[i].T
+            inverse[i] = _inverse_root(near[i])
 
         def banded(r: np.ndarray) -> np.ndarray:
             x = np.zeros((count * b, r.shape[1]))
             x[:free] = r
             x = x.reshape(count, b, -1)
-            for i in range(1, count):
-                x[i] -= carry[i] @ x[i - 1]
-            x = inverse @ x
-            for i in range(count - 2, -1, -1):
-                x[i] -= carry[i + 1].T @ x[i + 1]
+            for i in range(count):
+                x[i] = inverse[i] @ (x[i] - carry[i] @ x[i - 1] if i else x[i])
+            for i in range(count - 1, -1, -1):
+                x[i] = inverse[i].T @ (x[i] - carry[i + 1].T @ x[i + 1] if i < count - 1 else x[i])
             return x.reshape(count * b, -1)[:free]
 
         if not p:

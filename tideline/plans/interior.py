@@ -111,15 +111,19 @@ def interior(system: object, goal: np.ndarray, terms: list, constant: float, typ
 
         def move(comp_p: np.ndarray, comp_m: np.ndarray) -> tuple[np.ndarray, ...]:
             rho = r2 - comp_p / over + comp_m / under
-            right = -r1 - system.back(weight * rho)
-            dv, rest = np.zeros(system.size), right
-            for _ in range(4):  # what rounding left, as long as it shrinks
-                new = dv + solve(rest)
-                error = right - system.penalty(new) - system.back(weight * system.forward(new))
-                if not np.abs(error).max() < np.abs(rest).max():
+            dv, ds, e1, e2, error = np.zeros(system.size), np.zeros(len(s)), -r1, -rho, np.inf
+            # what rounding left of both equations, as long as it shrinks; ``ds`` from ``dv`` alone would be off by the weight times its rounding
+            for _ in range(4):
+                more = solve(e1 + system.back(weight * e2))
+                new_v, new_s = dv + more, ds + weight * (system.forward(more) - e2)
+                e1 = -r1 - system.penalty(new_v) - system.back(new_s)
+                e2 = np.where(real, stiff * new_s - system.forward(new_v) - rho, 0.0)
+                before, error = error, max(np.abs(e1).max() / force, np.abs(e2).max() / spread)
+                if not error < before:
+                    break
+                dv, ds = new_v, new_s
+                if error < 1e-15:
                     break
-                dv, rest = new, error
-            ds = weight * (system.forward(dv) + rho)
             return dv, ds, np.where(up, (comp_p + p * ds) / over, 0.0), np.where(down, (comp_m - m * ds) / under, 0.0)
 
         def reach(ds: np.ndarray, dp: np.ndarray, dm: np.ndarray) -> float:
