@@ -42,6 +42,11 @@ def test_kinks(spark, size):
     assert gaps(spark, "solve_kinks", sums(size)) == (0, 0)
 
 
+def test_gap_left_in_one_row(spark):
+    y = np.round(360 * np.random.default_rng(774).gamma(28, 50, 720), 2)
+    assert gaps(spark, "solve_bounded_huber", y) == (0, 0)
+
+
 def test_forces_summed_over_a_long_series(spark):
     rng = np.random.default_rng(2)
     y = np.round(rng.gamma(rng.poisson(1670, 7200), 50), 4)

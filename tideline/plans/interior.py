@@ -10,7 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 #: Steps at most; what may be left of each condition, over the size of its terms, to end and to count as solved.
-STEPS, NEAR, SOLVED = 100, 1e-11, 1e-7
+#: All that is left of the gap can lie in one row, whose force is off by the root of it: it must be far below rounding.
+STEPS, NEAR, SOLVED = 100, 1e-17, 1e-7
 
 
 def one_sided(terms: list) -> list:
@@ -98,8 +99,8 @@ def interior(system: object, goal: np.ndarray, terms: list, constant: float, typ
         spread = max(np.abs(w).max(), 1e-300)
         left = max(gap / max(objective, 1e-16), np.abs(r1).max() / force, np.abs(r2).max() / spread)
         ended = gap <= NEAR * objective and not left < best / 2  # only rounding is left
-        if left < best:
-            best, kept = left, v
+        if left < 2 * best:  # of steps alike but for rounding the last has the least gap
+            best, kept = min(left, best), v
         if left <= NEAR or ended or not np.isfinite(left):
             break
         stiff = np.where(real, curve + p / over + m / under, 1.0)
