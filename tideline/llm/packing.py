@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from tideline.llm.cells import CELLS, STEPS, Counter, ranks
 from tideline.llm.storage import materialise
-from tideline.llm.textops import Words, give_back, mix, slices, tidied
+from tideline.llm.textops import Words, give_back, mix, short_hashes, slices, tidied
 from tideline.llm.tokens import encoder
 
 #: Tokens of a window, the id that ends a document, and text bytes of a shard at most (a longer document is one alone).
@@ -56,7 +56,7 @@ def postings(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
     for row, data, offsets in slices(column):
         words = Words(data, offsets, lower=True)
         # a slice has at most 2**20 rows, so that a document and a term are one number
-        key = words.doc.astype(np.uint64) << np.uint64(TERM_BITS) | words.hashes() >> np.uint64(64 - TERM_BITS)
+        key = words.doc.astype(np.uint64) << np.uint64(TERM_BITS) | short_hashes(words.data, words.starts, words.ends) >> np.uint64(64 - TERM_BITS)
         key.sort()
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         yield row, (key[at] >> np.uint64(TERM_BITS)).astype(np.int64), key[at] & low, np.diff(np.append(at, len(key))), words.counts
@@ -189,6 +189,16 @@ def codes(column: pa.Array, corpus: Corpus, tree: Centres | None) -> np.ndarray:
     return out
 
 
+def by_term(term: np.ndarray) -> np.ndarray:
+    """The stable order of terms, by a plain sort of numbers that end with their places where these fit."""
+    bits = np.uint64(64 - TERM_BITS)
+    if len(term) > 1 << int(bits):
+        return np.argsort(term, kind="stable")
+    key = term.astype(np.uint64) << bits | np.arange(len(term), dtype=np.uint64)
+    key.sort()
+    return (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
 class BM25:
     """An inverted index over the words (A-Z lower-cased) of one shard's texts, weighted by ``corpus``."""
 
@@ -199,7 +209,7 @@ class BM25:
         doc, term, tf = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (docs, terms, freqs))
         length = np.concatenate(lengths).astype(np.float64) if lengths else np.empty(0)
         self.n = n = len(column)
-        order = np.argsort(term, kind="stable")
+        order = by_term(term)
         first = np.flatnonzero(np.append(True, term[order][1:] != term[order][:-1])[: len(order)])
         self.start = np.append(first, len(order))
         df = np.diff(self.start)
