@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tideline.llm import graph_search, mixing, ngram_join, packing, rans
+from tideline.llm.storage import materialise
 
 
 def test_many_rows_of_one_null_id_are_mixed_alike(spark):
@@ -62,3 +63,32 @@ def test_components_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
     got = {tuple(r) for r in ngram_join.ngram_components(docs).select("doc_id", "n_shingles", "component_id").collect()}
     assert got == want and {c for d, _, c in got if d <= 901} == {0} and (902, 0, 902) in got
+
+
+def test_copies_in_many_tasks_are_posted_once(spark, monkeypatch):
+    # 4 texts that share shingles and do not link, and one that links with the first; each 12 times over 12 tasks
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words[:60] + [f"x{k}y{i}" for i in range(40)]) for k in range(4)]
+    texts.append(texts[0].replace("x0y39", "other"))
+    rows = [(100 * k + i, t) for i, t in enumerate(texts) for k in range(12)]
+    # one id with a copy and with a text that only links to another, and a copy of that text
+    lone = " ".join(f"z{i}" for i in range(80))
+    rows += [(5000, texts[1]), (5000, lone), (5001, lone.replace("z79", "end")), (5002, lone), (None, lone)]
+    sizes = {}
+
+    def counted(df, name="step"):
+        out = materialise(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(12, "doc_id")
+    want = {(i + 100 * k): 0 if i in (0, 4) else i for i in range(5) for k in range(12)} | {5000: 1, 5001: 1, 5002: 1}
+    for broadcast in (ngram_join.BROADCAST_IDS, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", broadcast)
+        sizes.clear()
+        got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs).where("doc_id is not null").collect()}
+        assert got == want
+        # of each of the 7 sets one document, but two where an id holds several texts
+        prefix = max(ngram_join.prefix_length(len(t.split()) - 4) for t in texts)
+        assert sizes["lists"][0] <= 9 * prefix and max(sizes["stars"] + sizes["pairs"]) <= 36

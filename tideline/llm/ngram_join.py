@@ -9,7 +9,8 @@ A document is the set of its distinct five-word shingles; two link when
 2. A second pass orders each set rare-first (by cell count, then hash) and takes its prefix of
    ``n - ceil(0.75 n) + 1`` shingles with their positions. Sets that link share a prefix shingle.
    Postings travel in compressed blocks, one for each bucket of shingles and run of a task; a bucket
-   gives the lists of the shingles that two documents or more hold.
+   gives the lists of the shingles that two documents or more hold. Of a class only its
+   representative is posted, however many tasks its copies lie in.
 3. Each member of a list is paired with the list's most central document (the one with the fewest
    rarer shingles before the shared one): a number of pairs linear in the lists. Pairs that fail the
    length or the positional filter are left out, the rest are made distinct, thinned by the suffix
@@ -157,6 +158,18 @@ def _lists(docs: DataFrame, cells: object, buckets: int, width: int, least: int)
     return posted.groupBy("bucket").applyInArrow(gather, _LISTED)
 
 
+def _class_lists(docs: DataFrame, copies: DataFrame, several: DataFrame, cells: object, buckets: int, width: int, least: int) -> DataFrame:
+    """``_lists`` without the documents that ``copies(u, v)`` link to an equal set of a smaller id.
+
+    Those in ``several`` hold more than one text and stay.
+    """
+    equal = materialise(copies.where("u != v").select(F.col("u").alias("doc_id")).distinct().join(several, "doc_id", "left_anti"), "equal")
+    if equal.count() <= BROADCAST_IDS:
+        return _lists(docs.join(F.broadcast(equal), "doc_id", "left_anti"), cells, buckets, width, least)
+    # the narrow postings are shuffled, not the texts
+    return _lists(docs, cells, buckets, width, least).join(equal, "doc_id", "left_anti")
+
+
 def _may_link(a: str, b: str, least: int) -> str:
     """Length and positional filters on sides ``a`` and ``b``, as SQL over columns n and pos."""
     n, m, p, q = f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"
@@ -253,10 +266,11 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, least: int = LEAST) ->
     classes = members.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     rows, total = slim.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     large = max(1000, rows // HUBS)
-    copies = least_join(members, classes, ["c1", "c2", "n_shingles"], "copies", rows, large).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    copies = materialise(least_join(members, classes, ["c1", "c2", "n_shingles"], "copies", rows, large).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "copies")
+    several = slim.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
 
     buckets = max(1, -(-total * (100 - least) // 100 // BUCKET_ROWS))
-    listed = materialise(_lists(docs, shared, buckets, width, least), "lists")
+    listed = materialise(_class_lists(docs, copies, several, shared, buckets, width, least), "lists")
 
     stars = listed.where("doc_id != hub").where(F.expr(_may_link("", "c", least))).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     links = materialise(_check(docs, materialise(stars, "stars"), width, least).union(copies), "links")
@@ -265,7 +279,6 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, least: int = LEAST) ->
     known = listed.select("sh", "doc_id", "n", "pos").join(_few(groups.withColumnRenamed("node", "doc_id")), "doc_id", "left").select("sh", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("component"))
     known = materialise(known, "known")
     mixed = known.groupBy("sh").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sh")
-    several = slim.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     found = materialise(_check(docs, materialise(_between(known.join(mixed, "sh", "left_semi"), several, least), "pairs"), width, least), "found")
     final = connected_components(links.union(found))
     return slim.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
